@@ -83,9 +83,19 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return h, doc, s, e
 
 
-def shingles(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+def sequence_keys(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the word sequence of each of n texts; ``h`` and ``doc`` are those of ``words``."""
+    start = np.searchsorted(doc, np.arange(n + 1))
+    up, down = _powers(len(h))
+    out = []
+    for salt in (0x0F1E2D3C4B5A6978, 0x7A6B5C4D3E2F1A0B):
+        p = np.concatenate([[_U(0)], np.cumsum(mix(h + _U(salt)) * up[: len(h)], dtype=np.uint64)])
+        out.append(mix((p[start[1:]] - p[start[:-1]]) * down[start[:-1]] + (start[1:] - start[:-1]).astype(np.uint64) + _U(salt)).view(np.int64))
+    return out[0], out[1]
+
+
+def shingles_of_words(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text index) of every sequence of ``k`` neighbouring words, repeats included."""
-    h, doc, _, _ = words(texts)
     if len(h) < k:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     m = len(h) - k + 1
@@ -96,6 +106,11 @@ def shingles(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(out[same]), doc[:m][same]
 
 
+def shingles(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    h, doc, _, _ = words(texts)
+    return shingles_of_words(h, doc, k)
+
+
 def char_grams(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text index) of the ``k``-grams of every word, each word padded by a blank on both sides: word order leaves no trace."""
     cp, starts = code_points([" " + " ".join(t.lower().split()) + " " for t in texts])

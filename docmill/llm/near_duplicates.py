@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import grams
@@ -46,82 +46,125 @@ _STEP = 6
 _PARTS = 4
 
 
-def _gram_fn(kind: str, k: int):
-    return (lambda t: grams.shingles(t, k)) if kind == "word" else (lambda t: grams.char_grams(t, k))
+def _hash_fn(kind: str, k: int):
+    """texts -> (n-gram hashes, their text, two hashes of each text's word sequence)."""
 
+    def make(texts: list[str]):
+        h, doc, _, _ = grams.words(texts)
+        keys = grams.sequence_keys(h, doc, len(texts))
+        return *(grams.shingles_of_words(h, doc, k) if kind == "word" else grams.char_grams(texts, k)), *keys
 
-def _texts(batch: pa.RecordBatch, col: str = "text") -> Iterator[tuple[int, int, list[str]]]:
-    texts = batch.column(col).to_pylist()
-    for a, b in grams.slices([len(t or "") for t in texts]):
-        yield a, b, [t or "" for t in texts[a:b]]
+    return make
 
 
-def gram_sketch(texts: DataFrame, kind: str, k: int, bits: int) -> np.ndarray:
-    """Number of records' n-grams by the top ``bits`` bits of the hash, as classes of the logarithm in one byte each.
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
+    texts = batch.column("text").to_pylist()
+    for a, b in grams.slices([len(t) for t in texts]):
+        yield a, b, texts[a:b]
 
-    Each task sends each counter once at most; the sums stay on the executors,
-    and the driver gets 2**bits bytes however large the input is.
-    """
-    make, low = _gram_fn(kind, k), max(0, bits - 12)
 
-    def count(batches):
-        n = np.zeros(1 << bits, np.uint32)
+#: n-grams that a task counts together before it sends the counts on.
+_FLUSH = 4_000_000
+
+
+def first_pass(rows: DataFrame, kind: str, k: int, bits: int) -> DataFrame:
+    """From (id, text): a row (id, hid, h2, has) per text with the hashes of its word sequence, and rows (bucket, n) with the number of n-grams by the top ``bits`` bits of their hash."""
+    make = _hash_fn(kind, k)
+
+    def flush(held):
+        at, n = np.unique(np.concatenate(held), return_counts=True)
+        m = len(at)
+        return pa.RecordBatch.from_arrays([pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["id", "hid", "h2", "has", "bucket", "n"])
+
+    def run(batches):
+        held, size = [], 0
         for batch in batches:
-            for _, _, part in _texts(batch):
-                h, _ = grams.distinct_by_doc(*make(part))
-                # of a run of equal texts, neighbours are the usual case
-                n += np.bincount((h >> _U(48 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32) if len(h) > 1 << (bits - 3) else 0
-                if len(h) <= 1 << (bits - 3):
-                    np.add.at(n, (h >> _U(48 - bits)).astype(np.int64), 1)
-        at = np.flatnonzero(n)
-        for i in range(0, len(at), 200_000):
-            x = at[i : i + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array((x >> low).astype(np.int32)), pa.array((x & ((1 << low) - 1)).astype(np.int32)), pa.array(n[x].astype(np.int64))], names=["blk", "pos", "n"])
+            for a, b, part in _texts(batch):
+                h, doc, k1, k2 = make(part)
+                has = np.bincount(doc, minlength=b - a) > 0
+                h, _ = grams.distinct_by_doc(h, doc)
+                held.append((h >> _U(48 - bits)).astype(np.uint32))
+                size += len(h)
+                m = b - a
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, m), pa.array(k1), pa.array(k2), pa.array(has), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32())], names=["id", "hid", "h2", "has", "bucket", "n"])
+                if size > _FLUSH:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return rows.mapInArrow(run, "id string, hid bigint, h2 bigint, has boolean, bucket int, n int")
+
+
+def gram_sketch(counts: DataFrame, bits: int) -> np.ndarray:
+    """Classes of the logarithm of the counts, one byte for each of the 2**bits counters.
+
+    The sums stay on the executors; the driver gets 2**bits bytes however large the input is.
+    """
+    low = max(0, bits - 12)
 
     def pack(batches):
         blocks: dict[int, np.ndarray] = {}
         for batch in batches:
-            b, p, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            at, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            b = at >> low
             q = np.minimum(255, 1 + np.floor(_STEP * np.log2(c))).astype(np.uint8)
-            for one in np.unique(b):
-                m = b == one
-                blocks.setdefault(int(one), np.zeros(1 << low, np.uint8))[p[m]] = q[m]
+            o = np.argsort(b, kind="stable")
+            b, at, q = b[o], at[o], q[o]
+            cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else []
+            for s, e in zip(cut, np.append(cut[1:], len(b)) if len(b) else []):
+                blocks.setdefault(int(b[s]), np.zeros(1 << low, np.uint8))[at[s:e] & ((1 << low) - 1)] = q[s:e]
         for one, x in blocks.items():
             yield pa.RecordBatch.from_arrays([pa.array([one], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["blk", "q"])
 
-    sums = texts.select("text").mapInArrow(count, "blk int, pos int, n bigint").repartition("blk").groupBy("blk", "pos").agg(F.sum("n").alias("n"))
+    sums = counts.where("bucket is not null").select("bucket", "n", F.shiftright("bucket", low).alias("blk")).repartition("blk").groupBy("blk", "bucket").agg(F.sum("n").alias("n"))
     out = np.zeros((1 << min(12, bits), 1 << low), np.uint8)
-    for r in sums.sortWithinPartitions("blk").mapInArrow(pack, "blk int, q binary").toLocalIterator(prefetchPartitions=True):
+    for r in sums.select("bucket", "n").mapInArrow(pack, "blk int, q binary").collect():
         out[r.blk] = np.frombuffer(r.q, np.uint8)
     return out.reshape(-1)
 
 
-def _cuts(level: np.ndarray, per_fragment: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """First fragment of each count class and the number of fragments that its hashes are cut into, by work.
+#: Pairs and postings of a fragment, about.
+_PAIRS = 40_000_000
+
+
+def _cuts(level: np.ndarray, t: float, per_fragment: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First fragment of each count class, the number of fragments that its hashes are cut into, and the blocks that each fragment is joined in.
 
-    A class's work is its n-grams' postings times the square root of their
-    count. Small neighbouring classes share a fragment.
+    The share of a class that lies in prefixes is estimated from where it
+    stands in the order: a record's part up to 1 - t is its prefix, the part
+    up to 1 - 2t/(1+t) is what smaller partners are found by.
     """
     n = np.bincount(level, minlength=256).astype(float)
-    n[0] = n[1] = 0  # seen once at most: never shared
-    df = np.exp2((np.arange(256) - 1) / _STEP)
-    work = n * df * np.sqrt(np.minimum(df, 4096))
+    df = np.exp2((np.arange(256) - 0.5) / _STEP)
     postings = n * df
-    total = work.sum()
-    want = max(least, math.ceil(postings.sum() / per_fragment))
+    at = (np.cumsum(postings) - postings / 2) / max(1.0, postings.sum())
+    inside = lambda x: 1 / (1 + np.exp(np.clip((at - x) / 0.08, -50, 50)))
+    probe, index = inside(1 - t), inside(1 - 2 * t / (1 + t))
+    postings[:2] = 0  # seen once at most: never shared
+    postings *= probe
+    pairs = postings * df * index / 2
+    work = postings / per_fragment + pairs / _PAIRS
+    want = max(least, math.ceil(work.sum()))
+    unit = max(work.sum() / want, 1e-9)
     first, parts, frag, acc = np.zeros(256, np.int64), np.ones(256, np.int64), 0, 0.0
     for q in range(256):
-        share = work[q] * want / total if total else 0
+        share = work[q] / unit
         if share > 1.5:
             frag += acc > 0
             first[q], parts[q] = frag, max(1, round(share))
             frag, acc = frag + parts[q], 0.0
         else:
-            if acc + share > 1.25:
+            if acc and acc + share > 1.25:
                 frag, acc = frag + 1, 0.0
             first[q] = frag
             acc += share
-    return first, parts
+    # a single n-gram's postings cannot be cut by hashes: such fragments are joined block by block
+    blocks = np.ones(int((first + parts).max()) + 1, np.int64)
+    for q in range(2, 256):
+        each = max(df[q] if n[q] else 0, postings[q] / parts[q])
+        blocks[first[q] : first[q] + parts[q]] = np.maximum(blocks[first[q]], min(256, math.ceil(each * probe[q] / (4 * per_fragment))))
+    return first, parts, blocks
 
 
 def _bitmap_bits(n: np.ndarray) -> np.ndarray:
@@ -130,14 +173,14 @@ def _bitmap_bits(n: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(kind: str, k: int, t: float, bits: int, level_b, first: np.ndarray, parts: np.ndarray, blocks: np.ndarray):
-    make = _gram_fn(kind, k)
+    make = _hash_fn(kind, k)
 
     def run(batches):
         level = np.frombuffer(level_b.value, np.uint8)
         for batch in batches:
-            hids = batch.column("hid").to_numpy(zero_copy_only=False)
             for a, b, part in _texts(batch):
-                h, doc = grams.distinct_by_doc(*make(part))
+                h, doc, hids, _ = make(part)
+                h, doc = grams.distinct_by_doc(h, doc)
                 n = np.bincount(doc, minlength=b - a)
                 q = level[(h >> _U(48 - bits)).astype(np.int64)]
                 key = np.sort((doc.astype(np.uint64) << _U(48)) | (q.astype(np.uint64) << _U(40)) | (h & _U((1 << 40) - 1)))
@@ -160,22 +203,23 @@ def _prefixes(kind: str, k: int, t: float, bits: int, level_b, first: np.ndarray
                 cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (frag[1:] != frag[:-1])]))
                 end = np.append(cut[1:], len(d))
                 tb, pb = tok.tobytes(), pos.tobytes()
-                rows = {c: [] for c in ("frag", "i", "j", "hid", "n", "sig", "tok", "pos")}
+                rows = {c: [] for c in ("frag", "i", "j", "side", "hid", "n", "sig", "tok", "pos")}
                 for s, e in zip(cut.tolist(), end.tolist()):
                     x = int(d[s])
-                    f, hid = int(frag[s]), int(hids[a + x])
+                    f, hid = int(frag[s]), int(hids[x])
                     nb = int(blocks[f])
                     mine = (hid * 0x9E3779B1 & 0xFFFFFFFF) * nb >> 32
                     for other in range(nb):
                         rows["frag"].append(f)
                         rows["i"].append(min(mine, other))
                         rows["j"].append(max(mine, other))
+                        rows["side"].append(int(mine > other))
                         rows["hid"].append(hid)
                         rows["n"].append(int(n[x]))
                         rows["sig"].append(sig[byte0[x] : byte0[x + 1]])
                         rows["tok"].append(tb[4 * s : 4 * e])
                         rows["pos"].append(pb[2 * s : 2 * e])
-                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, ty) for v, ty in zip(rows.values(), kinds)], names=list(rows))
 
     return run
@@ -304,15 +348,14 @@ def _join_fragment(t: float):
     return run
 
 
-def _gram_arrays(kind: str, k: int, t: float):
+def _gram_arrays(kind: str, k: int):
     """Full n-gram sets, cut into fragments of the hash order."""
-    make = _gram_fn(kind, k)
+    make = _hash_fn(kind, k)
 
     def run(batches):
         for batch in batches:
-            cls, hids = batch.column("cls").to_pylist(), batch.column("hid").to_pylist()
             for a, b, part in _texts(batch):
-                h, doc = make(part)
+                h, doc, k1, k2 = make(part)
                 o = np.lexsort((h, doc))
                 h, doc = h[o], doc[o]
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])[: len(h)]
@@ -324,79 +367,70 @@ def _gram_arrays(kind: str, k: int, t: float):
                     continue
                 d = doc[cut]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([cls[a + x] for x in d]), pa.array([hids[a + x] for x in d], pa.int64()), pa.array(n[d].astype(np.int32)), pa.array(frag[cut].astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.append(cut, len(h)).astype(np.int32)), pa.array(h.view(np.int64)))],
-                    names=["cls", "hid", "n", "frag", "toks"],
+                    [pa.array(k1[d]), pa.array(k2[d]), pa.array(n[d].astype(np.int32)), pa.array(frag[cut].astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.append(cut, len(h)).astype(np.int32)), pa.array(h.view(np.int64)))],
+                    names=["hid", "h2", "n", "frag", "toks"],
                 )
 
     return run
 
 
-def _levels(spark: SparkSession, level: np.ndarray):
-    return spark.sparkContext.broadcast(level.tobytes())  # 2**sketch_bits bytes, whatever the input
-
-
-def content_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, cls, hid): ``cls`` is equal for texts of the same word sequence."""
-    norm = F.trim(F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+", " "))
-    return df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.md5(norm).alias("cls")).where(F.col("id").isNotNull() & F.col("text").isNotNull()).withColumn("hid", F.xxhash64("cls"))
-
-
-def near_duplicate_class_pairs(df: DataFrame, threshold: float = 0.8, k: int = 5, kind: str = "word", sketch_bits: int = 24, fragment_postings: int = 3_000_000) -> DataFrame:
-    """Pairs of content classes (cls_a < cls_b) with their similarity, from (id, text, cls, hid) rows."""
-    spark = df.sparkSession
-    t = float(threshold)
-    if not 0 < t <= 1:
-        raise ValueError("threshold must lie in (0, 1]")
-    level = gram_sketch(df, kind, k, sketch_bits)
-    first, parts = _cuts(level, fragment_postings, 8)
-    # postings of each fragment (at most), and so the blocks that it is joined in
-    n = np.bincount(level, minlength=256) * np.exp2(np.arange(256) / _STEP)
-    frag_n = np.zeros(int((first + parts).max()) + 1)
-    for q in range(2, 256):
-        frag_n[first[q] : first[q] + parts[q]] += n[q] / parts[q]
-    # n-grams seen by so many records are in a prefix only where a record has nothing rarer
-    blocks = np.maximum(1, np.minimum(64, np.ceil(frag_n / (8 * fragment_postings)))).astype(np.int64)
-    many = df.groupBy("cls", "hid").agg(F.count("*").alias("c")).where("c > 1").select("cls")
-    one_of = df.select("cls", "hid", "text").join(many, "cls", "left_anti").unionByName(df.select("cls", "hid", "text").join(many, "cls", "left_semi").dropDuplicates(["cls"]))
-    prefix = one_of.select("hid", "text").mapInArrow(_prefixes(kind, k, t, sketch_bits, _levels(spark, level), first, parts, blocks), "frag int, i int, j int, hid bigint, n int, sig binary, tok binary, pos binary")
-    if blocks.max() > 1:
-        nb = F.element_at(F.array(*[F.lit(int(x)) for x in blocks]), F.col("frag") + 1)
-        mine = F.shiftright(((F.col("hid") * F.lit(0x9E3779B1)).bitwiseAND(F.lit(0xFFFFFFFF))) * nb, 32)
-        prefix = prefix.withColumn("side", (mine == F.col("i")).cast("int"))
-    else:
-        prefix = prefix.withColumn("side", F.lit(0))
-    cand = materialize(prefix.groupBy("frag", "i", "j").applyInArrow(_join_fragment(t), "ha bigint, hb bigint").distinct(), "candidates")
-    seen = cand.select(F.col("ha").alias("hid")).union(cand.select(F.col("hb").alias("hid"))).distinct()
-    arrays = materialize(df.select("cls", "hid", "text").join(seen, "hid", "left_semi").mapInArrow(_gram_arrays(kind, k, t), "cls string, hid bigint, n int, frag int, toks array<bigint>").dropDuplicates(["cls", "frag"]), "grams")
-    a = arrays.select(F.col("cls").alias("ca"), F.col("hid").alias("ha"), F.col("n").alias("na"), "frag", F.col("toks").alias("ta"))
-    b = arrays.select(F.col("cls").alias("cb"), F.col("hid").alias("hb"), F.col("n").alias("nb"), "frag", F.col("toks").alias("tb"))
-    partial = cand.join(a, "ha").join(b, ["hb", "frag"]).select("ca", "cb", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("o"))
-    total = partial.groupBy("ca", "cb", "na", "nb").agg(F.sum("o").alias("o"))
-    sim = F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))
-    return total.select(F.least("ca", "cb").alias("cls_a"), F.greatest("ca", "cb").alias("cls_b"), sim.alias("similarity")).where(F.col("similarity") >= t - 1e-12)
+class NearDuplicates:
+    """The operator over one table: ``members`` (id, hid, h2, has) and ``links`` between classes of equal content."""
+
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, k: int = 5, kind: str = "word", sketch_bits: int = 24, fragment_postings: int = 3_000_000):
+        t = float(threshold)
+        if not 0 < t <= 1:
+            raise ValueError("threshold must lie in (0, 1]")
+        spark = df.sparkSession
+        rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
+        once_more = materialize(first_pass(rows, kind, k, sketch_bits), "first")
+        self.members = once_more.where("id is not null").select("id", "hid", "h2", "has").distinct()
+        level = gram_sketch(once_more, sketch_bits)
+        first, parts, blocks = _cuts(level, t, fragment_postings, 8)
+        shared = spark.sparkContext.broadcast(level.tobytes())  # 2**sketch_bits bytes, whatever the input
+        # of the rows of one class, one takes part; only repeated classes and ids are shuffled with their texts
+        every = once_more.where("id is not null").select("id", "hid", "h2")
+        many = every.groupBy("hid", "h2").agg(F.count("*").alias("c")).where("c > 1").select("hid", "h2")
+        again = every.join(many, ["hid", "h2"], "left_semi").distinct()
+        one_of = rows.join(again.select("id").distinct(), "id", "left_anti").select("text").unionByName(rows.join(again, "id").dropDuplicates(["hid", "h2"]).select("text"))
+        prefix = one_of.mapInArrow(_prefixes(kind, k, t, sketch_bits, shared, first, parts, blocks), "frag int, i int, j int, side int, hid bigint, n int, sig binary, tok binary, pos binary")
+        cand = materialize(prefix.groupBy("frag", "i", "j").applyInArrow(_join_fragment(t), "ha bigint, hb bigint").distinct(), "candidates")
+        seen = cand.select(F.col("ha").alias("hid")).union(cand.select(F.col("hb").alias("hid"))).distinct()
+        ids = every.join(seen, "hid", "left_semi").groupBy("hid", "h2").agg(F.min("id").alias("id")).select("id").distinct()
+        arrays = materialize(rows.join(ids, "id", "left_semi").mapInArrow(_gram_arrays(kind, k), "hid bigint, h2 bigint, n int, frag int, toks array<bigint>").dropDuplicates(["hid", "h2", "frag"]), "grams")
+        side = lambda x: arrays.select(F.col("hid").alias(f"h{x}"), F.col("h2").alias(f"g{x}"), F.col("n").alias(f"n{x}"), "frag", F.col("toks").alias(f"t{x}"))
+        partial = cand.join(side("a"), "ha").join(side("b"), ["hb", "frag"]).select("ha", "ga", "hb", "gb", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("o"))
+        total = partial.groupBy("ha", "ga", "hb", "gb", "na", "nb").agg(F.sum("o").alias("o"))
+        sim = F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))
+        self.links = materialize(total.select("ha", "ga", "hb", "gb", sim.alias("similarity")).where(F.col("similarity") >= t - 1e-12), "links")
+
+    def pairs(self) -> DataFrame:
+        """(id_a < id_b, similarity) of all pairs of members of linked classes and of members of one class. The size is that of the result."""
+        m = self.members.where("has").select("id", "hid", "h2")
+        many = m.groupBy("hid", "h2").agg(F.count("*").alias("c")).where("c > 1").select("hid", "h2")
+        copies = m.join(many, ["hid", "h2"], "left_semi")
+        inside = copies.withColumnRenamed("id", "a").join(copies.withColumnRenamed("id", "b"), ["hid", "h2"]).where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+        a = m.select(F.col("hid").alias("ha"), F.col("h2").alias("ga"), F.col("id").alias("a"))
+        b = m.select(F.col("hid").alias("hb"), F.col("h2").alias("gb"), F.col("id").alias("b"))
+        across = self.links.join(a, ["ha", "ga"]).join(b, ["hb", "gb"]).where("a <> b").select("a", "b", "similarity")
+        return inside.unionByName(across).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "similarity").groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
+
+    def groups(self) -> DataFrame:
+        """One row per id: (id, class_id, group_id, n_copies, n_links)."""
+        key = F.concat_ws("-", F.hex("hid"), F.hex("h2"))
+        members = self.members.select("id", key.alias("cls")).distinct()
+        classes = members.groupBy("cls").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies"))
+        links = self.links.select(F.concat_ws("-", F.hex("ha"), F.hex("ga")).alias("cls_a"), F.concat_ws("-", F.hex("hb"), F.hex("gb")).alias("cls_b"))
+        ends = links.select(F.col("cls_a").alias("cls")).unionAll(links.select(F.col("cls_b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
+        named = links.join(classes.select(F.col("cls").alias("cls_a"), F.col("class_id").alias("a")), "cls_a").join(classes.select(F.col("cls").alias("cls_b"), F.col("class_id").alias("b")), "cls_b").select("a", "b")
+        group = connected_components(named, "a", "b").withColumnRenamed("node", "class_id").withColumnRenamed("component", "group_id")
+        out = members.join(classes.join(ends, "cls", "left").join(group, "class_id", "left"), "cls")
+        return out.select("id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, k: int = 5, kind: str = "word", **kw) -> DataFrame:
     """All pairs (id_a < id_b, similarity) of different ids, copies included, whose n-gram sets have a Jaccard similarity of at least ``threshold``."""
-    rows = content_classes(df, id_col, text_col)
-    links = near_duplicate_class_pairs(rows, threshold, k, kind, **kw)
-    return expand_pairs(rows.select("id", "cls", _has_gram(k, kind).alias("ok")), links)
-
-
-def _has_gram(k: int, kind: str):
-    norm = F.trim(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " "))
-    return F.size(F.split(norm, " ")) >= k if kind == "word" else F.length(norm) >= 1
-
-
-def expand_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of members of linked classes and of members of one class. The size is that of the result."""
-    members = rows.distinct()
-    m = members.where("ok").select("id", "cls")
-    many = m.groupBy("cls").agg(F.count("*").alias("c")).where("c > 1").select("cls")
-    copies = m.join(many, "cls", "left_semi")
-    inside = copies.select("cls", F.col("id").alias("a")).join(copies.select("cls", F.col("id").alias("b")), "cls").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
-    across = links.join(m.select(F.col("cls").alias("cls_a"), F.col("id").alias("a")), "cls_a").join(m.select(F.col("cls").alias("cls_b"), F.col("id").alias("b")), "cls_b").where("a <> b").select("a", "b", "similarity")
-    return inside.unionByName(across).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "similarity").groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
+    return NearDuplicates(df, id_col, text_col, threshold, k, kind, **kw).pairs()
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, k: int = 5, kind: str = "word", **kw) -> DataFrame:
@@ -406,12 +440,4 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, threshold:
     smallest id that a chain of links leads to, ``n_copies`` the ids of the
     class and ``n_links`` the number of other classes that it is linked to.
     """
-    rows = content_classes(df, id_col, text_col)
-    links = materialize(near_duplicate_class_pairs(rows, threshold, k, kind, **kw), "links")
-    members = rows.select("id", "cls").distinct()
-    classes = members.groupBy("cls").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies"))
-    ends = links.select(F.col("cls_a").alias("cls")).unionAll(links.select(F.col("cls_b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
-    named = links.join(classes.select(F.col("cls").alias("cls_a"), F.col("class_id").alias("a")), "cls_a").join(classes.select(F.col("cls").alias("cls_b"), F.col("class_id").alias("b")), "cls_b").select("a", "b")
-    group = connected_components(named, "a", "b").withColumnRenamed("node", "class_id").withColumnRenamed("component", "group_id")
-    out = members.join(classes.join(ends, "cls", "left").join(group, "class_id", "left"), "cls")
-    return out.select("id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return NearDuplicates(df, id_col, text_col, threshold, k, kind, **kw).groups()

@@ -6,29 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm.components import connected_components
-from docmill.llm.near_duplicates import content_classes, near_duplicate_class_pairs, near_duplicate_groups, near_duplicate_pairs
-from docmill.llm.titles import canonical_udf, same_title_udf
+from docmill.llm.near_duplicates import NearDuplicates, near_duplicate_groups, near_duplicate_pairs
+from docmill.llm.titles import canonical_udf, same_words_udf
 from docmill.storage import materialize, table
 
-#: Character trigrams of two titles that differ by two edits share at least this.
-TITLE_SIMILARITY = 0.45
+#: Character trigrams of the words without digits of two titles that differ by two edits share at least this.
+TITLE_SIMILARITY = 0.5
 
 
 def title_pairs(docs: DataFrame, id_col: str = "doc_id", name_col: str = "name") -> DataFrame:
     """(id_a, id_b) of ids whose names are one title up to small edits.
 
     Candidates come from the near-duplicate operator over character n-grams of
-    the canonical names; an exact check of the edits follows. Titles linked by
-    a chain are one title. Null, blank and generic names are in no pair.
+    the words without digits; an exact check of the edits follows, and the
+    words with digits must be equal. Titles linked by a chain are one title.
+    Null, blank and generic names are in no pair.
     """
-    names = materialize(docs.select(F.col(id_col).cast("string").alias("id"), F.col(name_col).alias("name")).where("id is not null and name is not null").distinct().select("id", canonical_udf("name").alias("text")).where("text is not null").distinct(), "titles")
-    rows = content_classes(names.withColumn("cid", F.col("text")), "cid", "text").drop("id").distinct().withColumn("id", F.col("text"))
-    text = rows.select("cls", "text")
-    links = near_duplicate_class_pairs(rows, TITLE_SIMILARITY, 3, "char", sketch_bits=20)
-    named = links.join(text.select(F.col("cls").alias("cls_a"), F.col("text").alias("a")), "cls_a").join(text.select(F.col("cls").alias("cls_b"), F.col("text").alias("b")), "cls_b")
-    same = named.where(same_title_udf("a", "b")).select("a", "b")
-    group = connected_components(same, "a", "b").withColumnRenamed("node", "text")
-    members = materialize(names.join(group, "text", "left").select("id", F.coalesce("component", "text").alias("g")).distinct(), "members")
+    named = docs.select(F.col(id_col).cast("string").alias("id"), F.col(name_col).alias("name")).where("id is not null and name is not null").distinct()
+    names = materialize(named.select("id", canonical_udf("name").alias("title")).where("title is not null").distinct(), "titles")
+    words = names.select(F.substring_index("title", "|", 1).alias("words")).distinct()
+    op = NearDuplicates(words, "words", "words", TITLE_SIMILARITY, 3, "char", sketch_bits=18)
+    close = op.pairs().where(same_words_udf("id_a", "id_b")).select("id_a", "id_b")
+    titles = names.select("title", F.substring_index("title", "|", 1).alias("words"), F.substring_index("title", "|", -1).alias("digits")).distinct()
+    a, b = (titles.select(F.col("words").alias(f"id_{x}"), "digits", F.col("title").alias(x)) for x in "ab")
+    group = connected_components(close.join(a, "id_a").join(b, ["id_b", "digits"]), "a", "b").withColumnRenamed("node", "title")
+    members = materialize(names.join(group, "title", "left").select("id", F.coalesce("component", "title").alias("g")).distinct(), "members")
     many = members.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
     m = members.join(many, "g", "left_semi")
     return m.select("g", F.col("id").alias("id_a")).join(m.select("g", F.col("id").alias("id_b")), "g").where("id_a < id_b").select("id_a", "id_b").distinct()

@@ -47,7 +47,7 @@ def edits(a: str, b: str, most: int = 9) -> int:
 
 
 def canonical(name: str | None) -> str | None:
-    """The words of a title in order of code points, or None for a null, blank or generic name."""
+    """The words of a title in order of code points, those with a digit after a bar; None for a null, blank or generic name."""
     if name is None:
         return None
     s = unicodedata.normalize("NFKC", name).strip()
@@ -65,15 +65,12 @@ def canonical(name: str | None) -> str | None:
     letters = [w for w in out if not any(c.isdigit() for c in w)]
     if not letters or all(w in GENERIC for w in letters):
         return None
-    return " ".join(sorted(out))
+    return " ".join(sorted(letters)) + "|" + " ".join(sorted(w for w in out if w not in letters))
 
 
-def same_title(a: str, b: str) -> bool:
+def same_words(a: str, b: str) -> bool:
+    """Whether the words without digits pair up."""
     x, y = a.split(), b.split()
-    digits = lambda ws: sorted(w for w in ws if any(c.isdigit() for c in w))
-    if digits(x) != digits(y):
-        return False
-    x, y = ([w for w in ws if not any(c.isdigit() for c in w)] for ws in (x, y))
     for w in list(x):
         if w in y:
             x.remove(w)
@@ -97,5 +94,5 @@ def canonical_udf(s: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.BooleanType())
-def same_title_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([same_title(x, y) for x, y in zip(a, b)], dtype=bool)
+def same_words_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([same_words(x, y) for x, y in zip(a, b)], dtype=bool)
