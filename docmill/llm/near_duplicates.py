@@ -125,7 +125,7 @@ def gram_sketch(counts: DataFrame, bits: int) -> np.ndarray:
 
 
 #: Pairs and postings of a fragment, about.
-_PAIRS = 40_000_000
+_PAIRS = 30_000_000
 
 
 def _cuts(level: np.ndarray, t: float, per_fragment: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -283,7 +283,17 @@ def fragment_pairs(hid, n, sig, sig_words, tok, tok_n, pos, block, t: float, bat
     del igram, ikey, before
     ends = np.cumsum(count[probe])
     idoc, ireach = d[index].astype(np.int32), reach[index].astype(np.int32)
-    classes = np.unique(sig_words)
+    d, size = d.astype(np.int32), size.astype(np.int32)
+    both = np.arange(2 * int(n.max()) + 1)
+    most = np.floor(both - 2 * np.ceil(ratio * both - _EPS) + _EPS).astype(np.int32)  # differing n-grams, by the sum of the sizes
+    n32 = n.astype(np.int32)
+    # every bitmap folded to the smallest size: a first bound that one row decides
+    least = int(sig_words.min())
+    folded = np.zeros((len(n), least), np.uint64)
+    for w in np.unique(sig_words):
+        of = np.flatnonzero(sig_words == w)
+        full = sig[sig_start[of][:, None] + np.arange(w)]
+        folded[of] = np.bitwise_xor.reduce(full.reshape(len(of), w // least, least), axis=1)
     at = 0
     while at < len(probe):
         done = ends[at - 1] if at else 0
@@ -292,31 +302,40 @@ def fragment_pairs(hid, n, sig, sig_words, tok, tok_n, pos, block, t: float, bat
         at = to
         for q, c, low in _pieces(p, count, lo, batch):
             x_at = _spread(low, c)
-            ok = ireach[x_at] >= np.repeat(size[q], c)
+            ok = np.flatnonzero(ireach[x_at] >= np.repeat(size[q], c))
             x, y = idoc[x_at[ok]], np.repeat(d[q], c)[ok]
             if block is not None:
                 ok = block[x] != block[y]
                 x, y = x[ok], y[ok]
-            most = np.floor((n[x] + n[y]) - 2 * np.ceil(ratio * (n[x] + n[y]) - _EPS) + _EPS).astype(np.int64)  # of differing n-grams
-            for wx in classes:
-                for wy in classes[classes >= wx]:
-                    m = (sig_words[x] == wx) & (sig_words[y] == wy) if len(classes) > 1 else slice(None)
-                    xs, ys, most_m = x[m], y[m], most[m]
-                    if not len(xs):
-                        continue
-                    alive = np.arange(len(xs))
-                    ham = np.zeros(len(xs), np.int64)
-                    for w in range(wx):  # fold the larger bitmap; stop counting for pairs that are out
-                        if not len(alive):
-                            break
-                        b = sig[sig_start[ys[alive]] + w]
-                        for more in range(1, wy // wx):
-                            b = b ^ sig[sig_start[ys[alive]] + w + more * wx]
-                        ham[alive] += np.bitwise_count(sig[sig_start[xs[alive]] + w] ^ b)
-                        alive = alive[ham[alive] <= most_m[alive]]
-                    if len(alive):
-                        key = np.unique(xs[alive].astype(np.int64) * len(n) + ys[alive])
-                        yield hid[key // len(n)], hid[key % len(n)]
+            limit = most[n32[x] + n32[y]]
+            ham = np.bitwise_count(folded[x, 0] ^ folded[y, 0]).astype(np.int32)
+            for w in range(1, least):
+                ham += np.bitwise_count(folded[x, w] ^ folded[y, w])
+            ok = np.flatnonzero(ham <= limit)
+            if not len(ok):
+                continue
+            key = np.unique(x[ok].astype(np.int64) * len(n) + y[ok])
+            x, y = key // len(n), key % len(n)
+            limit = most[n[x] + n[y]]
+            keep = np.ones(len(x), bool)
+            wide = np.minimum(sig_words[x], sig_words[y])
+            for w in np.unique(wide[wide > least]):  # larger bitmaps bound again, the wider one folded
+                m = np.flatnonzero(wide == w)
+                xs, ys = x[m], y[m]
+                ham = np.zeros(len(m), np.int64)
+                for i in range(w):
+                    u, v = sig[sig_start[xs] + i], sig[sig_start[ys] + i]
+                    for z, o in ((xs, 0), (ys, 1)):
+                        for f in range(1, int(sig_words[z].max()) // w):
+                            has = np.flatnonzero(sig_words[z] > f * w)
+                            part = sig[sig_start[z[has]] + i + f * w]
+                            if o:
+                                v[has] ^= part
+                            else:
+                                u[has] ^= part
+                    ham += np.bitwise_count(u ^ v)
+                keep[m] = ham <= limit[m]
+            yield hid[x[keep]], hid[y[keep]]
 
 
 def _pieces(p: np.ndarray, count: np.ndarray, lo: np.ndarray, batch: int):
@@ -374,6 +393,15 @@ def _gram_arrays(kind: str, k: int):
     return run
 
 
+#: Rows of ids that are broadcast at most.
+BROADCAST_ROWS = 500_000
+
+
+def _hinted(written: DataFrame) -> DataFrame:
+    """The table with a broadcast hint if it is small; otherwise the join shuffles."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 class NearDuplicates:
     """The operator over one table: ``members`` (id, hid, h2, has) and ``links`` between classes of equal content."""
 
@@ -392,11 +420,13 @@ class NearDuplicates:
         every = once_more.where("id is not null").select("id", "hid", "h2")
         many = every.groupBy("hid", "h2").agg(F.count("*").alias("c")).where("c > 1").select("hid", "h2")
         again = every.join(many, ["hid", "h2"], "left_semi").distinct()
-        one_of = rows.join(again.select("id").distinct(), "id", "left_anti").select("text").unionByName(rows.join(again, "id").dropDuplicates(["hid", "h2"]).select("text"))
+        again = _hinted(materialize(again, "again"))
+        one_of = rows.join(again, "id", "left_anti").select("text").unionByName(rows.join(again, "id").dropDuplicates(["hid", "h2"]).select("text"))
         prefix = one_of.mapInArrow(_prefixes(kind, k, t, sketch_bits, shared, first, parts, blocks), "frag int, i int, j int, side int, hid bigint, n int, sig binary, tok binary, pos binary")
         cand = materialize(prefix.groupBy("frag", "i", "j").applyInArrow(_join_fragment(t), "ha bigint, hb bigint").distinct(), "candidates")
         seen = cand.select(F.col("ha").alias("hid")).union(cand.select(F.col("hb").alias("hid"))).distinct()
         ids = every.join(seen, "hid", "left_semi").groupBy("hid", "h2").agg(F.min("id").alias("id")).select("id").distinct()
+        ids = _hinted(materialize(ids, "ids"))
         arrays = materialize(rows.join(ids, "id", "left_semi").mapInArrow(_gram_arrays(kind, k), "hid bigint, h2 bigint, n int, frag int, toks array<bigint>").dropDuplicates(["hid", "h2", "frag"]), "grams")
         side = lambda x: arrays.select(F.col("hid").alias(f"h{x}"), F.col("h2").alias(f"g{x}"), F.col("n").alias(f"n{x}"), "frag", F.col("toks").alias(f"t{x}"))
         partial = cand.join(side("a"), "ha").join(side("b"), ["hb", "frag"]).select("ha", "ga", "hb", "gb", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("o"))
