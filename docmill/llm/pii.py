@@ -427,7 +427,10 @@ def checked(text: str, spans: list[tuple[int, int, str]], plain: frozenset[str])
             if _digits(s) < 6 or _CODE.match(s) or re.search(r"[^\W\d]{4,}", s):
                 continue
         elif not (_digits(s) and re.search(r"[^\W\d_]{4,}", s) and any(c.isupper() for c in s)) or len(s) < 10 or all(w.casefold() in plain for w in re.findall(r"[^\W\d_]{4,}", s)):
-            continue
+            got = _name_span(text, a, b, plain)  # a family name before a comma can look like a town
+            if got is None or not any(w.casefold() in _GIVEN for w in re.findall(_NAME, text[got[0] : got[1]])):
+                continue
+            a, b, kind = *got, "person"
         if out and a < out[-1][1]:
             if out[-1][2] == kind:
                 out[-1] = (out[-1][0], max(b, out[-1][1]), kind)

@@ -25,7 +25,7 @@ FRAMES = [
     # each kind in its usual places
     "{P} chaired the session and closed it early.", "The minutes were taken by {P}, as agreed.", "The key to {P}, {A}.", "Forward the key to {P}, {A}.", "{P} can be reached at {E} or {T}.", "{P} can be reached at <{E}>.", "Ask about the delay, {P} gave {T}.",
     "A note in the margin: {P}. The test bench blocks the annex.", "The cold room covers the intake form ({P}). Overall, it stands.", "The cold room covers the intake form ({T}).", "The cold room covers the intake form, {T}.", "The cold room covers the intake form ({E}).", "The audit trail shortens the memo, cc {E}.", "{P} supports the audit trail.", "The depot lease conflicts with the badge reader. {P} reopened the field survey.", "-- {P}", "/ {P} /", "{P}: In short, the lift is out of order.", "{P}",
-    "Replies go to {E} only.", "Please send corrections to {E} before the review.", "{E}: To be clear, the travel plan stands.", "{E}", "The desk answers on {T} during office hours.", "If the gate is locked, dial {T} and wait.", "T: {T}", "Tel. {T} The plan stands.", "Phone: {T}", "{T}", "National identity number on file: {I}. About 233 hours remain.", "The applicant stated {I} on the second form.", "The plan stands (SSN: {I}).", "The plan stands, NINO {I}.", "The plan stands (ID {I}).", "The plan stands, ID {I}.", "The plan stands, SSN: {I}.", "Copies of {I} and the lease for {A} were handed over.", "Passport {I}", "The new tenant lives at {A}, second bell.", "Lives at {A} according to the lease.", "Deliveries go to {A} from Monday on.", "Moved to {A}; new number {T}.", "The plan stands ({A}).", "The plan stands, {A}.", "{A}", "Contact: {P}, {E}, {T}, {A}.", "[Handover] {P} answers on {T}.", "Page 3, line 10, as {P} said.", "{P} and {P} signed.", "From {P} to {P}: the list is done.", "Responsible: {P}", "{P} precedes the procurement memo.",
+    "Replies go to {E} only.", "Please send corrections to {E} before the review.", "{E}: To be clear, the travel plan stands.", "{E}", "The desk answers on {T} during office hours.", "If the gate is locked, dial {T} and wait.", "T: {T}", "Tel. {T} The plan stands.", "Phone: {T}", "{T}", "National identity number on file: {I}. About 233 hours remain.", "The applicant stated {I} on the second form.", "The plan stands (SSN: {I}).", "The plan stands, NINO {I}.", "The plan stands (ID {I}).", "The plan stands, ID {I}.", "The plan stands, SSN: {I}.", "Copies of {I} and the lease for {A} were handed over.", "Passport {I}", "The new tenant lives at {A}, second bell.", "Lives at {A} according to the lease.", "Deliveries go to {A} from Monday on.", "Moved to {A}; new number {T}.", "The plan stands ({A}).", "The plan stands, {A}.", "{A}", "Contact: {P}, {E}, {T}, {A}.", "[Handover] {P} answers on {T}.", "Page 3, line 10, as {P} said.", "{P} and {P} signed.", "From {P} to {P}: the list is done.", "Responsible: {P}", "{P} precedes the procurement memo.", "Works with {P}; mail to {E}.", "Notes were taken by {P}, as in spring.", "Signed in the margin: {P}.", "Role passed on by {P} in spring.", "Registered under {I} in the intake form.", "The plan stands (identity no. {I}).", "Contact for the depot, reachable at {E}.", "{P} or {P}; mail to {E}.",
     "{P} hat die Sitzung geleitet.", "Der Schlüssel liegt bei {P}, {A}.", "{P} ist per {E} oder {T} zu erreichen.", "Die Zentrale ist unter {T} erreichbar.", "Rückfragen bitte an {E}.", "Auf dem zweiten Bogen steht die Kennnummer {I}.", "Das Lager ist voll (Kennnr. {I}).", "Das Lager ist voll, Ausweis {I}.", "Das Lager ist voll ({P}).", "Lieferungen gehen an {A} ab Montag.", "Wohnt in {A}.", "{P} verkürzt das Messgerät im zweiten Anhang.", "Am Rand steht: {P}. Etwa 30 von 99 Aufgaben sind erledigt.", "Vermerk, {A}.", "Zur Frage der Frist gab {P} {T} an.",
     "{P} a présidé la séance et l'a close plus tôt.", "On peut joindre {P} par {E} ou au {T}.", "L'accueil répond au {T} pendant la journée.", "La livraison se fait au {A} dès lundi.", "La deuxième annexe indique le numéro {I} pour la personne.", "Le stock atteint 30 unités, n° d'identité {I}.", "Le plan tient (NIR {I}).", "Le plan tient ({P}).", "Le plan tient ({A}).", "Le plan tient, {T}.", "La clé est chez {P}, {A}.", "{P} confirme le calendrier des congés.", "Note en marge : {P}. Environ 12 tâches.", "Réponses à {E} uniquement.",
     "{P} presidió la sesión.", "Se puede localizar a {P} en {E} o en el {T}.", "La recepción atiende en el {T} por la mañana.", "En la segunda hoja figura el número {I} del solicitante.", "El plan sigue (DNI {I}).", "El plan sigue, DNI {I}.", "Las entregas se hacen en {A} desde el lunes.", "El plan sigue ({P}).", "La llave la tiene {P}, {A}.", "{P} completa la red de calefacción.", "Nota al margen: {P}. Quedan 10 horas.", "Las correcciones deben enviarse a {E} antes de la revisión.",
