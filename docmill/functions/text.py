@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+def let(c: Column, f) -> Column:
+    """f(c) with c evaluated once a row, also where f uses it inside another lambda."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 BLANKS = r"(?U)^\s+|\s+$"
 
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docmill.functions.text import let
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 COLUMNS = ("text", "keywords", "expanded_keywords", "summary")
 
@@ -27,6 +30,24 @@ def _occurrences(toks: Column, phrase: list[str]) -> Column:
     return F.when(F.size(toks) >= n, F.size(F.filter(at, hit))).otherwise(F.lit(0))
 
 
+def _counts(c: Column, phrase: list[str]) -> Column:
+    """(tokens, occurrences of the phrase) of a column.
+
+    Each token is put between blanks of its own, so that occurrences of a
+    phrase cannot share a blank; what is left after taking the phrase out tells
+    how often it stood there. All of that is compiled code. A phrase that can
+    overlap itself ("a a") is counted position by position instead.
+    """
+    n = len(phrase)
+    if any(phrase[k:] == phrase[: n - k] for k in range(1, n)):
+        return let(tokens(c), lambda t: F.struct(F.size(t).alias("len"), _occurrences(t, phrase).alias("f")))
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^0-9a-z]+", " "))
+    s = F.when(plain == "", F.lit("")).otherwise(F.concat(F.lit(" "), F.replace(plain, F.lit(" "), F.lit("  ")), F.lit(" ")))
+    p = " " + "  ".join(phrase) + " "
+    size = ((F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))) / 2).cast("int")
+    return F.struct(size.alias("len"), ((F.length(s) - F.length(F.replace(s, F.lit(p), F.lit("")))) / len(p)).cast("int").alias("f"))
+
+
 def _all(cs: list[Column]) -> Column:
     out = cs[0]
     for c in cs[1:]:
@@ -46,12 +67,11 @@ def postings(chunks: DataFrame) -> DataFrame:
 def bm25_phrase(chunks: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     """(namespace, chunk_id, score) of chunks that hold the query as one phrase within a column; lower is better. One scan; only counts are shuffled."""
     phrase = phrase_tokens(query)
-    arrays = [tokens(F.col(c)) for c in COLUMNS]
-    size = sum((F.size(a) for a in arrays[1:]), F.size(arrays[0]))
     if not phrase:
         return chunks.select("namespace", "chunk_id", F.lit(0.0).alias("score")).where(F.lit(False))
-    f = sum((_occurrences(a, phrase) for a in arrays[1:]), _occurrences(arrays[0], phrase))
-    rows = chunks.select("namespace", "chunk_id", size.alias("len"), f.alias("f"))
+    rows = chunks.select("namespace", "chunk_id", *[_counts(F.col(c), phrase).alias(f"c_{c}") for c in COLUMNS])
+    add = lambda k: reduce(lambda a, b: a + b, [F.col(f"c_{c}.{k}") for c in COLUMNS])
+    rows = rows.select("namespace", "chunk_id", add("len").alias("len"), add("f").alias("f"))
     stats = rows.groupBy("namespace").agg(F.count("*").alias("total"), F.count_if(F.col("f") > 0).alias("with_phrase"), F.avg("len").alias("avg"))
     idf = F.log((F.col("total") - F.col("with_phrase") + 0.5) / (F.col("with_phrase") + 0.5))
     idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)

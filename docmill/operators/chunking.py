@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.functions.text import chunk_id, strip
+from docmill.functions.text import chunk_id, let, strip
 
 MAX_TOKENS, OVERLAP = 512, 50
 
@@ -29,9 +29,8 @@ def pack_paragraphs(paragraphs: Column, size: int = MAX_TOKENS, overlap: int = O
     step = size - overlap
 
     def windows(p: Column) -> Column:
-        w = words(p)
-        last = F.greatest(F.lit(0), F.ceil((F.size(w) - size) / step)).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(size)), " "))
+        last = lambda w: F.greatest(F.lit(0), F.ceil((F.size(w) - size) / step)).cast("int")
+        return let(words(p), lambda w: F.transform(F.sequence(F.lit(0), last(w)), lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(size)), " ")))
 
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
 
