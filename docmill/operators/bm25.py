@@ -42,10 +42,15 @@ def _counts(c: Column, phrase: list[str]) -> Column:
     if any(phrase[k:] == phrase[: n - k] for k in range(1, n)):
         return let(tokens(c), lambda t: F.struct(F.size(t).alias("len"), _occurrences(t, phrase).alias("f")))
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^0-9a-z]+", " "))
-    s = F.when(plain == "", F.lit("")).otherwise(F.concat(F.lit(" "), F.replace(plain, F.lit(" "), F.lit("  ")), F.lit(" ")))
+    spaced = F.when(plain == "", F.lit("")).otherwise(F.concat(F.lit(" "), F.replace(plain, F.lit(" "), F.lit("  ")), F.lit(" ")))
     p = " " + "  ".join(phrase) + " "
-    size = ((F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))) / 2).cast("int")
-    return F.struct(size.alias("len"), ((F.length(s) - F.length(F.replace(s, F.lit(p), F.lit("")))) / len(p)).cast("int").alias("f"))
+
+    def count(s: Column) -> Column:
+        size = ((F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))) / 2).cast("int")
+        return F.struct(size.alias("len"), ((F.length(s) - F.length(F.replace(s, F.lit(p), F.lit("")))) / len(p)).cast("int").alias("f"))
+
+    # bound by a lambda, else every later use of a count would run the expressions again
+    return let(spaced, count)
 
 
 def _all(cs: list[Column]) -> Column:
