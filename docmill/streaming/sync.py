@@ -33,4 +33,6 @@ def poll_listings(spark: SparkSession, folder: str, index: Callable[[], DataFram
 
 def call_log(calls: DataFrame, late: str = "1 hour", width: str = "10 minutes") -> DataFrame:
     """Tokens and calls of each model in windows of event time; rows later than ``late`` are dropped by the watermark."""
+    # files without a zone hold UTC
+    calls = calls.withColumn("created_at", F.col("created_at").cast("timestamp"))
     return calls.withWatermark("created_at", late).groupBy(F.window("created_at", width), "model").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens")).select(F.col("window.start").alias("start"), "model", "calls", "input_tokens", "output_tokens")
