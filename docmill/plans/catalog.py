@@ -160,7 +160,7 @@ _HITS = "(SELECT namespace, entity, row_number() OVER (ORDER BY mentions DESC, n
 
 def _hits(v: Views) -> DataFrame:
     top = v.nodes.orderBy(F.col("mentions").desc(), "namespace", "entity").limit(10)
-    return retrieval._ranked(top, [F.col("mentions").desc(), "namespace", "entity"]).select("namespace", "entity", "rank")
+    return retrieval._ranked(top, [F.col("mentions").desc(), "namespace", "entity"]).select("namespace", "entity", F.col("rank").cast("long").alias("rank"))
 
 
 @query("op_j2_hit_nodes", sql(f"SELECT h.rank, n.namespace, n.entity, n.entity_type, n.description FROM {_HITS} h JOIN nodes n USING (namespace, entity)", "nodes"))
@@ -184,7 +184,7 @@ _EHITS = "(SELECT namespace, src, tgt, row_number() OVER (ORDER BY weight DESC,
 
 def _edge_hits(v: Views) -> DataFrame:
     top = v.edges.orderBy(F.col("weight").desc(), "namespace", "src", "tgt").limit(10)
-    return retrieval._ranked(top, [F.col("weight").desc(), "namespace", "src", "tgt"]).select("namespace", "src", "tgt", "rank")
+    return retrieval._ranked(top, [F.col("weight").desc(), "namespace", "src", "tgt"]).select("namespace", "src", "tgt", F.col("rank").cast("long").alias("rank"))
 
 
 @query("op_j5_hit_edges", sql(f"SELECT h.rank, e.* FROM {_EHITS} h JOIN edges e USING (namespace, src, tgt)", "edges"))
