@@ -340,9 +340,11 @@ def fit_model(df: DataFrame | None = None, id_col: str = "", text_col: str = "")
     """Model from the labelled table; with a table of texts, plain sentences of ``SAMPLE_TEXTS`` of its rows (the bound, chosen by the hash of the id) stand beside the frames."""
     if df is None:
         return _trained(())
-    h = F.xxhash64(F.col(id_col).cast("string"))
-    few = df.select(h.alias("h"), F.col(text_col).alias("t")).where(F.col("t").isNotNull()).orderBy("h", "t").limit(SAMPLE_TEXTS).collect()
-    return _trained(tuple(clean_sentences(list(dict.fromkeys(r.t for r in few)), PLAIN_SENTENCES)))
+    rows = df.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
+    # the bound of the hashes first: texts of every task's best rows would all go to the driver
+    last = rows.select("h").distinct().orderBy("h").limit(SAMPLE_TEXTS).agg(F.max("h")).first()[0]
+    few = rows.where(F.col("h") <= (0 if last is None else last)).distinct().limit(4 * SAMPLE_TEXTS).collect()
+    return _trained(tuple(clean_sentences(sorted({r.t for r in few}), PLAIN_SENTENCES)))
 
 
 # The forms that an exact check demands of a span.
