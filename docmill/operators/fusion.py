@@ -45,6 +45,26 @@ def weighted_selection(sources: DataFrame, top_k: int, least: int = 2) -> DataFr
     freq = sources.select(F.explode("chunk_ids").alias("chunk_id")).groupBy("chunk_id").agg(F.count("*").alias("f"))
     pos = sources.select("source_rank", F.posexplode("chunk_ids").alias("p", "chunk_id")).join(freq, "chunk_id")
     ranked = pos.groupBy("source_rank").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("f")).alias("f"), "p", "chunk_id"))), lambda x: x["chunk_id"]).alias("ids"))
+    return _quotas(ranked, top_k, least)
+
+
+def weighted_rows(rows: DataFrame, top_k: int, most: int, least: int = 2) -> DataFrame:
+    """``weighted_selection`` of different (source_rank, chunk_id) rows, ids ascending within each of at most ``most`` sources.
+
+    Frequencies count all rows. The quotas add up to at most the budget plus
+    most*least, so no source can give an id beyond that place: a hot source's
+    other ids are left out before its list is put together, which is exact.
+    """
+    rows = rows.where("chunk_id is not null")
+    freq = rows.groupBy("chunk_id").agg(F.count("*").alias("f"))
+    best = Window.partitionBy("source_rank").orderBy(F.col("f").desc(), "chunk_id")
+    first = rows.join(freq, "chunk_id").withColumn("p", F.row_number().over(best)).where(F.col("p") <= max(top_k, most * least) + most * least)
+    ranked = first.groupBy("source_rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "chunk_id"))), lambda x: x["chunk_id"]).alias("ids"))
+    return _quotas(ranked, top_k, least)
+
+
+def _quotas(ranked: DataFrame, top_k: int, least: int) -> DataFrame:
+    """The fold of the selection over (source_rank, ids in order of choice)."""
     all_ = ranked.agg(F.array_sort(F.collect_list(F.struct("source_rank", "ids"))).alias("s"))
     n = F.size("s")
     budget = F.greatest(F.lit(top_k), n * least)

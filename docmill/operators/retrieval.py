@@ -72,9 +72,8 @@ def naive(ix: Index, query_vec: list[float], k: int) -> Result:
 
 def _select(hits: DataFrame, mapped: DataFrame, key: list[str], ix: Index, k: int) -> DataFrame:
     """Weighted selection over the hits' chunk lists, ids ascending within each."""
-    src = hits.select(*key, "rank").join(mapped, key).groupBy("rank").agg(F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
-    src = src.select((F.row_number().over(Window.orderBy("rank")) - 1).alias("source_rank"), "chunk_ids")
-    return _known(fusion.weighted_selection(src, k), ix.chunks)
+    src = hits.select(*key, F.col("rank").alias("source_rank")).join(mapped, key).select("source_rank", "chunk_id").distinct()
+    return _known(fusion.weighted_rows(src, k, k), ix.chunks)
 
 
 def local(ix: Index, low_vec: list[float], query: str, k: int) -> Result:

@@ -386,8 +386,7 @@ def _(v):
 @query("op_w6_weighted_selection")
 def _(v):
     m = graph.entity_chunks(v.ents).join(F.broadcast(_hits(v)), ["namespace", "entity"])
-    src = m.groupBy("rank").agg(F.slice(F.array_sort(F.collect_set("chunk_id")), 1, 500).alias("chunk_ids")).select(F.col("rank").alias("source_rank"), "chunk_ids")
-    return fusion.weighted_selection(src, 30)
+    return fusion.weighted_rows(m.select(F.col("rank").alias("source_rank"), "chunk_id"), 30, 10)
 
 
 # --- retrieval modes

@@ -12,6 +12,7 @@ from docmill import config
 from docmill.functions import text as T
 from docmill.operators import bm25, chunking, context, enrich, fusion, graph, maintenance
 from docmill.operators.latest import last_per_key, upsert
+from docmill.plans import catalog
 from docmill.progress import DocumentProgress, SyncProgress
 from docmill.sources import files
 
@@ -52,6 +53,24 @@ def test_weighted_selection_model(spark):
         assert got == _weighted(src, 7, 2)
 
 
+def test_weighted_rows_model(spark):
+    rnd = random.Random(5)
+    # a hot source whose shared ids come after its first 500
+    cases = [[sorted(f"c{i:04d}" for i in range(900)), [f"c{i:04d}" for i in range(850, 900)], ["c0001"]]]
+    cases += [[sorted(rnd.sample([f"c{i:02d}" for i in range(60)], rnd.randrange(1, 50))) for _ in range(rnd.randrange(1, 6))] for _ in range(3)]
+    for src in cases:
+        df = spark.createDataFrame([(2 * i, c) for i, s in enumerate(src) for c in s], "source_rank int, chunk_id string")
+        got = [r.chunk_id for r in fusion.weighted_rows(df, 7, 6).orderBy("rank").collect()]
+        assert got == _weighted(src, 7, 2)
+
+
+def test_w6_counts_every_chunk_of_a_hot_entity(spark, tmp_path):
+    ents = [(i, "n", f"c{i:04d}", "Hot", "t", "") for i in range(600)] + [(600 + i, "n", f"c{i:04d}", "Cold", "t", "") for i in range(590, 600)]
+    spark.createDataFrame(ents, "extraction_id long, namespace string, chunk_id string, name string, type string, description string").write.parquet(str(tmp_path / "entity_extractions.parquet"))
+    got = [r.chunk_id for r in catalog.QUERIES["op_w6_weighted_selection"](spark, str(tmp_path)).orderBy("rank").collect()]
+    assert got == _weighted([[f"c{i:04d}" for i in range(600)], [f"c{i:04d}" for i in range(590, 600)]], 30, 2)
+
+
 def test_budget_prefix_is_maximal(spark):
     df = spark.createDataFrame([(i, c) for i, c in enumerate([5, 7, 3, 9, 1])], "rank int, cost int")
     assert [r.rank for r in fusion.budget_prefix(df, "cost", 15, [], ["rank"]).collect()] == [0, 1, 2]
