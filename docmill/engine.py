@@ -95,7 +95,9 @@ class Engine:
     def retrieve(self, question: str, mode: str | None = None, top_k: int | None = None, namespaces: list[str] | None = None) -> retrieval.Result:
         high, low = parse_keywords(self.completer.complete(KEYWORDS + question), question)
         v = self.embedder.embed_batch([question, " ".join(low) or question, " ".join(high) or question])
-        return retrieval.search(self.index(namespaces), mode or self.settings.retrieval.default_mode, question, tuple(v), top_k or self.settings.retrieval.top_k)
+        names = list(dict.fromkeys(namespaces)) if namespaces else sorted(r.namespace for r in self.store.read("documents").select("namespace").distinct().collect())
+        indexes = {n: self.index([n]) for n in names} or {"": self.index()}
+        return retrieval.search_namespaces(indexes, mode or self.settings.retrieval.default_mode, question, tuple(v), top_k or self.settings.retrieval.top_k)
 
     def query(self, question: str, mode: str | None = None, top_k: int | None = None, namespaces: list[str] | None = None) -> dict:
         """Answer with sources; bypass asks the model alone."""
@@ -103,7 +105,7 @@ class Engine:
             return {"answer": self.completer.complete(question), "sources": [], "chunks": []}
         r = self.retrieve(question, mode, top_k, namespaces)
         k = top_k or self.settings.retrieval.top_k
-        rows = r.chunks.orderBy("rank").join(self.store.read("chunks").select("chunk_id", "namespace", F.col("doc_id").alias("source"), "text"), "chunk_id")
+        rows = r.chunks.orderBy("rank").join(self.store.read("chunks").select("chunk_id", "namespace", F.col("doc_id").alias("source"), "text"), ["namespace", "chunk_id"])
         empty = self.spark.createDataFrame([], "entity string, type string, description string, rank int")
         ents = empty if r.entities is None else r.entities.select("entity", F.col("entity_type").alias("type"), "description", "rank")
         rels = self.spark.createDataFrame([], "source string, target string, description string, rank int") if r.relations is None else r.relations.select("source", "target", F.col("keywords").alias("description"), "rank")

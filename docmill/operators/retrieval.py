@@ -1,8 +1,8 @@
-"""Retrieval modes over all namespaces' tables: local, global, hybrid, mix, naive."""
+"""Retrieval modes over a namespace's tables: local, global, hybrid, mix, naive; and their fusion over several namespaces."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,8 +65,8 @@ def _bm25(ix: Index, query: str, k: int) -> DataFrame:
     return _known(_ranked(bm25_phrase(ix.chunks, query, k), ["score", "chunk_id"]).select("chunk_id", "rank"), ix.chunks)
 
 
-def naive(ix: Index, query_vec: list[float], k: int) -> Result:
-    top = vector_topk(ix.chunk_vectors, query_vec, k, "chunk_id")
+def naive(ix: Index, query_vec: list[float], k: int, threshold: float | None = 0.0) -> Result:
+    top = vector_topk(ix.chunk_vectors, query_vec, k, "chunk_id", threshold=threshold)
     return Result(_known(_ranked(top, [F.col("score").desc(), "chunk_id"]), ix.chunks))
 
 
@@ -129,6 +129,34 @@ def search(ix: Index, mode: str, query: str, vectors: tuple[list[float], list[fl
     return local(ix, low, query, k)
 
 
-def fuse_namespaces(results: list[DataFrame], k: int) -> DataFrame:
-    """Each namespace's chunk list is one list of the fusion; the first namespace wins for equal ids."""
-    return _fuse(*results).orderBy("rank").limit(k)
+def of_namespace(ix: Index, namespace: str) -> Index:
+    """The tables of one of the namespaces."""
+    kept = {f.name: t.where(F.col("namespace") == namespace) for f in fields(ix) if (t := getattr(ix, f.name)) is not None}
+    return replace(ix, **kept)
+
+
+def fuse_namespaces(results: dict[str, DataFrame]) -> DataFrame:
+    """(rank, chunk_id, score, namespace): each namespace's chunk list is one list of the fusion; the first namespace wins for equal ids."""
+    u = None
+    for i, (n, x) in enumerate(results.items()):
+        one = x.select(F.lit(i).alias("list_id"), F.col("rank").cast("int").alias("rank"), "chunk_id", F.lit(n).alias("namespace"))
+        u = one if u is None else u.unionByName(one)
+    f = fusion.rrf(u, keep=["namespace"])
+    return _ranked(f, [F.col("score").desc(), F.col("first.list_id"), F.col("first.rank"), "chunk_id"]).select("rank", "chunk_id", F.round("score", 9).alias("score"), "namespace")
+
+
+def search_namespaces(indexes: dict[str, Index], mode: str, query: str, vectors: tuple[list[float], list[float], list[float]], k: int) -> Result:
+    """``search`` in each namespace by itself. The chunk lists are fused; entities and relations follow in the order of the namespaces, equal names and pairs of ends once."""
+    rs = {n: search(ix, mode, query, vectors, k) for n, ix in indexes.items()}
+    ents = rels = None
+    for i, r in enumerate(rs.values()):
+        at = (F.col("rank") + F.lit(i * 2**31)).cast("long").alias("rank")
+        if r.entities is not None:
+            one = r.entities.select("namespace", "entity", "entity_type", "description", at)
+            ents = one if ents is None else ents.unionByName(one)
+        if r.relations is not None:
+            one = r.relations.select("namespace", "source", "target", at, "weight", "keywords", F.least("source", "target").alias("lo"), F.greatest("source", "target").alias("hi"))
+            rels = one if rels is None else rels.unionByName(one)
+    ents = ents if ents is None else fusion.first_by(ents, ["entity"], ["rank", "namespace"])
+    rels = rels if rels is None else fusion.first_by(rels, ["lo", "hi"], ["rank", "namespace"]).drop("lo", "hi")
+    return Result(fuse_namespaces({n: r.chunks for n, r in rs.items()}), ents, rels)

@@ -439,13 +439,11 @@ _NS = "(SELECT c.namespace, k.chunk_id, round(list_cosine_similarity(e.embedding
 
 @query("op_r7_namespaces", sql(f"SELECT chunk_id, round(sum(1.0 / (61 + r)), 9) AS score FROM (SELECT namespace, chunk_id, row_number() OVER (PARTITION BY namespace ORDER BY score DESC, chunk_id) - 1 AS r FROM {_NS} QUALIFY r < 10) GROUP BY 1", "ch"))
 def _(v):
-    from pyspark.sql import Window
-
-    p = F.array(*[F.lit(float(x)) for x in v.probe(0)])
-    c = v.chunks.select("namespace", "chunk_id").join(v.vectors(v.raw("chunks"), "chunk_id"), "chunk_id").select("namespace", "chunk_id", F.round(vector.cosine(F.col("embedding"), p), 6).alias("score"))
-    r = (F.row_number().over(Window.partitionBy("namespace").orderBy(F.col("score").desc(), "chunk_id")) - 1).cast("int")
-    lists = c.withColumn("rank", r).where("rank < 10").select(F.col("namespace").alias("list_id"), "rank", "chunk_id")
-    return fusion.rrf(lists).select("chunk_id", F.round("score", 9).alias("score"))
+    ix = v.index()
+    ix.chunk_vectors = v.chunks.select("namespace", "chunk_id").join(ix.chunk_vectors, "chunk_id")
+    names = sorted(r.namespace for r in v.chunks.select("namespace").distinct().collect())
+    lists = {n: retrieval.naive(retrieval.of_namespace(ix, n), v.probe(0), TOP_K, None).chunks for n in names}
+    return retrieval.fuse_namespaces(lists).select("chunk_id", "score")
 
 
 @query("op_r10_context_items", sql("SELECT namespace, entity, cost FROM (SELECT namespace, entity, cost, sum(cost) OVER (ORDER BY mentions DESC, namespace, entity ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT namespace, entity, mentions, ((length(entity) + length(entity_type) + 40) // 4)::BIGINT AS cost FROM nodes ORDER BY mentions DESC, namespace, entity LIMIT 500)) WHERE run <= 4000", "nodes"))

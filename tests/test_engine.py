@@ -33,6 +33,17 @@ def test_ingest_query_delete(spark, tmp_path):
         pass
 
 
+def test_every_namespace_has_its_list(spark, tmp_path):
+    e = _engine(spark, tmp_path / "store")
+    # three chunks of "big" are nearer to the question than the one of "small"
+    docs = [(f"gdrive-{i}", "big", f"{i}.txt", f"h{i}", "Ada built " + "it " * i) for i in range(3)] + [("gdrive-9", "small", "9.txt", "h9", "Ada built quite another thing in the far north")]
+    e.ingest(spark.createDataFrame(docs, "doc_id string, namespace string, name string, content_hash string, text string"))
+    for names in (None, ["big", "small"]):
+        got = e.retrieve("Ada built", "naive", 2, names).chunks.orderBy("rank").collect()
+        assert [r.namespace for r in got] == ["big", "small", "big"]
+        assert got[0].score == got[1].score == round(1 / 61, 9) and got[2].score == round(1 / 62, 9)
+
+
 def test_keyword_fallback():
     assert parse_keywords("no json", "q") == ([], ["q"])
     assert parse_keywords('```json\n{"high_level": ["a"], "low_level": []}\n```', "q") == (["a"], [])
