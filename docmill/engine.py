@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.config import Settings
-from docmill.functions.text import chunk_id, citation_refs, strip, without_citations
+from docmill.functions.text import citation_refs, strip, without_citations
 from docmill.operators import chunking, context, enrich, graph, maintenance, retrieval
 from docmill.operators.latest import upsert
 from docmill.providers import Completer, Embedder, complete, embed
@@ -17,6 +17,8 @@ from docmill.sources.files import TableStore
 
 TABLES = ["documents", "chunks", "enrichments", "chunk_vectors", "entity_vectors", "relation_vectors"]
 EXTRACT = "Read the passage and reply with JSON: entities (name, type, description), relationships (source, target, keywords, description), keywords, summary.\n\n"
+GLEAN = "The first extraction may have missed something. Read the text again and reply with JSON of the further entities and relationships only.\n\n"
+CONTEXT = "For each of these consecutive chunks list contextual keywords that are not in it but help to understand it: one line of keywords with commas between them for each chunk, and a line of --- between the lines.\n\n"
 KEYWORDS = 'Reply with JSON {"high_level": [...], "low_level": [...]} for the question: '
 ANSWER = "Answer from the context only and cite chunks as [n].\n\n"
 
@@ -43,19 +45,18 @@ class Engine:
         self.spark, self.store, self.settings, self.embedder, self.completer = spark, TableStore(spark, root), settings, embedder, completer
 
     def ingest(self, parsed: DataFrame) -> None:
-        """(doc_id, namespace, name, content_hash, text) rows: unchanged documents are skipped, changed ones replace their chunks."""
+        """(doc_id, namespace, name, content_hash, text) rows, with sections and pages where the parser found some: unchanged documents are skipped, changed ones replace their chunks."""
         docs = parsed
         if self.store.exists("documents"):
             old = self.store.read("documents")
             act = maintenance.ingest_action(parsed.select("doc_id", "content_hash"), old.select("doc_id", "content_hash", "status"))
             docs = parsed.join(act.where("action in ('index', 'reindex')"), "doc_id", "left_semi")
         c = self.settings.chunking
-        seg = chunking.pack_paragraphs(F.split("text", r"\n\s*\n"), c.max_chunk_tokens, c.overlap_tokens)
-        new = docs.where("text is not null").select("doc_id", "namespace", F.posexplode(seg).alias("sequence_index", "text"))
-        new = new.withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("text"))).dropDuplicates(["namespace", "chunk_id"])
-        replies = complete(new.withColumn("prompt", F.concat(F.lit(EXTRACT), "text")), "prompt", self.completer)
-        rows = replies.select("namespace", "doc_id", "chunk_id", "sequence_index", "text", enrich.parse_reply(F.col("reply")).alias("r"))
-        chunks = rows.select("namespace", "doc_id", "chunk_id", "sequence_index", "text", F.to_json("r.keywords").alias("keywords"), F.lit("[]").alias("expanded_keywords"), F.col("r.summary").alias("summary"), enrich.embedding_text(F.col("text"), F.col("r.keywords")).alias("embedded"))
+        keep = [x for x in ("doc_id", "namespace", "name", "text", "sections", "pages") if x in docs.columns]
+        new = chunking.chunk_documents(docs.select(*keep), c.max_chunk_tokens, c.overlap_tokens).dropDuplicates(["namespace", "chunk_id"])
+        rows = self._enriched(new)
+        cols = ["namespace", "doc_id", "chunk_id", "sequence_index", "text", "section", "page", "token_count"]
+        chunks = rows.select(*cols, F.to_json(enrich.merge_keywords(F.col("r.keywords"), F.col("extra"))).alias("keywords"), F.lit("[]").alias("expanded_keywords"), F.col("r.summary").alias("summary"), enrich.embedding_text(F.col("text"), F.col("extra")).alias("embedded"))
         enriched = rows.select("namespace", "doc_id", "chunk_id", "r.entities", "r.relationships")
         vec = embed(chunks.select("namespace", "doc_id", "chunk_id", "embedded"), "embedded", self.embedder).drop("embedded")
         for name, df in (("chunks", chunks.drop("embedded")), ("enrichments", enriched), ("chunk_vectors", vec)):
@@ -64,6 +65,30 @@ class Engine:
         self.store.replace("documents", upsert(self.store.read("documents"), meta, ["doc_id"]) if self.store.exists("documents") else meta)
         self._vectors()
 
+    def _contextual(self, new: DataFrame) -> DataFrame:
+        """Chunks with their contextual keywords as ``extra``; one prompt for each batch of a document's chunks."""
+        n = self.settings.ingestion.contextual_batch_size
+        if not self.settings.ingestion.enable_contextual:
+            return new.withColumn("extra", F.array().cast("array<string>"))
+        rest = [c for c in new.columns if c not in ("namespace", "doc_id", "name", "sequence_index")]
+        g = enrich.batch_windows(new, n).groupBy("namespace", "doc_id", "name", "batch").agg(F.array_sort(F.collect_list(F.struct("sequence_index", *rest))).alias("c"))
+        prompt = F.array_join(F.transform("c", lambda x, i: F.concat(F.lit("[Chunk "), (i + 1).cast("string"), F.lit("]:\n"), x["text"])), "\n\n")
+        g = complete(g.withColumn("prompt", F.concat(F.lit(CONTEXT), F.coalesce("name", F.lit("")), F.lit("\n\n"), prompt)), "prompt", self.completer)
+        g = g.withColumn("parts", enrich.split_batch_reply(F.col("reply"), n)).select("namespace", "doc_id", "name", "parts", F.posexplode("c").alias("i", "x"))
+        words = F.filter(F.transform(F.split(F.get("parts", F.col("i")), ","), strip), lambda k: k != "")
+        return g.select("namespace", "doc_id", "name", "x.*", words.alias("extra"))
+
+    def _enriched(self, new: DataFrame) -> DataFrame:
+        """Chunks with ``extra`` and the parsed reply ``r``, gleaned once more where that is set."""
+        rows = self._contextual(new)
+        rows = complete(rows.withColumn("prompt", F.concat(F.lit(EXTRACT), enrich.embedding_text(F.col("text"), F.col("extra")))), "prompt", self.completer)
+        rows = rows.withColumn("r", enrich.parse_reply(F.col("reply"))).drop("prompt", "reply")
+        if not self.settings.ingestion.enable_gleaning:
+            return rows
+        found = F.concat(F.lit("Found before: "), F.size("r.entities").cast("string"), F.lit(" entities, "), F.size("r.relationships").cast("string"), F.lit(" relationships."))
+        again = complete(rows.withColumn("prompt", F.concat(F.lit(GLEAN), F.col("text"), F.lit("\n\n"), found)), "prompt", self.completer)
+        return again.withColumn("r", enrich.glean_reply(F.col("r"), enrich.parse_reply(F.col("reply")))).drop("prompt", "reply")
+
     def _vectors(self) -> None:
         ix = self._graph()
         nodes, edges = ix

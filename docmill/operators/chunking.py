@@ -56,6 +56,36 @@ def chunk_flat(docs: DataFrame, size: int = MAX_TOKENS, overlap: int = OVERLAP)
     return out.select("doc_id", "sequence_index", chunk_id(F.col("doc_id").cast("string"), F.col("text")).alias("chunk_id"), "text", F.size(words(F.col("text"))).alias("n_words"))
 
 
+def chunk_documents(docs: DataFrame, size: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
+    """The documents' rows by chunk, with (sequence_index, chunk_id, text, section, page, token_count) in place of (text, sections, pages).
+
+    A document with sections is cut within them and each chunk begins with its
+    heading path in brackets; one without is cut as flat text. A chunk has the
+    page whose first 80 characters it begins with.
+    """
+    for c, t in (("sections", "array<struct<heading:string,text:string,level:int>>"), ("pages", "array<struct<page_number:int,text:string>>")):
+        if c not in docs.columns:
+            docs = docs.withColumn(c, F.lit(None).cast(t))
+    none = F.lit(None).cast("string")
+    pack = lambda t: pack_paragraphs(F.transform(F.split(t, r"\n\s*\n"), strip), size, overlap)
+    zero = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<struct<path:string,text:string>>").alias("out"))
+
+    def push(a: Column, x: Column) -> Column:
+        level = F.coalesce(x["level"], F.lit(0))
+        kept = F.when(level > 0, F.slice(a["stack"], F.lit(1), F.least(F.size(a["stack"]), F.greatest(F.lit(0), level - 1)))).otherwise(a["stack"])
+        stack = F.when(F.coalesce(x["heading"], F.lit("")) != "", F.concat(kept, F.array(x["heading"]))).otherwise(kept)
+        return F.struct(stack.alias("stack"), F.concat(a["out"], F.array(F.struct(F.array_join(stack, " > ").alias("path"), F.coalesce(x["text"], F.lit("")).alias("text")))).alias("out"))
+
+    cut = F.flatten(F.transform(F.aggregate("sections", zero, push, lambda a: a["out"]), lambda s: F.transform(pack(s["text"]), lambda t: F.struct(F.nullif(s["path"], F.lit("")).alias("section"), t.alias("segment")))))
+    flat = F.transform(pack(F.col("text")), lambda t: F.struct(none.alias("section"), t.alias("segment")))
+    rest = [c for c in docs.columns if c not in ("text", "sections", "pages")]
+    d = docs.where("text is not null").select(*rest, "pages", F.posexplode(F.when(F.size("sections") > 0, cut).otherwise(flat)).alias("sequence_index", "s"))
+    text = F.when(F.col("s.section").isNull(), F.col("s.segment")).otherwise(F.concat(F.lit("["), F.col("s.section"), F.lit("] "), F.col("s.segment")))
+    here = F.filter("pages", lambda p: (strip(p["text"]) != "") & (F.substring(strip(p["text"]), 1, 80) == F.substring("s.segment", 1, 80)))
+    d = d.select(*rest, "sequence_index", text.alias("text"), F.col("s.section").alias("section"), F.get(F.reverse(here), F.lit(0))["page_number"].alias("page"))
+    return d.withColumn("chunk_id", chunk_id(F.col("doc_id").cast("string"), F.col("text"))).withColumn("token_count", F.size(words(F.col("text"))))
+
+
 def markdown_sections(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, section, level, heading, body) of the headings # to ######. Text before the first heading and sections without a body are dropped; only a line feed ends a line."""
     d = docs.where("text is not null").select(id_col, F.posexplode(F.split("text", "\n")).alias("line", "s"))

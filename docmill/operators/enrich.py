@@ -40,6 +40,15 @@ def glean_entities(base: DataFrame, extra: DataFrame) -> DataFrame:
     return u.withColumn("k", key).groupBy("chunk_id", "k").agg(F.min_by(F.struct("name", "turn", "ordinal"), F.struct("turn", "ordinal", "name")).alias("v")).select("chunk_id", "k", "v.name", "v.turn")
 
 
+def glean_reply(base: Column, extra: Column) -> Column:
+    """A parsed reply with a second one's entities of new names and relations of new pairs of ends, either direction."""
+    low = lambda x, k: F.lower(x[k])
+    ents = F.aggregate(extra["entities"], base["entities"], lambda a, e: F.when(F.exists(a, lambda x: low(x, "name") == low(e, "name")), a).otherwise(F.concat(a, F.array(e))))
+    same = lambda x, e: ((low(x, "source") == low(e, "source")) & (low(x, "target") == low(e, "target"))) | ((low(x, "source") == low(e, "target")) & (low(x, "target") == low(e, "source")))
+    rels = F.aggregate(extra["relationships"], base["relationships"], lambda a, e: F.when(F.exists(a, lambda x: same(x, e)), a).otherwise(F.concat(a, F.array(e))))
+    return F.struct(ents.alias("entities"), rels.alias("relationships"), base["keywords"].alias("keywords"), base["summary"].alias("summary"))
+
+
 def batch_windows(chunks: DataFrame, n: int = 5) -> DataFrame:
     """Batches of ``n`` chunks in sequence, for prompts that see several."""
     return chunks.withColumn("batch", F.floor(F.col("sequence_index") / n).cast("int"))

@@ -73,6 +73,30 @@ def pdf_headings(spans: list[tuple[float, str]]) -> list[tuple[str, int]]:
     return [(t.strip(), level(s)) for s, t in spans if s > body + 0.5 and len(t) < 200 and t.strip()]
 
 
+def pdf_sections(spans: list[tuple[float, str]], text: str) -> list[dict]:
+    """Sections of a PDF's lines with their sizes: the body is the text up to where the next heading is found."""
+    heads, out = pdf_headings(spans), []
+    for i, (h, level) in enumerate(heads):
+        if (at := text.find(h)) < 0:
+            continue
+        at += len(h)
+        end = text.find(heads[i + 1][0], at) if i + 1 < len(heads) else -1
+        if body := (text[at:end] if end > at else text[at:]).strip():
+            out.append({"heading": h, "text": body, "level": level})
+    return out
+
+
+def _pdf_lines(doc) -> list[tuple[float, str]]:
+    """(largest size, text) of each line with text."""
+    out = []
+    for line in (x for p in doc for b in p.get_text("dict").get("blocks", []) for x in b.get("lines", [])):
+        t = "".join(s.get("text", "") for s in line.get("spans", [])).strip()
+        sizes = [s["size"] for s in line.get("spans", []) if s.get("text", "").strip()]
+        if t and sizes:
+            out.append((max(sizes), t))
+    return out
+
+
 def parse_bytes(filename: str, content: bytes) -> dict:
     ext = filename.rsplit(".", 1)[-1].lower() if "." in filename else ""
     pages: list[dict] = []
@@ -85,7 +109,8 @@ def parse_bytes(filename: str, content: bytes) -> dict:
             raise UnsupportedFileType("PDF files need an optional library") from e
         doc = fitz.open(stream=content, filetype="pdf")
         pages = [{"page_number": i + 1, "text": p.get_text()} for i, p in enumerate(doc)]
-        text, sections = "\n\n".join(p["text"] for p in pages), []
+        text = "\n\n".join(p["text"] for p in pages)
+        sections = pdf_sections(_pdf_lines(doc), text)
     elif ext in ("txt", "md", "markdown", ""):
         text = content.decode("utf-8", "replace")
         sections = _markdown(text)

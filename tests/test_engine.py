@@ -5,6 +5,7 @@ import json
 from docmill.config import load
 from docmill.engine import Engine, NamespaceNotFound, parse_keywords
 from docmill.providers import CannedCompleter, HashEmbedder
+from docmill.sources.files import pdf_sections
 from docmill.streaming.sync import call_log, poll_listings
 
 
@@ -44,6 +45,24 @@ def test_every_namespace_has_its_list(spark, tmp_path):
         assert got[0].score == got[1].score == round(1 / 61, 9) and got[2].score == round(1 / 62, 9)
 
 
+def test_sections_context_and_gleaning(spark, tmp_path):
+    first = json.dumps({"entities": [{"name": "Ada"}], "relationships": [{"source": "Ada", "target": "Engine"}], "keywords": ["engine"], "summary": "s"})
+    more = json.dumps({"entities": [{"name": "ADA"}, {"name": "Engine"}], "relationships": [{"source": "engine", "target": "ada"}, {"source": "Engine", "target": "Mill"}]})
+    e = Engine(spark, str(tmp_path / "store"), load({"ingestion": {"enable_gleaning": True}}), HashEmbedder(16), CannedCompleter({"Read the passage": first, "may have missed": more, "For each of these": "history, Engine\n---\nmill"}))
+    docs = [("d", "ns", "a.md", "h", "x", [("Top", "one two", 1), ("Deep", "three", 3), ("Next", "four", 1)], [(1, "one two"), (2, "four")])]
+    e.ingest(spark.createDataFrame(docs, "doc_id string, namespace string, name string, content_hash string, text string, sections array<struct<heading:string,text:string,level:int>>, pages array<struct<page_number:int,text:string>>"))
+    got = e.store.read("chunks").orderBy("sequence_index").collect()
+    assert [(r.text, r.section, r.page, r.token_count) for r in got] == [("[Top] one two", "Top", 1, 3), ("[Top > Deep] three", "Top > Deep", None, 4), ("[Next] four", "Next", 2, 2)]
+    assert [json.loads(r.keywords) for r in got] == [["engine", "history"], ["engine", "mill"], ["engine"]]
+    x = e.store.read("enrichments").first()
+    assert [a.name for a in x.entities] == ["Ada", "Engine"] and [(a.source, a.target) for a in x.relationships] == [("Ada", "Engine"), ("Engine", "Mill")]
+
+
+def test_pdf_sections():
+    spans = [(16, "Big"), (10, "x" * 50), (13, "Mid"), (10, "tail")]
+    assert pdf_sections(spans, "Big\n" + "x" * 50 + "\nMid\ntail") == [{"heading": "Big", "text": "x" * 50, "level": 1}, {"heading": "Mid", "text": "tail", "level": 2}]
+
+
 def test_keyword_fallback():
     assert parse_keywords("no json", "q") == ([], ["q"])
     assert parse_keywords('```json\n{"high_level": ["a"], "low_level": []}\n```', "q") == (["a"], [])
