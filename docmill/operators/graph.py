@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,81 +97,72 @@ def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[D
     return kept, edges
 
 
-def louvain(pairs: list[tuple[str, str, float]], passes: int = 20) -> dict[str, int]:
+def louvain(pairs: list[tuple[str, str, float]]) -> dict[str, int]:
     """Two-phase modularity communities (Blondel et al., 2008); nodes in order of their names, so the result is always the same."""
-    names = sorted({x for a, b, _ in pairs for x in (a, b)})
-    of = {x: i for i, x in enumerate(names)}
-    adj: list[dict[int, float]] = [{} for _ in names]
-    for a, b, w in pairs:
-        i, j = of[a], of[b]
-        adj[i][j] = adj[i].get(j, 0) + w
-        if i != j:
-            adj[j][i] = adj[j].get(i, 0) + w
-    part = list(range(len(names)))
-    for _ in range(passes):
-        n = len(adj)
-        comm = list(range(n))
-        k = [sum(x.values()) + x.get(i, 0) for i, x in enumerate(adj)]
-        tot, m2 = k[:], sum(k)
-        moved = False
-        for _ in range(50):
+    if not pairs:
+        return {}
+    a, b, w = zip(*pairs)
+    codes, names = pd.factorize(np.array(a + b, dtype=object), sort=True)
+    return dict(zip(names.tolist(), louvain_codes(codes[: len(a)], codes[len(a) :], np.array(w, dtype=float), len(names)).tolist()))
+
+
+def louvain_codes(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """Community of each of the nodes 0 to n-1, in arrays of 24 bytes an edge end; rounds go on until no node moves and passes until none has moved.
+
+    Gains are times the doubled weight. With whole weights they are whole numbers,
+    compared exactly; every move raises the modularity, so the rounds end.
+    """
+    whole = bool((w == np.floor(w)).all())
+    part = np.arange(n)
+    while True:
+        lo, hi = np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
+        pair, at = np.unique(lo * n + hi, return_inverse=True)
+        w = np.bincount(at, weights=w, minlength=len(pair))
+        a, b = pair // n, pair % n
+        k = np.bincount(a, weights=w, minlength=n) + np.bincount(b, weights=w, minlength=n)
+        two = a != b
+        ends, others, ws = np.concatenate([a[two], b[two]]), np.concatenate([b[two], a[two]]), np.concatenate([w[two], w[two]])
+        order = np.argsort(ends, kind="stable")
+        others, ws = others[order], ws[order]
+        start = np.concatenate([[0], np.cumsum(np.bincount(ends, minlength=n))]).tolist()
+        del ends, order, pair, at
+        if whole:
+            k, ws = k.astype(np.int64), ws.astype(np.int64)
+        k = k.tolist()
+        tot, m2, comm, moved = k[:], sum(k), list(range(n)), False
+        least = 0 if whole else 1e-12 * m2
+        again = True
+        while again:
             again = False
             for i in range(n):
                 links: dict[int, float] = {}
-                for j, w in adj[i].items():
-                    if j != i:
-                        links[comm[j]] = links.get(comm[j], 0) + w
-                old = comm[i]
-                tot[old] -= k[i]
-                best, gain = old, links.get(old, 0) - tot[old] * k[i] / m2
+                for j, x in zip(others[start[i] : start[i + 1]].tolist(), ws[start[i] : start[i + 1]].tolist()):
+                    c = comm[j]
+                    links[c] = links.get(c, 0) + x
+                old, ki = comm[i], k[i]
+                tot[old] -= ki
+                best, gain = old, links.get(old, 0) * m2 - tot[old] * ki
                 for c in sorted(links):
-                    g = links[c] - tot[c] * k[i] / m2
-                    if g > gain + 1e-12:
+                    g = links[c] * m2 - tot[c] * ki
+                    if g > gain + least:
                         best, gain = c, g
-                tot[best] += k[i]
+                tot[best] += ki
                 if best != old:
                     comm[i], again, moved = best, True, True
-            if not again:
-                break
-        ids = {c: x for x, c in enumerate(sorted(set(comm)))}
-        part = [ids[comm[p]] for p in part]
+        ids, comm = np.unique(np.array(comm, dtype=np.int64), return_inverse=True)
+        part = comm[part]
         if not moved:
-            break
-        nxt: list[dict[int, float]] = [{} for _ in ids]
-        for i, x in enumerate(adj):
-            for j, w in x.items():
-                if j >= i:
-                    a, b = sorted((ids[comm[i]], ids[comm[j]]))
-                    nxt[a][b] = nxt[a].get(b, 0) + w
-                    if a != b:
-                        nxt[b][a] = nxt[b].get(a, 0) + w
-        adj = nxt
-    return dict(zip(names, part))
-
-
-def communities(edges: DataFrame, largest: int = 2_000_000) -> DataFrame:
-    """(namespace, community_id, entity) by Louvain in one task per namespace. A namespace with more than ``largest`` edges goes to label propagation, which is another algorithm and says so in ``method``."""
-    size = edges.groupBy("namespace").agg(F.count("*").alias("n"))
-    small = edges.join(size.where(F.col("n") <= largest), "namespace", "left_semi")
+            return part
+        a, b, n = comm[a], comm[b], len(ids)
+
+
+def communities(edges: DataFrame) -> DataFrame:
+    """(namespace, community_id, entity) by Louvain in one task per namespace, whatever its size."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = louvain(list(pdf[["src", "tgt", "weight"]].itertuples(index=False, name=None)))
-        return pd.DataFrame({"namespace": pdf.namespace.iloc[0], "community_id": list(got.values()), "entity": list(got), "method": "louvain"})
-
-    out = small.select("namespace", "src", "tgt", "weight").groupBy("namespace").applyInPandas(one, "namespace string, community_id long, entity string, method string")
-    if size.where(F.col("n") > largest).limit(1).count():
-        big = edges.join(size.where(F.col("n") > largest), "namespace", "left_semi")
-        out = out.unionByName(label_propagation(big))
-    return out
-
-
-def label_propagation(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """Each node takes the label of the largest weight among its neighbours, the smallest on a tie, for a number of rounds; joins only."""
-    from docmill.storage import materialize
-
-    both = edges.select("namespace", "src", "tgt", "weight").unionByName(edges.select("namespace", F.col("tgt").alias("src"), F.col("src").alias("tgt"), "weight"))
-    label = both.select("namespace", F.col("src").alias("entity")).distinct().withColumn("label", F.xxhash64("entity"))
-    for _ in range(rounds):
-        votes = both.join(label.withColumnRenamed("entity", "tgt"), ["namespace", "tgt"]).groupBy("namespace", "src", "label").agg(F.sum("weight").alias("w"))
-        label = materialize(votes.groupBy("namespace", "src").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("label")).withColumnRenamed("src", "entity"), "labels")
-    return label.select("namespace", F.col("label").alias("community_id"), "entity", F.lit("label_propagation").alias("method"))
+        space, m = pdf.namespace.iloc[0], len(pdf)
+        codes, names = pd.factorize(pd.concat([pdf.pop("src"), pdf.pop("tgt")], ignore_index=True), sort=True)
+        got = louvain_codes(codes[:m], codes[m:], pdf.weight.to_numpy(), len(names))
+        return pd.DataFrame({"namespace": space, "community_id": got, "entity": names, "method": "louvain"})
+
+    return edges.select("namespace", "src", "tgt", "weight").groupBy("namespace").applyInPandas(one, "namespace string, community_id long, entity string, method string")

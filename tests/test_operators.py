@@ -151,6 +151,20 @@ def test_louvain_two_cliques():
     assert len({c[x] for x in "abcd"}) == 1 and len({c[x] for x in "wxyz"}) == 1 and c["a"] != c["z"]
 
 
+def test_louvain_at_every_size(spark):
+    # a namespace above two million edges (it went to label propagation): a ring of dense groups
+    n, size = 12_000, 20
+    g = spark.range(n).select(F.explode(F.sequence(F.lit(0), F.lit(size * (size - 1) - 1))).alias("p"), "id").withColumn("x", (F.col("p") / (size - 1)).cast("int")).withColumn("y", F.col("p") % (size - 1)).where("x > y")
+    name = lambda i, x: F.format_string("%05d-%02d", i, x)
+    e = g.select(F.lit("big").alias("namespace"), name(F.col("id"), F.col("x")).alias("src"), name(F.col("id"), F.col("y").cast("int")).alias("tgt"), F.lit(1.0).alias("weight"))
+    e = e.unionByName(spark.range(n).select(F.lit("big").alias("namespace"), name(F.col("id"), F.lit(0)).alias("src"), name((F.col("id") + 1) % n, F.lit(1)).alias("tgt"), F.lit(1.0).alias("weight")))
+    assert e.count() > 2_000_000
+    c = graph.communities(e).withColumn("g", F.substring("entity", 1, 5))
+    assert {r.method for r in c.select("method").distinct().collect()} == {"louvain"}
+    per = c.groupBy("g").agg(F.countDistinct("community_id").alias("k"), F.count("*").alias("m")).agg(F.max("k"), F.sum("m")).first()
+    assert tuple(per) == (1, n * size)
+
+
 def test_reply_parsing(spark):
     good = '```json\n{"entities":[{"name":" Ada ","type":"Person"},{"name":" "}],"relationships":[{"source":"A","target":"a"},{"source":"A","target":"B"}],"keywords":["k"],"summary":"s"}\n```'
     rows = spark.createDataFrame([(1, good), (2, "{broken"), (3, None), (4, "{}")], "i int, r string").select("i", enrich.parse_reply(F.col("r")).alias("x")).orderBy("i").collect()
