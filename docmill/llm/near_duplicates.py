@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import grams
+from docmill.llm.common import hinted
 from docmill.llm.components import connected_components
 from docmill.storage import materialize
 
@@ -163,7 +164,7 @@ def _cuts(level: np.ndarray, t: float, per_fragment: int, least: int) -> tuple[n
     blocks = np.ones(int((first + parts).max()) + 1, np.int64)
     for q in range(2, 256):
         each = max(df[q] if n[q] else 0, postings[q] / parts[q])
-        blocks[first[q] : first[q] + parts[q]] = np.maximum(blocks[first[q]], min(256, math.ceil(each * probe[q] / (4 * per_fragment))))
+        blocks[first[q] : first[q] + parts[q]] = np.maximum(blocks[first[q]], math.ceil(each * probe[q] / (2 * per_fragment)))
     return first, parts, blocks
 
 
@@ -229,11 +230,8 @@ def mix_low(h: np.ndarray) -> np.ndarray:
     return grams.mix(h * _U(0xA24BAED4963EE407) + _U(1))
 
 
-def _ragged(col: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
+def _ragged(col: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
     """All values of a binary column, and how many each row has."""
-    col = col.combine_chunks()
-    if isinstance(col, pa.ChunkedArray):
-        col = col.chunk(0) if col.num_chunks else pa.array([], pa.binary())
     wide = pa.types.is_large_binary(col.type)
     off = np.frombuffer(col.buffers()[1], np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     data = np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[-1]] if len(col) and off[-1] > off[0] else np.zeros(0, np.uint8)
@@ -248,94 +246,125 @@ def _spread(lo: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out + np.repeat(lo - (ends - count), count)
 
 
-def fragment_pairs(hid, n, sig, sig_words, tok, tok_n, pos, block, t: float, batch: int = 1_500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of one fragment: (hid of the smaller record, hid of the larger).
+def fragment_pairs(hid, n, sig, sig_words, tok, tok_n, pos, block, t: float, batch: int = 400_000, most_postings: int = 250_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of one fragment: (hid of the smaller record, hid of the larger), a pair perhaps several times.
 
     ``block`` is 0 or 1 for each record when two blocks are joined with each
-    other (then only pairs across count), or None.
+    other (then only pairs across count), or None. Besides 10 bytes a posting
+    and the records' bitmaps, memory holds ``most_postings`` postings and
+    ``batch`` pairs at a time (or the postings of one n-gram, if they are more).
     """
     order = np.lexsort((hid, n))  # by size: a partner that is not larger comes before
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
     sig_start = np.concatenate([[0], np.cumsum(sig_words)])[:-1]
-    d = np.repeat(rank, tok_n)
-    o = np.lexsort((d, tok))
-    tok, d, pos = tok[o], d[o], pos[o].astype(np.int64)
-    hid, n, sig_start, sig_words = hid[order], n[order].astype(np.int64), sig_start[order], sig_words[order]
+    key = tok.astype(np.uint64) << _U(32)
+    key |= np.repeat(rank, tok_n)
+    o = np.argsort(key)
+    key = key[o]
+    pos = pos[o]
+    del o
+    tok, d = (key >> _U(32)).astype(np.uint32), (key & _U(0xFFFFFFFF)).astype(np.int32)
+    del key
+    same = tok[1:] == tok[:-1]
+    keep = np.append(same, False) | np.concatenate([[False], same])[: len(tok)]  # n-grams of one record alone pair nothing
+    tok, d, pos = tok[keep], d[keep], pos[keep]
+    del same, keep
+    hid, n, sig_start, sig_words = hid[order], n[order].astype(np.int32), sig_start[order], sig_words[order]
     block = None if block is None else block[order]
-    ratio = t / (1 + t)
-    size = n[d]
-    # may a record be the smaller one of a pair with this as the first shared n-gram?
-    reach = np.floor((size - pos) / ratio + _EPS).astype(np.int64) - size  # largest partner
-    index = np.flatnonzero(reach >= size)
-    if not len(index):
+    if not len(tok):
         return
-    span = np.int64(n.max() + 2)
-    gram = np.cumsum(np.concatenate([[0], tok[1:] != tok[:-1]])).astype(np.int64)
-    ikey, igram = gram[index] * span + size[index], gram[index]
-    lo = np.searchsorted(ikey, gram * span + np.ceil(t * size - _EPS).astype(np.int64), side="left")
-    hi = np.searchsorted(ikey, gram * span + np.minimum(size, np.maximum(reach, 0)), side="right")
-    # among records of the same size, only those of smaller rank
-    before = np.searchsorted(index, np.arange(len(tok)), side="left")
-    hi = np.minimum(hi, before)
-    count = np.maximum(0, hi - lo)
-    probe = np.flatnonzero(count)
-    del igram, ikey, before
-    ends = np.cumsum(count[probe])
-    idoc, ireach = d[index].astype(np.int32), reach[index].astype(np.int32)
-    d, size = d.astype(np.int32), size.astype(np.int32)
+    ratio = t / (1 + t)
     both = np.arange(2 * int(n.max()) + 1)
     most = np.floor(both - 2 * np.ceil(ratio * both - _EPS) + _EPS).astype(np.int32)  # differing n-grams, by the sum of the sizes
-    n32 = n.astype(np.int32)
     # every bitmap folded to the smallest size: a first bound that one row decides
     least = int(sig_words.min())
     folded = np.zeros((len(n), least), np.uint64)
     for w in np.unique(sig_words):
-        of = np.flatnonzero(sig_words == w)
-        full = sig[sig_start[of][:, None] + np.arange(w)]
-        folded[of] = np.bitwise_xor.reduce(full.reshape(len(of), w // least, least), axis=1)
-    at = 0
-    while at < len(probe):
-        done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + batch, side="right")))
-        p = probe[at:to]
-        at = to
-        for q, c, low in _pieces(p, count, lo, batch):
-            x_at = _spread(low, c)
-            ok = np.flatnonzero(ireach[x_at] >= np.repeat(size[q], c))
-            x, y = idoc[x_at[ok]], np.repeat(d[q], c)[ok]
+        every = np.flatnonzero(sig_words == w)
+        for at in range(0, len(every), 65536):
+            of = every[at : at + 65536]
+            full = sig[sig_start[of][:, None] + np.arange(w)]
+            folded[of] = np.bitwise_xor.reduce(full.reshape(len(of), w // least, least), axis=1)
+    starts = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+    a = 0
+    while a < len(tok):
+        i = int(np.searchsorted(starts, a + most_postings, side="right"))
+        if len(tok) - a <= most_postings:
+            b = len(tok)
+        elif starts[i - 1] > a:  # whole n-grams
+            b = int(starts[i - 1])
+        else:
+            b = int(starts[i]) if i < len(starts) else len(tok)
+        for x, y in _range_pairs(tok[a:b], d[a:b], pos[a:b], n, ratio, t, batch, most_postings):
             if block is not None:
                 ok = block[x] != block[y]
                 x, y = x[ok], y[ok]
-            limit = most[n32[x] + n32[y]]
-            ham = np.bitwise_count(folded[x, 0] ^ folded[y, 0]).astype(np.int32)
-            for w in range(1, least):
+            limit = most[n[x] + n[y]]
+            ham = np.zeros(len(x), np.int32)
+            for w in range(least):
                 ham += np.bitwise_count(folded[x, w] ^ folded[y, w])
             ok = np.flatnonzero(ham <= limit)
             if not len(ok):
                 continue
-            key = np.unique(x[ok].astype(np.int64) * len(n) + y[ok])
-            x, y = key // len(n), key % len(n)
-            limit = most[n[x] + n[y]]
-            keep = np.ones(len(x), bool)
-            wide = np.minimum(sig_words[x], sig_words[y])
-            for w in np.unique(wide[wide > least]):  # larger bitmaps bound again, the wider one folded
-                m = np.flatnonzero(wide == w)
-                xs, ys = x[m], y[m]
-                ham = np.zeros(len(m), np.int64)
-                for i in range(w):
-                    u, v = sig[sig_start[xs] + i], sig[sig_start[ys] + i]
-                    for z, o in ((xs, 0), (ys, 1)):
-                        for f in range(1, int(sig_words[z].max()) // w):
-                            has = np.flatnonzero(sig_words[z] > f * w)
-                            part = sig[sig_start[z[has]] + i + f * w]
-                            if o:
-                                v[has] ^= part
-                            else:
-                                u[has] ^= part
-                    ham += np.bitwise_count(u ^ v)
-                keep[m] = ham <= limit[m]
+            pair = np.unique(x[ok].astype(np.int64) * len(n) + y[ok])
+            x, y = pair // len(n), pair % len(n)
+            keep = _wide_bound(x, y, sig, sig_start, sig_words, least, most[n[x] + n[y]])
             yield hid[x[keep]], hid[y[keep]]
+        a = b
+
+
+def _range_pairs(tok, d, pos, n, ratio: float, t: float, batch: int, most_postings: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ranks that share one of some whole n-grams and that their sizes and positions allow."""
+    size = n[d]
+    # may a record be the smaller one of a pair with this as the first shared n-gram?
+    reach = np.floor((size - pos.astype(np.int32)) / ratio + _EPS).astype(np.int32) - size  # largest partner
+    index = np.flatnonzero(reach >= size)
+    if not len(index):
+        return
+    span = np.int64(n.max() + 2)
+    gram = np.cumsum(np.concatenate([[False], tok[1:] != tok[:-1]])).astype(np.int64)
+    ikey = gram[index] * span + size[index]
+    idoc, ireach = d[index], reach[index]
+    for s in range(0, len(tok), most_postings):
+        part = slice(s, s + most_postings)
+        g, z = gram[part] * span, size[part]
+        lo = np.searchsorted(ikey, g + np.ceil(t * z - _EPS).astype(np.int64), side="left")
+        hi = np.searchsorted(ikey, g + np.minimum(z, np.maximum(reach[part], 0)), side="right")
+        # among records of the same size, only those of smaller rank
+        hi = np.minimum(hi, np.searchsorted(index, np.arange(s, s + len(z)), side="left"))
+        count = np.maximum(0, hi - lo)
+        probe = np.flatnonzero(count)
+        ends = np.cumsum(count[probe])
+        at = 0
+        while at < len(probe):
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + batch, side="right")))
+            p = probe[at:to]
+            at = to
+            for q, c, low in _pieces(p, count, lo, batch):
+                x_at = _spread(low, c)
+                ok = np.flatnonzero(ireach[x_at] >= np.repeat(z[q], c))
+                yield idoc[x_at[ok]], np.repeat(d[part][q], c)[ok]
+
+
+def _wide_bound(x, y, sig, sig_start, sig_words, least: int, limit) -> np.ndarray:
+    """Pairs that the larger bitmaps still allow, the wider one of two folded to the other's size."""
+    keep = np.ones(len(x), bool)
+    wide = np.minimum(sig_words[x], sig_words[y])
+    for w in np.unique(wide[wide > least]):
+        m = np.flatnonzero(wide == w)
+        xs, ys = x[m], y[m]
+        ham = np.zeros(len(m), np.int64)
+        for i in range(w):
+            u, v = sig[sig_start[xs] + i], sig[sig_start[ys] + i]
+            for z, out in ((xs, u), (ys, v)):
+                for f in range(1, int(sig_words[z].max()) // w):
+                    has = np.flatnonzero(sig_words[z] > f * w)
+                    out[has] ^= sig[sig_start[z[has]] + i + f * w]
+            ham += np.bitwise_count(u ^ v)
+        keep[m] = ham <= limit[m]
+    return keep
 
 
 def _pieces(p: np.ndarray, count: np.ndarray, lo: np.ndarray, batch: int):
@@ -347,26 +376,48 @@ def _pieces(p: np.ndarray, count: np.ndarray, lo: np.ndarray, batch: int):
         yield p, np.array([min(batch, count[p[0]] - s)]), lo[p] + s
 
 
+#: Pairs that a fragment holds before they are sent on.
+_HELD = 500_000
+
+
 def _join_fragment(t: float):
-    def run(table: pa.Table) -> pa.Table:
-        hid = table.column("hid").to_numpy()
-        n = table.column("n").to_numpy()
-        sig, sig_words = _ragged(table.column("sig"), np.uint64)
-        tok, tok_n = _ragged(table.column("tok"), np.uint32)
-        pos, _ = _ragged(table.column("pos"), np.uint16)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        block = None
-        if i != j:
-            block = table.column("side").to_numpy()
-        found = list(fragment_pairs(hid, n, sig, sig_words, tok, tok_n, pos, block, t))
-        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-        b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
-        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.table({"ha": pa.array(pair[:, 0], pa.int64()), "hb": pa.array(pair[:, 1], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: dict[str, list[np.ndarray]] = {c: [] for c in ("hid", "n", "side", "sig", "sig_words", "tok", "tok_n", "pos")}
+        across = False
+        for x in batches:  # copied, so that a batch is freed before the next one comes
+            across |= bool(x.num_rows) and x.column("i")[0] != x.column("j")[0]
+            for c in ("hid", "n", "side"):
+                cols[c].append(x.column(c).to_numpy(zero_copy_only=False).copy())
+            for c, size, ty in (("sig", "sig_words", np.uint64), ("tok", "tok_n", np.uint32), ("pos", None, np.uint16)):
+                values, many = _ragged(x.column(c), ty)
+                cols[c].append(values.copy())
+                if size:
+                    cols[size].append(many)
+        one = {}
+        for c in list(cols):
+            one[c] = np.concatenate(cols.pop(c))
+        side = one.pop("side")
+        held, size = [], 0
+        for a, b in fragment_pairs(one.pop("hid"), one.pop("n"), one.pop("sig"), one.pop("sig_words"), one.pop("tok"), one.pop("tok_n"), one.pop("pos"), side if across else None, t):
+            held.append((np.minimum(a, b), np.maximum(a, b)))
+            size += len(a)
+            if size > _HELD:
+                yield _pair_batch(held)
+                held, size = [], 0
+        yield _pair_batch(held)
 
     return run
 
 
+def _pair_batch(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Different pairs of what is held."""
+    a, b = (np.concatenate([x[i] for x in held]) if held else np.zeros(0, np.int64) for i in range(2))
+    o = np.lexsort((b, a))
+    a, b = a[o], b[o]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+    return pa.RecordBatch.from_arrays([pa.array(a[new], pa.int64()), pa.array(b[new], pa.int64())], names=["ha", "hb"])
+
+
 def _gram_arrays(kind: str, k: int):
     """Full n-gram sets, cut into fragments of the hash order."""
     make = _hash_fn(kind, k)
@@ -393,19 +444,10 @@ def _gram_arrays(kind: str, k: int):
     return run
 
 
-#: Rows of ids that are broadcast at most.
-BROADCAST_ROWS = 500_000
-
-
-def _hinted(written: DataFrame) -> DataFrame:
-    """The table with a broadcast hint if it is small; otherwise the join shuffles."""
-    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
-
-
 class NearDuplicates:
     """The operator over one table: ``members`` (id, hid, h2, has) and ``links`` between classes of equal content."""
 
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, k: int = 5, kind: str = "word", sketch_bits: int = 24, fragment_postings: int = 3_000_000):
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, k: int = 5, kind: str = "word", sketch_bits: int = 24, fragment_postings: int = 2_000_000):
         t = float(threshold)
         if not 0 < t <= 1:
             raise ValueError("threshold must lie in (0, 1]")
@@ -420,13 +462,13 @@ class NearDuplicates:
         every = once_more.where("id is not null").select("id", "hid", "h2")
         many = every.groupBy("hid", "h2").agg(F.count("*").alias("c")).where("c > 1").select("hid", "h2")
         again = every.join(many, ["hid", "h2"], "left_semi").distinct()
-        again = _hinted(materialize(again, "again"))
+        again = hinted(materialize(again, "again"))
         one_of = rows.join(again, "id", "left_anti").select("text").unionByName(rows.join(again, "id").dropDuplicates(["hid", "h2"]).select("text"))
         prefix = one_of.mapInArrow(_prefixes(kind, k, t, sketch_bits, shared, first, parts, blocks), "frag int, i int, j int, side int, hid bigint, n int, sig binary, tok binary, pos binary")
         cand = materialize(prefix.groupBy("frag", "i", "j").applyInArrow(_join_fragment(t), "ha bigint, hb bigint").distinct(), "candidates")
         seen = cand.select(F.col("ha").alias("hid")).union(cand.select(F.col("hb").alias("hid"))).distinct()
         ids = every.join(seen, "hid", "left_semi").groupBy("hid", "h2").agg(F.min("id").alias("id")).select("id").distinct()
-        ids = _hinted(materialize(ids, "ids"))
+        ids = hinted(materialize(ids, "ids"))
         arrays = materialize(rows.join(ids, "id", "left_semi").mapInArrow(_gram_arrays(kind, k), "hid bigint, h2 bigint, n int, frag int, toks array<bigint>").dropDuplicates(["hid", "h2", "frag"]), "grams")
         side = lambda x: arrays.select(F.col("hid").alias(f"h{x}"), F.col("h2").alias(f"g{x}"), F.col("n").alias(f"n{x}"), "frag", F.col("toks").alias(f"t{x}"))
         partial = cand.join(side("a"), "ha").join(side("b"), ["hb", "frag"]).select("ha", "ga", "hb", "gb", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("o"))

@@ -10,7 +10,8 @@ from docmill.llm.near_duplicates import NearDuplicates, near_duplicate_groups, n
 from docmill.llm.titles import canonical_udf, same_words_udf
 from docmill.storage import materialize, table
 
-#: Character trigrams of the words without digits of two titles that differ by two edits share at least this.
+#: Similarity of the character trigrams of the words without digits. Two edits change at most 8 of a title's trigrams
+#: (one for each letter), so from 24 letters on no title is lost; shorter ones are where the edits change fewer.
 TITLE_SIMILARITY = 0.5
 
 

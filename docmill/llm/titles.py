@@ -3,7 +3,10 @@
 File type, letter case, separators, word order and marks of a copy or version
 are left out. Words that hold a digit (years, quarters, numbers) must be
 equal; the other words must pair up within ``MAX_EDITS`` edits (insertion,
-deletion, substitution or transposition of neighbours) in all.
+deletion, substitution or transposition of neighbours) in all. A word under
+``LONG_WORD`` letters may hold one of them, or two where it has five letters
+and at least two other words are the same: two copies of one title, each with
+an edit of its own, differ by two.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Edits that all words of two names may differ by together; in words under LONG_WORD letters one at most.
+#: Edits that all words of two names may differ by together; in words under LONG_WORD letters one at most (see above).
 MAX_EDITS, LONG_WORD = 2, 6
 
 # Words that mark a copy or version, and names that say nothing.
@@ -59,7 +62,7 @@ def canonical(name: str | None) -> str | None:
     for i, w in enumerate(words):
         if VERSION.match(w) or any(edits(w, m, 1) <= 1 for m in MARKS):
             continue
-        if w == "of" and i and any(edits(words[i - 1], m, 1) <= 1 for m in MARKS):
+        if i and any(edits(words[i - 1], m, 1) <= 1 for m in MARKS) and w[:1] == "o" and edits(w, "of", 1) <= 1:
             continue
         out.append(w)
     letters = [w for w in out if not any(c.isdigit() for c in w)]
@@ -79,13 +82,14 @@ def same_words(a: str, b: str) -> bool:
         return False
     if len(x) > MAX_EDITS:
         return False
-    return any(sum(_word_edits(u, v) for u, v in zip(x, p)) <= MAX_EDITS for p in permutations(y))
+    known = len(a.split()) - len(x) >= 2
+    return any(sum(_word_edits(u, v, known) for u, v in zip(x, p)) <= MAX_EDITS for p in permutations(y))
 
 
-def _word_edits(u: str, v: str) -> int:
+def _word_edits(u: str, v: str, known: bool) -> int:
     d = edits(u, v, MAX_EDITS)
-    short = max(len(u), len(v))
-    return d if d <= (0 if short <= 3 else 1 if short < LONG_WORD else MAX_EDITS) else MAX_EDITS + 1
+    size = max(len(u), len(v))
+    return d if d <= (0 if size <= 3 else 1 if size < LONG_WORD - known else MAX_EDITS) else MAX_EDITS + 1
 
 
 @F.pandas_udf(T.StringType())
