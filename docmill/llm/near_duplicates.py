@@ -202,26 +202,19 @@ def _prefixes(kind: str, k: int, t: float, bits: int, level_b, first: np.ndarray
                 o = np.lexsort((frag, d))
                 d, frag, pos, tok = d[o], frag[o], np.minimum(pos[o], 65535).astype(np.uint16), (mix_low(tok[o] + (q[o].astype(np.uint64) << _U(40))) & _U(0xFFFFFFFF)).astype(np.uint32)
                 cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (frag[1:] != frag[:-1])]))
-                end = np.append(cut[1:], len(d))
-                tb, pb = tok.tobytes(), pos.tobytes()
-                rows = {c: [] for c in ("frag", "i", "j", "side", "hid", "n", "sig", "tok", "pos")}
-                for s, e in zip(cut.tolist(), end.tolist()):
-                    x = int(d[s])
-                    f, hid = int(frag[s]), int(hids[x])
-                    nb = int(blocks[f])
-                    mine = (hid * 0x9E3779B1 & 0xFFFFFFFF) * nb >> 32
-                    for other in range(nb):
-                        rows["frag"].append(f)
-                        rows["i"].append(min(mine, other))
-                        rows["j"].append(max(mine, other))
-                        rows["side"].append(int(mine > other))
-                        rows["hid"].append(hid)
-                        rows["n"].append(int(n[x]))
-                        rows["sig"].append(sig[byte0[x] : byte0[x + 1]])
-                        rows["tok"].append(tb[4 * s : 4 * e])
-                        rows["pos"].append(pb[2 * s : 2 * e])
-                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(v, ty) for v, ty in zip(rows.values(), kinds)], names=list(rows))
+                sigs = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(byte0.astype(np.int32)), pa.py_buffer(sig)])
+                off = np.append(cut, len(d)).astype(np.int32)
+                toks, poss = (pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(off * x.itemsize), pa.py_buffer(x)]) for x in (tok, pos))
+                # a fragment joined in blocks gets the record once for each block
+                d, frag = d[cut], frag[cut]
+                nb = blocks[frag]
+                at, other = np.repeat(np.arange(len(cut)), nb), _spread(np.zeros(len(cut), np.int64), nb)
+                hid, many = hids[d[at]], nb[at]
+                mine = ((hid.astype(np.uint64) * _U(0x9E3779B1) & _U(0xFFFFFFFF)) * many.astype(np.uint64) >> _U(32)).astype(np.int64)
+                if len(at) > len(cut):
+                    toks, poss = toks.take(pa.array(at)), poss.take(pa.array(at))
+                ints = [pa.array(x.astype(np.int32)) for x in (frag[at], np.minimum(mine, other), np.maximum(mine, other), mine > other)]
+                yield pa.RecordBatch.from_arrays([*ints, pa.array(hid), pa.array(n[d[at]].astype(np.int32)), sigs.take(pa.array(d[at])), toks, poss], names=["frag", "i", "j", "side", "hid", "n", "sig", "tok", "pos"])
 
     return run
 
@@ -277,15 +270,8 @@ def fragment_pairs(hid, n, sig, sig_words, tok, tok_n, pos, block, t: float, bat
     ratio = t / (1 + t)
     both = np.arange(2 * int(n.max()) + 1)
     most = np.floor(both - 2 * np.ceil(ratio * both - _EPS) + _EPS).astype(np.int32)  # differing n-grams, by the sum of the sizes
-    # every bitmap folded to the smallest size: a first bound that one row decides
-    least = int(sig_words.min())
-    folded = np.zeros((len(n), least), np.uint64)
-    for w in np.unique(sig_words):
-        every = np.flatnonzero(sig_words == w)
-        for at in range(0, len(every), 65536):
-            of = every[at : at + 65536]
-            full = sig[sig_start[of][:, None] + np.arange(w)]
-            folded[of] = np.bitwise_xor.reduce(full.reshape(len(of), w // least, least), axis=1)
+    tables = _folded(sig, sig_start, sig_words)
+    del sig, sig_start
     starts = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
     a = 0
     while a < len(tok):
@@ -300,17 +286,21 @@ def fragment_pairs(hid, n, sig, sig_words, tok, tok_n, pos, block, t: float, bat
             if block is not None:
                 ok = block[x] != block[y]
                 x, y = x[ok], y[ok]
-            limit = most[n[x] + n[y]]
-            ham = np.zeros(len(x), np.int32)
-            for w in range(least):
-                ham += np.bitwise_count(folded[x, w] ^ folded[y, w])
-            ok = np.flatnonzero(ham <= limit)
+            # the smallest bitmaps first: one row each decides most pairs
+            ok = np.flatnonzero(_differing(tables[0][1], x, y) <= most[n[x] + n[y]])
             if not len(ok):
                 continue
-            pair = np.unique(x[ok].astype(np.int64) * len(n) + y[ok])
+            pair = grams.distinct(x[ok].astype(np.int64) * len(n) + y[ok])
             x, y = pair // len(n), pair % len(n)
-            keep = _wide_bound(x, y, sig, sig_start, sig_words, least, most[n[x] + n[y]])
-            yield hid[x[keep]], hid[y[keep]]
+            wide = np.minimum(sig_words[x], sig_words[y])
+            for w, table, row in tables[1:]:  # then wider ones, of the pairs that have them
+                m = np.flatnonzero(wide >= w)
+                bad = m[_differing(table, row[x[m]], row[y[m]]) > most[n[x[m]] + n[y[m]]]]
+                if len(bad):
+                    keep = np.ones(len(x), bool)
+                    keep[bad] = False
+                    x, y, wide = x[keep], y[keep], wide[keep]
+            yield hid[x], hid[y]
         a = b
 
 
@@ -348,23 +338,33 @@ def _range_pairs(tok, d, pos, n, ratio: float, t: float, batch: int, most_postin
                 yield idoc[x_at[ok]], np.repeat(d[part][q], c)[ok]
 
 
-def _wide_bound(x, y, sig, sig_start, sig_words, least: int, limit) -> np.ndarray:
-    """Pairs that the larger bitmaps still allow, the wider one of two folded to the other's size."""
-    keep = np.ones(len(x), bool)
-    wide = np.minimum(sig_words[x], sig_words[y])
-    for w in np.unique(wide[wide > least]):
-        m = np.flatnonzero(wide == w)
-        xs, ys = x[m], y[m]
-        ham = np.zeros(len(m), np.int64)
-        for i in range(w):
-            u, v = sig[sig_start[xs] + i], sig[sig_start[ys] + i]
-            for z, out in ((xs, u), (ys, v)):
-                for f in range(1, int(sig_words[z].max()) // w):
-                    has = np.flatnonzero(sig_words[z] > f * w)
-                    out[has] ^= sig[sig_start[z[has]] + i + f * w]
-            ham += np.bitwise_count(u ^ v)
-        keep[m] = ham <= limit[m]
-    return keep
+def _folded(sig: np.ndarray, start: np.ndarray, words: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(words, bitmaps, row of each record) for each bitmap size in use, smallest first: the bitmaps of all records of at least that size, folded to it."""
+    out = []
+    for w in np.unique(words):
+        has = words >= w
+        row = (np.cumsum(has) - 1).astype(np.int32)
+        table = np.zeros((int(has.sum()), w), np.uint64)
+        for v in np.unique(words[has]):
+            every = np.flatnonzero(words == v)
+            for at in range(0, len(every), 65536):
+                of = every[at : at + 65536]
+                full = sig[start[of][:, None] + np.arange(v)]
+                table[row[of]] = np.bitwise_xor.reduce(full.reshape(len(of), v // w, w), axis=1)
+        out.append((int(w), table, row))
+    return out
+
+
+def _differing(table: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which rows of 4 words or a multiple differ (256 bits of difference in 4 words count as none: a bound that keeps more)."""
+    ham = np.zeros(len(x), np.int32)
+    step = max(1, 1_600_000 // table.shape[1])
+    for at in range(0, len(x), step):
+        part = slice(at, at + step)
+        bits = np.bitwise_count(table[x[part]] ^ table[y[part]]).view(np.uint32)
+        for i in range(bits.shape[1]):
+            ham[part] += (bits[:, i] * np.uint32(0x01010101) >> np.uint32(24)).astype(np.int32)
+    return ham
 
 
 def _pieces(p: np.ndarray, count: np.ndarray, lo: np.ndarray, batch: int):

@@ -11,6 +11,7 @@ an edit of its own, differ by two.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from itertools import permutations
@@ -49,6 +50,12 @@ def edits(a: str, b: str, most: int = 9) -> int:
     return min(one[-1], most + 1)
 
 
+@functools.lru_cache(maxsize=200_000)
+def is_mark(w: str) -> bool:
+    """Whether a word is a mark of a copy or version, one edit allowed."""
+    return bool(VERSION.match(w)) or any(edits(w, m, 1) <= 1 for m in MARKS)
+
+
 def canonical(name: str | None) -> str | None:
     """The words of a title in order of code points, those with a digit after a bar; None for a null, blank or generic name."""
     if name is None:
@@ -60,9 +67,9 @@ def canonical(name: str | None) -> str | None:
     words = [w for w in SPLIT.split(s) if w]
     out = []
     for i, w in enumerate(words):
-        if VERSION.match(w) or any(edits(w, m, 1) <= 1 for m in MARKS):
+        if is_mark(w):
             continue
-        if i and any(edits(words[i - 1], m, 1) <= 1 for m in MARKS) and w[:1] == "o" and edits(w, "of", 1) <= 1:
+        if i and w[:1] == "o" and is_mark(words[i - 1]) and edits(w, "of", 1) <= 1:
             continue
         out.append(w)
     letters = [w for w in out if not any(c.isdigit() for c in w)]
