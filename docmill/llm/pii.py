@@ -11,7 +11,9 @@ Decoding runs over numpy batches. A token's emission is a sum of rows that
 depend on one word each, so words are scored once per task. A token whose O
 leads every other label by more than all transitions together can win is O in
 the best path; Viterbi then runs exactly over the short stretches between. An
-exact check of each kind's form follows, which also completes names.
+exact check of each kind's form follows, which also completes names. It knows
+from counts over the whole corpus which words are mostly small or very frequent
+and so no parts of names.
 
 Null texts stay null and have no spans, blank texts stay as they are. Every
 row is treated alone. Whole texts are used whatever their length.
@@ -28,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import grams
-from docmill.llm.near_duplicates import _spread
-from docmill.llm.pii_examples import COMPANY, GIVEN, KINDS, SHORT, SITES, clean_sentences, labelled_rows
+from docmill.llm.pii_examples import COMPANY, GIVEN, KINDS, SHORT, SHORTENED, SURNAMES, clean_sentences, labelled_rows
+from docmill.storage import materialize
 
 _U = np.uint64
 LABELS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
@@ -80,6 +82,9 @@ def _hashes(cp: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, n
     return grams.mix((p[e] - p[s]) * down[s] + (e - s).astype(np.uint64)), c
 
 
+_FULL_MAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
+
+
 def features(w: str) -> list[str]:
     """Facts of one token; digits are 0 already."""
     low = w.lower()
@@ -87,7 +92,9 @@ def features(w: str) -> list[str]:
     short = "".join(c for i, c in enumerate(shape) if not i or shape[i - 1] != c)
     out = ["", "w=" + low[:24], "s=" + shape[:16], "t=" + short[:10], "q=" + low[-3:], "r=" + low[-2:], "n=" + str(min(len(w), 9)), "v=" + ("v" if low[-1] in "aeiouyáéí" else "c")]
     if "@" in w:
-        out.append("@")
+        out.append("@" + str(bool(_FULL_MAIL.fullmatch(low))))
+    if low in _GIVEN or low.rstrip(".") in _TITLE or low.replace(".", "") in _FIRM:
+        out.append("known=" + ("given" if low in _GIVEN else "title" if low.rstrip(".") in _TITLE else "firm"))
     if "0" in w:
         out.append("0=" + str(min(w.count("0"), 12)))
         out.append("z=" + "".join(sorted({c for c in w if not c.isalnum()})))
@@ -98,6 +105,10 @@ def features(w: str) -> list[str]:
     return out
 
 
+#: Nats that label O pays for each token: a miss costs more than a false alarm, which the exact check of the forms can still stop.
+O_COST = 2.0
+
+
 class Crf:
     """Weights per feature and offset, transitions, and the exact pruning bound."""
 
@@ -145,6 +156,7 @@ class Crf:
         """(tokens x labels); neighbours outside the text count as nothing."""
         n = len(row)
         out = np.zeros((n, NL), np.float32)
+        out[:, 0] = -O_COST
         for i, o in enumerate(OFFSETS):
             part = self.rows[:, i * NL : (i + 1) * NL]
             a, b = max(0, -o), min(n, n - o)
@@ -316,19 +328,79 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 65,
             m2 *= 0.99
             m2 += 0.01 * g * g
             w += rate * (0.5 + 0.5 * np.cos(np.pi * step / (rounds + 1))) * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-    # words that stand in small letters or in plain rows are no parts of names
+    # words that stand in small letters or often in plain rows are no parts of names
     often: dict[str, int] = {}
     for t, spans in rows:
         if not spans:
             for w in set(re.findall(_NAME, t)):
                 often[w.casefold()] = often.get(w.casefold(), 0) + 1
     plain = {w for w, n in often.items() if n >= 4} | {w for t, spans in rows if not spans for w in re.findall(_NAME, t) if w.islower()}
-    plain |= {w.casefold() for name in SITES for w in name.split()}
-    return Crf(index, theta.astype(np.float32), trans.astype(np.float32), frozenset(plain - _GIVEN))
+    return Crf(index, theta.astype(np.float32), trans.astype(np.float32), frozenset(plain - _GIVEN - {w.casefold() for w in SURNAMES}))
+
+
+class Lexicon:
+    """Words that are no parts of names: those of the labelled table, and hashes of those of the corpus."""
+
+    def __init__(self, words: frozenset[str], hashes: np.ndarray):
+        self.words, self.hashes, self.known = words, hashes, {}
+
+    def __getstate__(self):
+        return {"words": self.words, "hashes": self.hashes, "known": {}}
+
+    def __contains__(self, w: str) -> bool:
+        got = self.known.get(w)
+        if got is None:
+            if len(self.known) > 300_000:
+                self.known.clear()
+            cp, _ = grams.code_points([w.lower()])
+            h = _hashes(cp, np.array([0]), np.array([len(cp) - 1]))[0][0]
+            at = int(np.searchsorted(self.hashes, h))
+            got = self.known[w] = w in self.words or w not in _GIVEN and at < len(self.hashes) and self.hashes[at] == h
+        return got
+
 
+#: Words that count as plain: small in at least this share of their places and not rarer than LEAST among all words, or at least as frequent as OFTEN.
+SMALL_SHARE, LEAST, OFTEN = 0.25, 1e-6, 1e-4
 
-#: Texts that the plain sentences of the labelled table are taken from, and those sentences.
-SAMPLE_TEXTS, PLAIN_SENTENCES = 700, 2600
+
+def plain_words(df: DataFrame, text_col: str) -> np.ndarray:
+    """Hashes of the plain words of all texts of a table, in order. Words are counted by hash on the executors; by LEAST, at most a million are left for the driver."""
+
+    def counts(batches):
+        held, size = [], 0
+        for batch in batches:
+            texts = [t for t in batch.column("text").to_pylist() if t]
+            for a, b in grams.slices([len(t) for t in texts]):
+                cp, _, s, e = tokenize(texts[a:b])
+                at = np.minimum(cp, 0xFFFF)
+                low = _table("lower", lambda c: ord(c.lower()) if len(c.lower()) == 1 else ord(c))[at]
+                letters = np.concatenate([[0], np.cumsum(_table("alpha", str.isalpha)[at])])
+                small = np.concatenate([[0], np.cumsum(_table("islower", str.islower)[at])])
+                ok = (letters[e] - letters[s] == e - s) & (e - s > 1)
+                s, e = s[ok], e[ok]
+                held.append((_hashes(low, s, e)[0], small[e] - small[s] == e - s))
+                size += len(s)
+                if size > 2_000_000:
+                    yield _sums(held)
+                    held, size = [], 0
+        if held:
+            yield _sums(held)
+
+    rows = df.select(F.col(text_col).alias("text")).where("text is not null")
+    n = rows.mapInArrow(counts, "h bigint, n bigint, small bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("small").alias("small"))
+    n = materialize(n, "words")
+    total = n.agg(F.sum("n")).first()[0] or 0
+    kept = n.where((F.col("n") >= OFTEN * total) | ((F.col("small") > 1) & (F.col("small") >= SMALL_SHARE * F.col("n")) & (F.col("n") >= LEAST * total)))
+    return np.sort(np.array([r.h for r in kept.select("h").collect()], np.int64).view(np.uint64))
+
+
+def _sums(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    h, small = (np.concatenate([x[i] for x in held]) for i in range(2))
+    o = np.argsort(h)
+    h, small = h[o], small[o].astype(np.int64)
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    few = np.add.reduceat(small, at) if len(h) else small
+    return pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.diff(np.append(at, len(h)))), pa.array(few)], names=["h", "n", "small"])
 
 
 @functools.lru_cache(maxsize=4)
@@ -336,21 +408,29 @@ def _trained(plain: tuple[str, ...]) -> Crf:
     return train(labelled_rows(plain=plain))
 
 
-def fit_model(df: DataFrame | None = None, id_col: str = "", text_col: str = "") -> Crf:
-    """Model from the labelled table; with a table of texts, plain sentences of ``SAMPLE_TEXTS`` of its rows (the bound, chosen by the hash of the id) stand beside the frames."""
+def fit_model(df: DataFrame | None = None, id_col: str = "", text_col: str = "", sample_texts: int = 700, plain_sentences: int = 2600) -> Crf:
+    """Model from the labelled table.
+
+    With a table of texts, ``plain_sentences`` sentences of ``sample_texts`` of
+    its rows (the bound of the sample, chosen by the hash of the id) stand
+    beside the frames as examples without personal data, and the lexicon of
+    plain words comes from all of its rows.
+    """
     if df is None:
         return _trained(())
+    hashes = plain_words(df, text_col)
     rows = df.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
     # the bound of the hashes first: texts of every task's best rows would all go to the driver
-    last = rows.select("h").distinct().orderBy("h").limit(SAMPLE_TEXTS).agg(F.max("h")).first()[0]
-    few = rows.where(F.col("h") <= (0 if last is None else last)).distinct().limit(4 * SAMPLE_TEXTS).collect()
-    return _trained(tuple(clean_sentences(sorted({r.t for r in few}), PLAIN_SENTENCES)))
+    last = rows.select("h").distinct().orderBy("h").limit(sample_texts).agg(F.max("h")).first()[0]
+    few = rows.where(F.col("h") <= (0 if last is None else last)).distinct().limit(4 * sample_texts).collect()
+    crf = _trained(tuple(clean_sentences(sorted({r.t for r in few}), plain_sentences, Lexicon(frozenset(), hashes))))
+    return Crf(crf.index, crf.theta, crf.trans, Lexicon(crf.plain, hashes))
 
 
 # The forms that an exact check demands of a span.
 _NAME = r"[^\W\d_][^\W\d_'’-]+"
-_TITLE = {"mr", "ms", "mrs", "dr", "frau", "herr", "mme", "sr", "sra", "dhr", "mevr", "prof"}
-_FIRM = {w.rstrip(".").casefold() for w in COMPANY} | {"tech", "eng", "svcs", "instr", "cons", "intl", "log", "ag", "bv", "fwks", "sa", "plc", "llc"}
+_TITLE = {"mr", "ms", "mrs", "dr", "frau", "herr", "mme", "mlle", "sr", "sra", "dhr", "mevr", "prof"}
+_FIRM = {w.replace(".", "").casefold() for w in (*COMPANY, *SHORTENED)} | {"bv", "sa", "plc", "llc", "sarl", "kg", "ohg", "lda", "nv", "spa", "oy", "ab"}
 _WORDS = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*|[,.&/\n]")
 _GIVEN = {w.casefold() for w in (*GIVEN, *SHORT)}
 _MAIL = re.compile(r"\w(?:[\w.+-]*)\s*(?:@|\(at\)|\[at\]|\bat\b|\[@\])\s*\w[\w-]*\s*(?:(?:\.|\s*\(dot\)\s*|\s*\[dot\]\s*|\s+dot\s+)[a-z]{2,})+", re.I)
@@ -361,13 +441,21 @@ def _digits(s: str) -> int:
     return sum(c.isdigit() for c in s)
 
 
-def _name_span(text: str, a: int, b: int, plain: frozenset[str]) -> tuple[int, int] | None:
-    """The whole name around a span, or None if it is none: a given name, initial or title beside a word that is not plain, and no firm."""
-    lo = max(0, a - 40)
-    near = [(m.start(), m.end(), m.group()) for m in _WORDS.finditer(text, lo, min(len(text), b + 40))]
-    if lo and near and near[0][0] == lo:
+def _name_span(text: str, a: int, b: int, plain) -> tuple[int, int] | None:
+    """The whole name around a span, or None if it is none: a given name, initial or title beside a word that is not plain, and no firm. The text is read as far as the name goes."""
+    width = 48
+    while (got := _name_within(text, a, b, plain, max(0, a - width), min(len(text), b + width))) == "wider":
+        width *= 4
+    return got
+
+
+def _name_within(text: str, a: int, b: int, plain, lo: int, hi: int) -> tuple[int, int] | None | str:
+    near = [(m.start(), m.end(), m.group()) for m in _WORDS.finditer(text, lo, hi)]
+    if lo and near and near[0][0] == lo and near[0][0] < a:
         near = near[1:]
-    inside = [i for i, (x, y, _) in enumerate(near) if x < b and y > a and _ not in ",.&/\n"]
+    if hi < len(text) and near and near[-1][1] == hi and near[-1][1] > b:
+        near = near[:-1]
+    inside = [i for i, (x, y, w) in enumerate(near) if x < b and y > a and w not in ",.&/\n"]
     if not inside:
         return None
 
@@ -381,18 +469,22 @@ def _name_span(text: str, a: int, b: int, plain: frozenset[str]) -> tuple[int, i
     if not inside:
         return None
     i, j = inside[0], inside[-1]
-    for _ in range(4):  # over initials, titles, a comma or a full stop to the other parts of the name
+    grown = True
+    while grown:  # over initials, titles, a comma or a full stop to the other parts of the name
+        if lo and i < 3 or hi < len(text) and j > len(near) - 4:
+            return "wider"
+        grown = False
         if i > 0 and part(near[i - 1][2]):
-            i -= 1
+            i, grown = i - 1, True
         elif i > 1 and near[i - 1][2] in ",." and part(near[i - 2][2]) and near[i][0] - near[i - 2][1] <= 3 and (near[i - 1][2] == "," and near[i][2].casefold() in _GIVEN or near[i - 1][2] == "." and (len(near[i - 2][2]) == 1 or near[i - 2][2].casefold() in _TITLE)):
-            i -= 2
+            i, grown = i - 2, True
         if j + 1 < len(near) and part(near[j + 1][2]):
-            j += 1
+            j, grown = j + 1, True
         elif j + 2 < len(near) and part(near[j + 2][2]) and near[j + 2][0] - near[j][1] <= 3 and (near[j + 1][2] == "," and near[j + 2][2].casefold() in _GIVEN or near[j + 1][2] == "." and (len(near[j][2]) == 1 or near[j][2].casefold() in _TITLE)):
-            j += 2
+            j, grown = j + 2, True
     ws = [w for _, _, w in near[i : j + 1] if w not in ",.&/\n"]
     low = [w.casefold() for w in ws]
-    if j - i > 8 or any(w in _FIRM for w in low):
+    if any(w in _FIRM for w in low):
         return None
     for k in (j + 1, j + 2):
         if k < len(near) and (near[k][2] == "&" or near[k][2].casefold() in _FIRM and near[k][2][0].isupper()) and near[k][0] - near[j][1] <= 3:
@@ -401,12 +493,25 @@ def _name_span(text: str, a: int, b: int, plain: frozenset[str]) -> tuple[int, i
         return None
     given, mark, name = sum(w in _GIVEN for w in low), sum(w in _TITLE or len(w) == 1 for w in low), sum(len(w) > 2 and w not in _GIVEN and w not in _TITLE for w in low)
     both = sum(a <= x and y <= b + 1 and len(w) > 2 for x, y, w in (near[k] for k in range(i, j + 1)) if w not in ",.&/\n")
-    if not (name and (given or mark) or name >= 2 and both >= 2):
+    if not (name and (given or mark) or name >= 2 and both >= 2 or given >= 2):
         return None
     return near[i][0], near[j][1]
 
 
-def checked(text: str, spans: list[tuple[int, int, str]], plain: frozenset[str]) -> list[tuple[int, int, str]]:
+def _mail_span(text: str, a: int, b: int) -> tuple[int, int] | None:
+    """The whole address around a span."""
+    width = 48
+    while True:
+        lo, hi = max(0, a - width), min(len(text), b + width)
+        m = next((m for m in _MAIL.finditer(text, lo, hi) if m.start() < b and m.end() > a), None)
+        if m is None:
+            return None
+        if not (lo and m.start() == lo or hi < len(text) and m.end() >= hi - 1):
+            return m.span()
+        width *= 4
+
+
+def checked(text: str, spans: list[tuple[int, int, str]], plain) -> list[tuple[int, int, str]]:
     """The spans that pass the exact check of their kind; names are completed; overlaps go to the earlier span."""
     out: list[tuple[int, int, str]] = []
     for a, b, kind in sorted(spans):
@@ -417,11 +522,9 @@ def checked(text: str, spans: list[tuple[int, int, str]], plain: frozenset[str])
                 continue
             a, b = got
         elif kind == "email":
-            lo = max(0, text.rfind(" ", 0, a - 4) if a > 4 else 0)
-            m = next((m for m in _MAIL.finditer(text, max(0, lo), min(len(text), b + 40)) if m.start() < b and m.end() > a), None)
-            if m is None:
+            if (mail := _mail_span(text, a, b)) is None:
                 continue
-            a, b = m.span()
+            a, b = mail
         elif kind == "phone":
             if _digits(s) < 7 or _CODE.match(s) or re.search(r"[^\W\d]{4,}", s):
                 continue

@@ -1,133 +1,204 @@
 """The small labelled table that the personal-data model is trained on.
 
-Rows are built by rule from the sentence frames and value forms below, with a
-fixed seed: a frame's slots are filled, and the filled slots are the labels.
-Frames without slots, and slots in angle brackets, are what is *not* personal
-data: companies, sites, products, titles, codes, versions, prices.
+Rows are built by rule from sentence frames and value grammars with a fixed
+seed: a frame's slots are filled, and the filled slots are the labels. Frames,
+name stock and grammars are general knowledge about letters, forms and office
+texts and about how the countries write numbers and addresses. Frames without
+slots, and slots in angle brackets, are what is *not* personal data:
+companies, sites, products, titles, codes, versions, prices.
 """
 
 from __future__ import annotations
 
 import random
 import re
+import unicodedata
 
 KINDS = ("person", "email", "phone", "id_number", "address")
 
-# Given names and short forms, word parts, and frames.
-GIVEN = "Alexander Andreas Benjamin Christopher Dorothea Elizabeth Étienne Fernando Francisca Gabriela Henrietta Isabella James Johannes Joseph Katharine Leonard Margaret Maximilian Michael Nicholas Oliver Patricia Richard Robert Rosalind Samantha Susanne Theodora Thomas Ursula Victoria Wilhelmina William Yolanda Zoltán Anna Peter Maria John Sophie Daniel Laura Paul Emma David Clara Martin Julia Lucas Helena Simon".split()
-SHORT = "Alex Andi Ben Chris Dora Liz Nando Paquita Gabi Hetty Bella Jim Hans Joe Kate Leo Peggy Max Mike Nick Olli Trish Dick Bob Roz Sam Susi Thea Tom Uschi Vicky Mina Bill Yoli Zoli Tiennot Sasha Kath Vicki Will Rob Rick".split()
-ENDS = ["", "l", "n", "r", "s", "nd", "t", "k"]
-COMPANY = ["Ltd.", "Limited", "GmbH", "S.A.", "Inc.", "Incorporated", "Corporation", "Corp.", "Company", "Co.", "Group", "Mfg.", "Transp.", "Labs", "Laboratories", "Technologies", "Logistics", "Services", "Consulting", "Instruments", "International", "Engineering", "Manufacturing", "Transport", "Fieldworks"]
-TITLE_WORDS = ["Agenda", "Budget", "Checklist", "Contract", "Forecast", "Guideline", "Handover", "Inventory", "Minutes", "Proposal", "Report", "Review", "Roadmap", "Runbook", "Survey", "Training"]
-TOPICS = ["archive", "customer", "energy", "facilities", "laboratory", "logistics", "maintenance", "onboarding", "packaging", "procurement", "safety", "security", "software", "transport", "travel", "warehouse"]
-SITES = ["Tamber Hill", "Port Velune", "Lindach Park", "Sable Bridge", "Hollin Quay", "West Marrow", "Corvin Dock", "Osterfeld Yard", "Palox Reader", "Norrin Gate", "Drumlin Pump", "Umbral Scan", "Fennel Desk", "Oakline Rack", "Veltobox 300", "Stackwise", "Hexabin", "Quillpress", "Tarn Meter", "Lowe Kiosk", "Brannock Fieldworks"]
+# Common given names of the languages, and short forms.
+GIVEN = (
+    "James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Christopher Lisa Daniel Nancy Matthew Margaret Anthony Sandra Mark Ashley Steven Emily Paul Donna Andrew Michelle Kenneth Carol George Amanda Edward Helen Brian Laura Kevin Samantha Nicholas Katherine Benjamin Victoria Alexander Rachel Jonathan Olivia Stephen Emma Henry Grace Oliver Alice Simon Charlotte "
+    "Hans Ursula Peter Monika Wolfgang Sabine Klaus Susanne Jürgen Petra Andreas Birgit Stefan Katharina Martin Julia Johannes Maximilian Felix Leonard Günter Heike Friedrich Ingrid "
+    "Jean Marie Pierre Nathalie Michel Isabelle Philippe Catherine Jacques Sylvie François Hélène Étienne Chantal Antoine Camille Luc Margaux "
+    "Antonio Carmen José María Manuel Isabel Francisco Dolores Javier Pilar Carlos Lucía Fernando Teresa Miguel Gabriela Diego Elena Alejandro Rosa "
+    "Jan Anna Pieter Johanna Willem Cornelia Kees Femke Joost Sanne Maarten Lieke Sven Wilma "
+    "João Ana António Joana Rui Catarina Tiago Beatriz Pedro Inês Paulo Sofia Nuno Isabella "
+    "Иван Анна Сергей Елена Дмитрий Ольга Андрей Наталья Алексей Татьяна Михаил Мария Николай Екатерина Владимир Светлана Павел Ирина Olga Sergei Ivan Natalia"
+).split()
+SHORT = "Alex Ben Bill Bob Chris Dan Dave Ed Fred Jack Jim Joe Kate Ken Liz Maggie Matt Max Meg Mike Nick Pat Pete Phil Rick Rob Sam Steve Sue Ted Tom Tony Vicky Will Uli Uwe Toni Pepe Paco Саша Маша".split()
+# Legal forms, lines of business, and nouns that names of places and products end in or begin with.
+COMPANY = ["Ltd.", "Ltd", "Limited", "GmbH", "AG", "S.A.", "S.L.", "B.V.", "Inc.", "Incorporated", "Corporation", "Corp.", "Company", "Co.", "Group", "Partners", "Holdings", "Industries", "Systems", "Solutions", "Technologies", "Laboratories", "Labs", "Logistics", "Services", "Consulting", "Instruments", "International", "Engineering", "Manufacturing", "Transport", "Foods", "Energy", "Software", "Pharma"]
+SHORTENED = ["Mfg.", "Tech.", "Eng.", "Svcs.", "Intl.", "Bros.", "Transp.", "Instr.", "Ind."]
+PLACE = "Hill Park Bridge Quay Dock Yard Gate Station Tower House Centre Campus Harbour Point Square Market Mill Wharf Works Plaza Heights Valley Terminal Depot Field Airport".split()
+BEFORE = "Port West East North South New Fort Lake Mount Upper".split()
+DEVICE = "Reader Pump Scan Desk Rack Meter Kiosk Box Hub Pro Plus Suite Cloud Sensor Printer Drive Router Cart Lift Panel Drill Cam Pad Link Press Works".split()
+TITLE_WORDS = ["Agenda", "Annual Report", "Budget", "Checklist", "Contract", "Forecast", "Guide", "Handbook", "Inventory", "Manual", "Minutes", "Newsletter", "Policy", "Proposal", "Report", "Review", "Schedule", "Strategy", "Summary", "Survey", "Training"]
+TOPICS = "archive catering customer energy equipment facilities finance health hiring insurance laboratory legal logistics maintenance marketing onboarding payroll privacy procurement quality research safety sales security software staff tax training transport travel warehouse".split()
+# Frames with personal data.
 FRAMES = [
-    # each kind in its usual places
-    "{P} chaired the session and closed it early.", "The minutes were taken by {P}, as agreed.", "The key to {P}, {A}.", "Forward the key to {P}, {A}.", "{P} can be reached at {E} or {T}.", "{P} can be reached at <{E}>.", "Ask about the delay, {P} gave {T}.",
-    "A note in the margin: {P}. The test bench blocks the annex.", "The cold room covers the intake form ({P}). Overall, it stands.", "The cold room covers the intake form ({T}).", "The cold room covers the intake form, {T}.", "The cold room covers the intake form ({E}).", "The audit trail shortens the memo, cc {E}.", "{P} supports the audit trail.", "The depot lease conflicts with the badge reader. {P} reopened the field survey.", "-- {P}", "/ {P} /", "{P}: In short, the lift is out of order.", "{P}",
-    "Replies go to {E} only.", "Please send corrections to {E} before the review.", "{E}: To be clear, the travel plan stands.", "{E}", "The desk answers on {T} during office hours.", "If the gate is locked, dial {T} and wait.", "T: {T}", "Tel. {T} The plan stands.", "Phone: {T}", "{T}", "National identity number on file: {I}. About 233 hours remain.", "The applicant stated {I} on the second form.", "The plan stands (SSN: {I}).", "The plan stands, NINO {I}.", "The plan stands (ID {I}).", "The plan stands, ID {I}.", "The plan stands, SSN: {I}.", "Copies of {I} and the lease for {A} were handed over.", "Passport {I}", "The new tenant lives at {A}, second bell.", "Lives at {A} according to the lease.", "Deliveries go to {A} from Monday on.", "Moved to {A}; new number {T}.", "The plan stands ({A}).", "The plan stands, {A}.", "{A}", "Contact: {P}, {E}, {T}, {A}.", "[Handover] {P} answers on {T}.", "Page 3, line 10, as {P} said.", "{P} and {P} signed.", "From {P} to {P}: the list is done.", "Responsible: {P}", "{P} precedes the procurement memo.", "Works with {P}; mail to {E}.", "Notes were taken by {P}, as in spring.", "Signed in the margin: {P}.", "Role passed on by {P} in spring.", "Registered under {I} in the intake form.", "The plan stands (identity no. {I}).", "Contact for the depot, reachable at {E}.", "{P} or {P}; mail to {E}.",
-    "{P} hat die Sitzung geleitet.", "Der Schlüssel liegt bei {P}, {A}.", "{P} ist per {E} oder {T} zu erreichen.", "Die Zentrale ist unter {T} erreichbar.", "Rückfragen bitte an {E}.", "Auf dem zweiten Bogen steht die Kennnummer {I}.", "Das Lager ist voll (Kennnr. {I}).", "Das Lager ist voll, Ausweis {I}.", "Das Lager ist voll ({P}).", "Lieferungen gehen an {A} ab Montag.", "Wohnt in {A}.", "{P} verkürzt das Messgerät im zweiten Anhang.", "Am Rand steht: {P}. Etwa 30 von 99 Aufgaben sind erledigt.", "Vermerk, {A}.", "Zur Frage der Frist gab {P} {T} an.",
-    "{P} a présidé la séance et l'a close plus tôt.", "On peut joindre {P} par {E} ou au {T}.", "L'accueil répond au {T} pendant la journée.", "La livraison se fait au {A} dès lundi.", "La deuxième annexe indique le numéro {I} pour la personne.", "Le stock atteint 30 unités, n° d'identité {I}.", "Le plan tient (NIR {I}).", "Le plan tient ({P}).", "Le plan tient ({A}).", "Le plan tient, {T}.", "La clé est chez {P}, {A}.", "{P} confirme le calendrier des congés.", "Note en marge : {P}. Environ 12 tâches.", "Réponses à {E} uniquement.",
-    "{P} presidió la sesión.", "Se puede localizar a {P} en {E} o en el {T}.", "La recepción atiende en el {T} por la mañana.", "En la segunda hoja figura el número {I} del solicitante.", "El plan sigue (DNI {I}).", "El plan sigue, DNI {I}.", "Las entregas se hacen en {A} desde el lunes.", "El plan sigue ({P}).", "La llave la tiene {P}, {A}.", "{P} completa la red de calefacción.", "Nota al margen: {P}. Quedan 10 horas.", "Las correcciones deben enviarse a {E} antes de la revisión.",
-    "{P} zat de vergadering voor.", "De balie is bereikbaar op {T} in de ochtend.", "Op het tweede blad staat nummer {I} van de aanvrager.", "Het plan blijft, BSN {I}.", "Het plan blijft ({P}).", "Leveringen gaan naar {A} vanaf maandag.", "De sleutel ligt bij {P}, {A}.", "Stuur correcties naar {E} voor de ronde.", "{P} is bereikbaar via {E} of {T}.", "{P} vermeldt het archief.", "In de kantlijn: {P}. Nog 10 uur.",
-    "{P} presidiu a sessão.", "A receção atende pelo {T} durante a manhã.", "Na segunda folha consta o número {I} do requerente.", "O plano fica, NIF {I}.", "O plano fica (NIF {I}).", "As entregas são feitas em {A} desde segunda-feira.", "A chave está com {P}, {A}.", "O plano fica ({P}).", "As correções devem ser enviadas para {E} antes da revisão.", "{P} pode ser contactado em {E} ou {T}.", "{P} amplia a câmara fria.", "Nota à margem: {P}. Restam 10 horas.",
-    "{P} вёл заседание.", "Дежурный отвечает по номеру {T} весь день.", "План остаётся, паспорт {I}.", "План остаётся (паспорт {I}).", "На втором листе указан номер {I} заявителя.", "Доставка по адресу {A} с понедельника.", "Ключ находится у {P}, {A}.", "План остаётся ({P}).", "Исправления направляйте на {E} до проверки.", "С {P} можно связаться по адресу {E} или {T}.", "{P} дополнил перечень цен.", "На полях: {P}. Выполнено 12 задач.",
-    # no personal data
-    "<C> duplicates the access list.", "<C> et <S> modifient la liste.", "<S> verkürzt das Messgerät.", "<S> delayed the vendor scorecard.", "{P} of <C> replaced the memo.", "The plan of <C> stands (<K>).", "<D>", "[<D> > Annex A] The cold room stands.", "The file <D> holds the notes.", "See <D>.pdf and <F>.", "The draft carries the mark <K> and <N> comments.", "Item <K> was closed on day <N>.", "About <N> hours remain in code <K>.", "Budget line <K> moves from <N> to <N>.", "Price check: <N> @ 12.50 per crate.", "The package is pinned to loader@<V> for now.", "Ping @ops-desk about build <V>.", "Roughly <N> of <N> tasks are done.", "The count stands at <N> units against <N> planned.", "The window runs 09:50-11:55 on weekdays.", "Part <R> is out of stock.", "Part no. <O> is out of stock.", "Order no. <O> is still open.", "Die Bestellung Nr. <O> ist noch offen.", "La commande n° <O> reste ouverte.", "Заказ № <O> ещё открыт.", "A encomenda n.º <O> continua aberta.", "El pedido n.º <O> sigue abierto.", "De bestelling nr. <O> staat nog open.", "Order <R> and part <R> arrived.", "Order no. <R> was closed on 12/03/2031.", "Ticket <R>, version <V>, batch <R>.", "| the cold room | <N> | <K> | <N> |", "Seite <N>, Zeile <N>.", "Véase la página <N>, línea <N>, para el texto.", "Zum Zeichen <K> liegen <N> Seiten vor.", "Meanwhile, the Cold Room of the Harbour Office stands.", "ROUGHLY <N> OF <N> TASKS ARE DONE. THE COLD ROOM STANDS.", "THE MIGRATION SCRIPT REPLACED THE SAFETY WALK FOR CONTRACT STAFF.", "Overall, The Visitor Policy covers The Audit Trail.", "Die Sicherheitsbegehung im zweiten Anhang begrenzt das Angebot und die Mietvereinbarung.", "Etwa <N> von <N> Aufgaben sind erledigt.", "Der Vorgang <K> wurde am Tag <N> geschlossen.", "Das Budget für den Standort Nord überschreibt die Bestellung.", "<W> precedes the safety walk.", "<W> and <W>: the archive index for new starters.", "The intake form from <W> covers the road survey near the west street gate.", "Street works and lane markings near the close of day.", "Вопрос <K> закрыт на <N> день.", "Остаток составляет <N> штук вместо <N> по плану.", "Il reste <N> heures sous le code <K>.", "Le stock atteint <N> unités contre <N> prévues.", "Quedan <N> horas bajo el código <K>.", "Restam <N> horas sob o código <K>.", "Onder code <K> staan nog <N> uur open.", "Checksum <H> on row <N>.", "<S> and <C> sign on 2031-05-04.", "Named together with the cold room and the audit trail.", "Referenced under code <K> in connection with the travel plan.", "Invoice 2031-000123, ISBN-like 978-3-16-148410-0, IP 10.0.0.12.",
+    # English
+    "{P} wrote the first draft and sent it round.", "The interview with {P} lasted an hour.", "Please ask {P} for the spare keys.", "{P} is on leave until Thursday.", "We met {P} and {P} at the trade fair.", "The claim was filed by {P} in March.", "Approved by: {P}", "Attendees: {P}, {P}, {P}", "Author: {P}", "Contact person: {P} ({T})", "Dear {P}, thank you for your letter.", "Kind regards, {P}", "Regards\n{P}", "{P}, who joined in May, runs the help desk.", "According to {P}, nothing has changed.", "{P} called about the invoice.", "cc: {P}", "The desk of {P} is moving to the second floor.", "{P}'s report is missing two pages.", "As agreed with {P}; see below.", "The tenant, {P}, lives at {A}.", "Present were {P} (chair) and {P} (minutes).", "(Source: {P})", "Remark: {P}. The meeting went on.", "Handed to {P}, in person.", "- {P}", "{P}:", "{P}", "{P} repairs the printer, {P} orders paper.", "Substitute for the week is {P}, at extension 12.",
+    "Write to {E} for details.", "My new address is {E}, please update it.", "Questions? {E}", "E-mail: {E}", "Mail: {E}; phone: {T}", "Send the signed form to {E} by Friday.", "({E})", "<{E}>", "Reachable under {E} and, in a hurry, {T}.", "{E} bounced twice.", "From: {E}", "The account {E} was locked.", "Subscribers such as {E} get the newsletter.", "{E}",
+    "Call {T} after six.", "Her number is {T}.", "Phone {T}, any time.", "Fax: {T}", "Mobile: {T}", "Tel: {T}", "T {T}", "The hotline ({T}) is free of charge.", "He left a message from {T} yesterday.", "New number as of Monday: {T}.", "{T} is engaged all day.", "You may also ring {P} on {T}.", "{T}", "Emergency contact: {P}, {T}",
+    "Social security number: {I}", "The passport with the number {I} expires in June.", "ID number {I} was checked at the gate.", "Tax ID {I}", "Identity card no. {I}", "Holder's ID: {I}.", "Please quote your national insurance number ({I}).", "National ID: {I}", "(SSN {I})", "Licence holder {P}, ID {I}", "The form shows {I} as the applicant's number.", "Passport: {I}; born in 1980.", "Insured person {I} has moved.",
+    "He lives at {A}.", "Home address: {A}", "The parcel goes to {A}.", "Please deliver to {A} before noon.", "She moved from {A} to {A}.", "Address: {A}", "{A}", "The flat ({A}) is empty.", "Our customer {P}, {A}, complained.", "Post to {P}, {A}.", "Registered at {A} since spring.", "Return address {A}; do not bend.", "Pick-up from {A}.",
+    # German
+    "{P} hat den Entwurf geschrieben.", "Bitte fragen Sie {P} nach dem Ersatzschlüssel.", "Mit freundlichen Grüßen\n{P}", "Sehr geehrte Frau {P}, vielen Dank.", "Ansprechpartner: {P}", "Laut {P} hat sich nichts geändert.", "Das Gespräch mit {P} dauerte lange.", "Genehmigt von {P}.", "Die Mieterin, {P}, wohnt in {A}.", "Schreiben Sie an {E}.", "E-Mail: {E}", "Telefon: {T}", "Rufen Sie {T} an.", "Ihre Nummer lautet {T}.", "Steuernummer {I}", "Personalausweis Nr. {I}", "Die Ausweisnummer {I} wurde geprüft.", "Sozialversicherungsnummer: {I}.", "Anschrift: {A}", "Er wohnt {A}.", "Das Paket geht an {A}.", "Hinweis: {P}. Der Termin bleibt.", "Am Montag übernimmt {P} die Schicht ({T}).",
+    # French
+    "{P} a rédigé la première version.", "Demandez les clés à {P}.", "Cordialement,\n{P}", "Selon {P}, rien n'a changé.", "Validé par {P}.", "La locataire, {P}, habite au {A}.", "Écrivez à {E} pour en savoir plus.", "Courriel : {E}", "Tél. : {T}", "Appelez le {T} après six heures.", "Numéro de sécurité sociale : {I}", "La carte d'identité {I} a expiré.", "Passeport n° {I}.", "Adresse : {A}", "Le colis part au {A}.", "Il habite {A}.", "Remarque : {P}. La réunion continue.", "Avec {P} et {P} au salon.",
+    # Spanish
+    "{P} escribió el primer borrador.", "Pida las llaves a {P}.", "Un saludo,\n{P}", "Según {P}, nada ha cambiado.", "Aprobado por {P}.", "La inquilina, {P}, vive en {A}.", "Escriba a {E} para más detalles.", "Correo: {E}", "Tel.: {T}", "Llame al {T} por la tarde.", "Número de identidad: {I}", "El pasaporte {I} caduca en junio.", "Con el documento {I}.", "Dirección: {A}", "El paquete va a {A}.", "Vive en {A}.", "Observación: {P}. La reunión sigue.",
+    # Dutch
+    "{P} schreef het eerste concept.", "Vraag {P} om de sleutels.", "Met vriendelijke groet,\n{P}", "Volgens {P} is er niets veranderd.", "Goedgekeurd door {P}.", "De huurder, {P}, woont op {A}.", "Schrijf naar {E} voor meer informatie.", "Mail: {E}", "Telefoon: {T}", "Bel {T} na zessen.", "Burgerservicenummer: {I}", "Het paspoort {I} verloopt in juni.", "Adres: {A}", "Het pakket gaat naar {A}.", "Hij woont aan {A}.", "Opmerking: {P}. De vergadering gaat door.",
+    # Portuguese
+    "{P} escreveu a primeira versão.", "Peça as chaves a {P}.", "Com os melhores cumprimentos,\n{P}", "Segundo {P}, nada mudou.", "Aprovado por {P}.", "A inquilina, {P}, mora na {A}.", "Escreva para {E} para mais detalhes.", "Correio: {E}", "Telefone: {T}", "Ligue para {T} à tarde.", "Número de contribuinte: {I}", "O passaporte {I} caduca em junho.", "Morada: {A}", "A encomenda vai para {A}.", "Vive na {A}.", "Nota: {P}. A reunião continua.",
+    # Russian
+    "{P} написал первый вариант.", "Спросите ключи у {P}.", "С уважением,\n{P}", "По словам {P}, ничего не изменилось.", "Утвердил {P}.", "Жилец, {P}, живёт по адресу {A}.", "Пишите на {E}.", "Почта: {E}", "Телефон: {T}", "Звоните {T} после шести.", "Паспорт {I} проверен.", "Номер удостоверения: {I}", "ИНН {I}.", "Адрес: {A}", "Посылка идёт на {A}.", "Замечание: {P}. Собрание продолжается.",
 ]
-# fmt: off
-PHONES = ["+44 20 7946 0NNN", "+44207946 0NNN", "+442079460NNN", "020 7946 0NNN", "+44 20 7946 0NNN ext. NN", "+1 (NNN) 555-01NN", "1.NNN.555.01NN", "555-01NN", "+33 1 99 00 NN NN", "01.99.00.NN.NN", "01 99 00 NN NN", "+49 30 23125 NNN", "(030) 23125-NNN", "0049/30/23125NNN", "03023125NNN", "+31 00 0000 NNN", "+31000000NNN", "0031 00 0000-NNN", "+34 000 000 NNN", "0034 000 000-NNN", "+34000000NNN", "+351 000 000 NNN", "00351 000 000-NNN", "+351000000NNN", "+7 (000) 000 NNN", "007 (000) 000-NNN", "+7000000NNN", "(NNN) 555-01NN", "+1NNN55501NN"]
-IDS = ["000-NN-NNNN", "666 NN NNNN", "QQ NN NN NN C", "QQNNNNNNA", "00 NNN NNN NNN", "L03XNNNYN", "00.NNN.NNN-U", "00NNNNNNU", "N NN 13 99 NNN NNN NN", "NNN1399NNNNNNNN", "000.NNN.NNN", "000NNNNNN", "000 NNN NNN"]
-ADDRESSES = ["NN {w} Close, {w}, ZZN 9QQ", "NN-NN {w} Close, {w}, ZZN 9QQ", "NNN {w} Street, {w}bury", "NN {w} Road, {w}bury", "NN {w} Lane, {w}bury", "Flat N, NN {w} Close, {w}, ZZN 9QQ", "NN {w} Lane, {w}", "NN, rue {w}, 00NNN {w}", "NNN bis avenue de {w}, {w}", "{w}straße NN, 00NNN {w}", "Am {w} NN, {w}", "{w}weg NN, 00NNN {w}", "{w}str. NN, {w}", "calle {w} NN, N.º B, {w}", "calle {w} NN, {w}", "avenida {w} NN, 00NNN {w}", "{w}straat NN, 00NN ZZ {w}", "{w}laan NN, {w}", "rua {w}, NN, {w}", "avenida {w}, NNN, {w}", "travessa de {w} NNN, N.º esq., {w}", "c/ {w}, nº NNN, {w}", "avenida de {w} NN, {w}", "NNN bd {w} à {w}", "NN bd {w}, {w}", "{w}kade NNN-hs, {w}", "{w}weg NNN a in {w}dorf", "{w}straße NN, 00NNN {w}heim", "{w}str. NN, {w}feld", "Am {w} NNN, {w}feld", "Flat NN, NNN {w} St, {w}ford", "NNN North {w} Blvd, Apt NN, {w}ton", "NNN {w} Court, {w}bury", "NNN {w} Ave., {w}bury", "NN {w} Avenue, {w}ton", "NNN West {w} Street, Apt N, {w}ton", "ул. {w}, д. NN, {w}", "{w} ул., д. NN, кв. N, {w}"]
-# fmt: on
+# Words that announce a kind, and patterns that they stand in (k the word, v the value, s a plain sentence's beginning).
+ANNOUNCED = {
+    "T": "phone; telephone; tel.; mobile; cell; fax; hotline; call; ring; dial; phone number; number; extension; Telefon; Handy; Tel.; Rufnummer; Durchwahl; téléphone; tél.; portable; numéro; teléfono; móvil; tel.; número; telefoon; mobiel; nummer; telefone; telemóvel; número; телефон; тел.; моб.; номер".split("; "),
+    "I": "passport; passport no.; identity card; ID card; ID; ID no.; identity number; national ID; SSN; social security number; NINO; national insurance number; tax number; TIN; Personalausweis; Ausweis; Ausweisnummer; Reisepass; Steuer-ID; Sozialversicherungsnummer; passeport; carte d'identité; numéro de sécurité sociale; NIR; numéro fiscal; pasaporte; documento de identidad; DNI; NIE; NIF; paspoort; identiteitskaart; BSN; burgerservicenummer; passaporte; cartão de cidadão; NIF; contribuinte; паспорт; удостоверение; СНИЛС; ИНН".split("; "),
+    "E": "e-mail; email; mail; mailbox; account; write to; send it to; E-Mail; Mail an; schreiben an; courriel; écrire à; correo; escribir a; e-mail naar; mailen naar; correio; escrever para; почта; писать на".split("; "),
+    "A": "address; home address; lives at; moved to; deliver to; residence; Anschrift; Adresse; wohnt in; zieht nach; adresse; habite; livrer au; dirección; domicilio; vive en; adres; woont op; verhuist naar; morada; mora na; entregar em; адрес; живёт по адресу; доставить на".split("; "),
+    "P": "of; by; from; with; for; to; and; chair; minutes; signed; contact; author; responsible; tenant; customer; von; bei; mit; für; und; Leitung; Kontakt; par; de; avec; pour; et; chez; por; con; para; y; van; met; voor; en; bij; com; e; от; с; для; и; у".split("; "),
+}
+PATTERNS = ["{k}: {v}", "{k} {v}", "({k} {v})", "({k}: {v})", "{s}, {k} {v}.", "{s} ({k} {v}).", "{s}, {k}: {v}", "{s} {k} {v} {t}", "{k} {v} {t}", "{s} {k} {v}.", "{k}: {v}. {s}", "{s} {v} {t}", "{v} {t}", "{s} {k} {v}, {t}", "{v} {t}", "{s}. {v} {t}", "{s}. {v} {t}", "{s} {v} {t}"]
+# Frames without personal data.
+CLEAN = [
+    "<C> delivers on Tuesdays.", "The contract with <C> ends in June.", "{P} works for <C>.", "<C> bought <C> last year.", "<S> opens at nine.", "The <S> needs new batteries.", "We tested <S> and <S>.", "The shuttle to <S> is late.", "Team <S> reports to {P}.", "<D>", "<D> is in the shared folder.", "Read <D> first.", "[<D>] The plan is on track.", "<D> > Part <N>", "See <F> for the figures.", "Attached: <F>, <F>", "Ticket <K> is closed.", "<K> has been moved to room <N>.", "Open points: <K>, <K>.", "Order no. <O> was shipped.", "Order <O> and invoice <R> do not match.", "Part no. <R> is out of stock.", "Serial number <R>, batch <R>.", "Version <V> fixes the bug.", "pkg@<V> is required.", "Ping @support-team about release <V>.", "The price is <N> @ 9.90 each.", "Between <N> and <N> units are left.", "Room <N>, floor <N>.", "The window runs 08:30-12:15 daily.", "On 2030-11-05 the server was down.", "Closed on 05/11/2030.", "Page <N> of <N>.", "Checksum <H>.", "Host 10.0.0.<N> does not answer.", "ISBN 978-0-00-<N>-1.", "Invoice 2030-00<N>.", "The commit <H> breaks the build.", "<W> comes after lunch.", "<W> and <W> are the two project names.", "PLEASE CLOSE THE WINDOWS BEFORE YOU LEAVE THE OFFICE.", "ABOUT <N> OF <N> ITEMS ARE LEFT.", "The Annual Meeting of the Works Council is on Monday.", "The Head of Human Resources signs the form.", "Street lights near the gate are broken.", "The address list and the phone list are out of date.", "No names, please.", "| item | <N> | <K> | <N> |", "Usage: tool --level <N> --out <F>",
+    "<C> liefert dienstags.", "Die Bestellung Nr. <O> ist unterwegs.", "Der Vorgang <K> ist erledigt.", "Der Vertrag mit <C> läuft aus.", "Das Lager am Standort <S> ist voll.", "Etwa <N> von <N> Teilen fehlen.", "Die Sitzung der Abteilung Einkauf beginnt um neun.", "Die Heizung im zweiten Stock ist defekt.", "Seite <N> von <N>.", "Der Bericht der Geschäftsführung und die Liste der Termine fehlen.",
+    "<C> livre le mardi.", "La commande n° <O> est en route.", "Le dossier <K> est clos.", "Il reste <N> pièces sur <N>.", "La réunion du service Achats commence à neuf heures.", "Voir <F>, page <N>.", "<S> ferme à midi.",
+    "<C> entrega los martes.", "El pedido n.º <O> está en camino.", "El asunto <K> está cerrado.", "Quedan <N> piezas de <N>.", "La reunión del departamento de Compras empieza a las nueve.", "<S> abre a las nueve.",
+    "<C> levert op dinsdag.", "Bestelling nr. <O> is onderweg.", "Zaak <K> is gesloten.", "Er zijn nog <N> van de <N> stuks.", "De vergadering van de afdeling Inkoop begint om negen uur.",
+    "<C> entrega às terças.", "A encomenda n.º <O> está a caminho.", "O processo <K> está fechado.", "Restam <N> peças de <N>.", "A reunião do departamento de Compras começa às nove.",
+    "<C> доставляет по вторникам.", "Заказ № <O> в пути.", "Дело <K> закрыто.", "Осталось <N> штук из <N>.", "Собрание отдела закупок начинается в девять.", "Смотрите <F>, страница <N>.",
+]
+# How the countries write their numbers; N is a digit, L a capital letter, w a name of a street or town.
+PHONES = [
+    "+44 20 NNNN NNNN", "+44 (0)1NNN NNNNNN", "+44 7NNN NNNNNN", "+4420NNNNNNNN", "020 NNNN NNNN", "01NNN NNNNNN", "07NNN NNNNNN", "+44 20 NNNN NNNN ext. NNN", "+1 (NNN) NNN-NNNN", "+1 NNN NNN NNNN", "(NNN) NNN-NNNN", "NNN-NNN-NNNN", "NNN.NNN.NNNN", "1-NNN-NNN-NNNN", "1.NNN.NNN.NNNN", "+1NNNNNNNNNN", "NNN-NNNN", "+49 NN NNNNNNN", "+49 NNN NNNNN-NN", "0NN/NNNNNNN", "(0NN) NNNNN-NNN", "0NNNNNNNNNN", "0049 NN NNNNNN", "0049/NN/NNNNNN", "+33 N NN NN NN NN", "0N NN NN NN NN", "0N.NN.NN.NN.NN", "+33NNNNNNNNN", "+34 NNN NN NN NN", "+34 NNN NNN NNN", "NNN NNN NNN", "0034 NNN NNN NNN", "+31 NN NNN NNNN", "+31 6 NNNNNNNN", "06-NNNNNNNN", "0NN-NNNNNNN", "0031 NN NNN-NNNN", "+351 NNN NNN NNN", "+351NNNNNNNNN", "00351 NNN NNN-NNN", "+7 (NNN) NNN-NN-NN", "+7 (NNN) NNN NNN", "+7NNNNNNNNNN", "8 NNN NNN NN NN", "8 (NNN) NNN-NN-NN", "007 (NNN) NNN-NNN",
+]
+IDS = ["NNN-NN-NNNN", "NNN NN NNNN", "LL NN NN NN L", "LLNNNNNNL", "NN NNN NNN NNN", "NNNNNNNNNNN", "LNNLNNNNL", "LNNNNNNNN", "NNNNNNNNL", "NNNNNNNN-L", "NN.NNN.NNN-L", "L-NNNNNNN-L", "LNNNNNNNL", "N NN NN NN NNN NNN NN", "NNNNNNNNNNNNNNN", "NNNNNNNNN", "NNN.NNN.NNN", "NNN NNN NNN", "NN NN NNNNNN", "NNN-NNN-NNN NN", "NNNNNNNNNNNN"]
+ADDRESSES = [
+    "NN {w} Street, {w}", "NNN {w} Road, {w}, LLN NLL", "NN {w} Lane, {w}bury LLNN NLL", "Flat N, NN {w} Close, {w}", "Apartment NN, NNN {w} Avenue, {w}", "N {w} Court, {w}ham", "NN-NN {w} Gardens, {w}", "NNNN {w} Ave, {w}, LL NNNNN", "NNN West {w} Street, Apt N, {w}ton", "NNN North {w} Blvd, {w}", "NN {w} Drive, {w}, LL NNNNN", "NN {w} St., {w}ford", "Unit N, NN {w} Way, {w}",
+    "{w}straße NN, NNNNN {w}", "{w}str. NNN, {w}heim", "{w}weg N, NNNNN {w}dorf", "{w}weg NN a in {w}", "Am {w} NN, NNNNN {w}", "{w}platz N, {w}feld", "{w}allee NN, {w}", "NN rue de {w}, NNNNN {w}", "NN, rue {w}, NNNNN {w}", "N avenue {w}, {w}", "NN bis, boulevard de {w}, NNNNN {w}", "NNN bd {w}, {w}", "N place {w} à {w}", "calle {w}, NN, NNNNN {w}", "Calle de {w} NN, N.º L, {w}", "avenida de {w} NN, {w}", "c/ {w}, nº NN, NNNNN {w}", "plaza {w} N, {w}",
+    "{w}straat NN, NNNN LL {w}", "{w}laan NNN, {w}", "{w}kade NN-N, {w}dam", "{w}weg NN, NNNN LL {w}", "{w}plein N in {w}", "rua {w}, NN, {w}", "Rua de {w} NNN, NNNN-NNN {w}", "avenida {w}, NN, N.º esq., {w}", "travessa {w} NN, {w}", "largo de {w} N, {w}", "ул. {w}, д. NN, кв. NN, {w}", "ул. {w}, NN, {w}", "г. {w}, ул. {w}, д. N", "{w} проспект, д. NN, {w}", "{w} ул., NN, {w}",
+]
+SURNAMES = "Smith Jones Taylor Brown Wilson Evans Walker Wright Robinson Thompson Hughes Edwards Green Hall Wood Harris Clarke Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Hoffmann Schäfer Koch Bauer Richter Dubois Moreau Laurent Lefebvre Roux Fournier Girard Mercier García Fernández González Rodríguez López Martínez Sánchez Pérez Jansen Bakker Visser Smit Mulder Bos Silva Santos Ferreira Pereira Oliveira Costa Иванов Петров Смирнов Кузнецов Попов Соколов Иванова Петрова".split()
 
 
 class _Maker:
+    """Values by rule."""
+
     def __init__(self, seed: int):
         self.r = random.Random(seed)
 
     def word(self, n: int | None = None) -> str:
+        """An invented name of some syllables."""
         r = self.r
-        return "".join(r.choice("bcdfghjklmnpqrstvwxz") + r.choice("aeiouy") for _ in range(n or r.choice((2, 3, 3, 4)))).capitalize()
+        out = "".join(r.choice(("b", "d", "f", "g", "h", "k", "l", "m", "n", "p", "r", "s", "t", "v", "w", "z", "br", "st", "tr", "sch", "ch", "j", "x", "c", "q")) + r.choice("aeiouaeioy") for _ in range(n or r.choice((2, 2, 3, 3))))
+        return (out + r.choice(("", "", "n", "r", "s", "l", "t", "k", "nd", "m"))).capitalize()
 
-    def digits(self, s: str) -> str:
-        return re.sub("N", lambda _: str(self.r.randrange(10)), s)
+    def cyrillic(self) -> str:
+        r = self.r
+        return ("".join(r.choice("бвгдзклмнпрст") + r.choice("аеиоу") for _ in range(r.choice((2, 3)))) + r.choice(("", "в", "н", "ск", "й"))).capitalize()
+
+    def number(self, s: str) -> str:
+        return re.sub("[NL](?![a-z])", lambda m: str(self.r.randrange(10)) if m.group() == "N" else self.r.choice("ABCDEFGHJKLMNPRSTVWXYZ"), s)
 
     def surname(self) -> str:
-        return self.word(self.r.choice((3, 4))) + self.r.choice(ENDS)
+        r = self.r
+        x = r.choice(SURNAMES) if r.random() < 0.3 else self.word(r.choice((2, 3, 4)))
+        return f"{x}-{self.word(2)}" if r.random() < 0.04 else x
 
     def person(self) -> str:
-        r, g, s = self.r, self.r.choice(GIVEN), self.surname()
-        if r.random() < 0.2:
-            g = r.choice(SHORT)
-        form = r.randrange(12)
-        if form < 4:
-            out = f"{g} {s}"
-        elif form == 4:
-            out = f"{s}, {g}"
-        elif form == 5:
-            out = f"{s.upper()} {g}"
-        elif form == 6:
-            out = f"{s.upper()}, {g}"
-        elif form == 7:
-            out = f"{g} {r.choice('ABCDEFHKLMR')}. {s}"
-        elif form == 8:
-            out = f"{g[0]}. {s}"
-        elif form == 9:
-            out = f"{r.choice(('Mr', 'Ms', 'Dr', 'Mrs', 'Mr.', 'Dr.', 'Frau', 'Herr', 'Mme', 'Sr.'))} {s}"
-        elif form == 10:
-            out = f"{s} {g}"
-        else:
-            out = f"{g} {s.upper()}"
-        return out
+        r, s = self.r, self.surname()
+        p = r.random()
+        g = r.choice(GIVEN) if p < 0.62 else r.choice(SHORT) if p < 0.75 else self.word(r.choice((2, 3)))
+        middle = r.choice("ABCDEFGHJKLMNPRSTW") + "."
+        title = r.choice(("Mr", "Ms", "Mrs", "Dr", "Mr.", "Mrs.", "Dr.", "Prof.", "Frau", "Herr", "Mme", "M.", "Sra.", "Sr.", "Dhr.", "Mevr."))
+        forms = (f"{g} {s}",) * 6 + (f"{s}, {g}", f"{s}, {g}", f"{s.upper()}, {g}", f"{s.upper()} {g}", f"{g} {s.upper()}", f"{g} {middle} {s}", f"{g[0]}. {s}", f"{g[0]}. {s}", f"{s}, {g[0]}.", f"{title} {s}", f"{title} {s}", f"{title} {g} {s}", f"{s} {g}", f"{g} {self.word(2)} {s}", f"{g} van {s}", f"{g} de {s}")
+        return r.choice(forms)
 
     def email(self) -> str:
         r = self.r
-        s, g = self.surname().lower(), r.choice(GIVEN).lower().replace("é", "e").replace("á", "a")
-        user = r.choice((f"{g}.{s}", f"{s}_{g[:2]}", f"{s}{r.randrange(10, 99)}", f"{g[0]}{s}", f"{g}+{r.choice(('hr', 'jobs', 'site', 'info'))}", s))
-        dom = f"{r.choice(('mail', 'post', 'office', 'desk', 'in', self.word(2).lower()))}.{r.choice(('example', 'example.org', 'example.net', 'example.com', 'test'))}"
-        at = r.choice(("@",) * 10 + (" @ ", " at ", " [at] ", "(at)"))
-        out = f"{user}{at}{dom}"
-        if at in (" at ", " [at] ", "(at)"):
-            out = f"{user}{at}{dom.replace('.', r.choice((' [dot] ', ' dot ', '(dot)', '.')))}"
-        return out.upper() if r.random() < 0.12 else out
+        plain = lambda w: re.sub("[^a-z]", "", unicodedata.normalize("NFD", w.lower()))
+        g, s = plain(r.choice(GIVEN)) or "info", plain(self.word(3))
+        user = r.choice((f"{g}.{s}", f"{g[0]}.{s}", f"{s}.{g}", f"{g}_{s}", f"{g}{s}", f"{s}{r.randrange(100)}", f"{g}-{s}", f"{s}_{g[:2]}", f"{g}+{r.choice(('news', 'shop', 'work', 'lists'))}", s, g, f"{g[0]}{s}"))
+        dom = r.choice((f"{plain(self.word(2))}.{r.choice(('com', 'org', 'net', 'de', 'fr', 'es', 'nl', 'pt', 'ru', 'co.uk', 'eu', 'info', 'example', 'test'))}", f"{r.choice(('mail', 'post', 'web', 'office'))}.{plain(self.word(2))}.{r.choice(('com', 'org', 'net', 'example'))}", f"{r.choice(('mail', 'post', 'inbox'))}.{r.choice(('example', 'test', 'example.com', 'example.org', 'example.net'))}"))
+        at = r.choice(("@",) * 12 + (" @ ", " at ", " [at] ", "(at)", " (at) ", "[at]"))
+        if "at" in at:
+            dom = dom.replace(".", r.choice((" dot ", " [dot] ", "(dot)", ".", " (dot) ")))
+        out = user + at + dom
+        return out.upper() if r.random() < 0.1 else out
 
     def address(self) -> str:
-        s = self.digits(self.r.choice(ADDRESSES))
-        return re.sub(r"\{w\}", lambda _: self.word(self.r.choice((2, 3))), s)
+        s = self.number(self.r.choice(ADDRESSES))
+        make = self.cyrillic if re.search("[а-я]", s) else lambda: self.word(self.r.choice((2, 3)))
+        out = s.replace("{w}", "\0")
+        while "\0" in out:
+            out = out.replace("\0", make(), 1)
+        return out.upper() if self.r.random() < 0.03 else out
+
+    def company(self) -> str:
+        r = self.r
+        a, b = self.surname(), self.word()
+        return r.choice((f"{a} {r.choice(COMPANY)}", f"{a} {r.choice(COMPANY[14:])} {r.choice(COMPANY[:14])}", f"{a} & {b}", f"{a} & {b} {r.choice(COMPANY)}", f"The {a} {r.choice(COMPANY[14:])}", f"{a}, {b} & {r.choice(('Sons', 'Partners'))}", f"{a} {r.choice(SHORTENED)}", f"{a} {b} {r.choice(COMPANY)}", f"{a} {r.choice(SHORTENED)} {r.choice(COMPANY[:14])}"))
+
+    def site(self) -> str:
+        r, w = self.r, self.word()
+        return r.choice((f"{w} {r.choice(PLACE)}", f"{w} {r.choice(PLACE)}", f"{r.choice(BEFORE)} {w}", f"{w} {r.choice(DEVICE)}", f"{w} {r.choice(DEVICE)}", f"{w}{r.choice(DEVICE).lower()}", f"{w} {self.number('NNN')}", f"{w}{r.choice(DEVICE).lower()} {self.number('NN')}", w))
+
+    def title(self) -> str:
+        r = self.r
+        return f"{r.choice(TITLE_WORDS)} {r.choice(TOPICS)}" + r.choice(("", f" {self.word()}", f" {self.word()} {self.word()}", self.number(" 20NN"), self.number(" QN 20NN"), f" {self.word()} {self.word()}" + self.number(" 20NN")))
 
     def fill(self, slot: str) -> str:
         r = self.r
         return {
             "P": self.person,
             "E": self.email,
-            "T": lambda: self.digits(r.choice(PHONES)),
-            "I": lambda: self.digits(r.choice(IDS)),
+            "T": lambda: self.number(r.choice(PHONES)),
+            "I": lambda: self.number(r.choice(IDS)),
             "A": self.address,
-            "C": lambda: r.choice((f"{self.surname()} {r.choice(COMPANY)}", f"{self.surname()} {r.choice(COMPANY[13:])} {r.choice(COMPANY[:10])}", f"{self.word()} & {self.word(2)} {r.choice(COMPANY)}", f"The {self.surname()} {r.choice(COMPANY[10:])}")),
-            "S": lambda: r.choice(SITES),
-            "K": lambda: self.digits(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") + r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") + "-NNNN"),
-            "N": lambda: self.digits(r.choice(("NN", "NNN", "NNNN", "NNNNN"))),
-            "V": lambda: self.digits(r.choice(("N.N.N", "NN.N.NN", "NN.NN"))),
-            "R": lambda: self.digits(r.choice(("NN-NNNN", "NNNNNN", "AB-NN-NNNN", "NNN-NNN", "PN NNN-NNNN", "NNNN/NN"))),
-            "O": lambda: self.digits(r.choice(("NNNN-NN-NNNN", "NNNN NNNN NNN"))),
-            "D": lambda: f"{r.choice(TITLE_WORDS)} {r.choice(TOPICS)} {self.word(3)} {self.word(3)}" + r.choice(("", " 2031", self.digits(" QN 203N"))),
-            "F": lambda: self.digits("scan_NNNN.tiff"),
-            "W": lambda: self.word(r.choice((3, 4))),
-            "H": lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice((8, 12, 32)))),
+            "C": self.company,
+            "S": self.site,
+            "K": lambda: self.number(r.choice(("LL-NNNN", "LL-NNN", "LLL-NN", "LNNN", "LL-NNNNN"))),
+            "N": lambda: self.number(r.choice(("NN", "NNN", "NNNN", "NNNNN", "N"))),
+            "V": lambda: self.number(r.choice(("N.N.N", "vN.NN.N", "NN.NN", "N.NN.NN"))),
+            "R": lambda: self.number(r.choice(("NN-NNNN", "NNNNNN", "LL-NN-NNNN", "NNN-NNN", "PN NNN-NNNN", "NNNN/NN", "LLNNN", "NNNNN-LL"))),
+            "O": lambda: self.number(r.choice(("NNNN-NN-NNNN", "NNNN NNNN NNN", "NNNNNNN", "NNNN-NNNNN", "LLNNNNNN"))),
+            "D": self.title,
+            "F": lambda: self.number(r.choice(("scan_NNNN.tiff", "report-NN.pdf", "img_NNNNN.png", "list.NNNN.csv", "a/b_NN.txt"))),
+            "W": self.word,
+            "H": lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice((7, 8, 12, 16, 32)))),
         }[slot]()
 
 
+def _announced(r: random.Random, plain: list[str]) -> str:
+    """A frame put together from an announcing word, a slot and parts of plain sentences."""
+    slot = r.choice("PPPETTIIIAA")
+    words = [w for w in re.sub(r"[{}<>]", "", r.choice(plain)).rstrip(".!?").split()]
+    at = r.randrange(1, len(words)) if len(words) > 1 else 1
+    got = r.choice(PATTERNS).replace("{k}", r.choice(ANNOUNCED[slot])).replace("{s}", " ".join(words[:at])).replace("{t}", (" ".join(words[at:]) or "still holds").rstrip(",;:") + ".")
+    return got.replace("{v}", "{" + slot + "}")
+
+
 # What a sentence must not hold to count as free of personal data.
 SUSPECT = re.compile(
-    r"@\w|\bat\b[^.]*\bdot\b|[\[(](?:at|dot)[\])]|\b(?:Mr|Ms|Mrs|Dr|Frau|Herr|Mme)\b|\b[A-ZÉ]\. ?(?:[A-Z]\. ?)?[A-Z]\w+|\+\d|\d[\d ./()-]{5,}\d|\b[A-Z]{1,2} ?\d\d ?\d\d"
-    r"|\b[A-ZÉ]\w+, (?:[A-ZÉ]\w+)\b|\d[ ,]+(?:bis |rue|bd |North|South|East|West|[A-Z]\w+ (?:St|Street|Lane|Road|Close|Court|Ave|Blvd))|(?:straße|str\.|weg|straat|kade|laan) \d|\b(?:rue|avenue|bd|calle|c/|rua|travessa|avenida|Am|Flat|Apt|ZZ\d)\b|\b(?:Phone|Tel|SSN|NINO|DNI|NIF|NIR|BSN|ID|Ausweis|паспорт)\b"
+    r"@\w|\w@|\bat\b[^.]*\bdot\b|[\[(](?:at|dot)[\])]|\b(?:Mr|Ms|Mrs|Dr|Prof|Frau|Herr|Mme|Sra?|Dhr|Mevr)\b|\b[^\W\d_]\. ?(?:[^\W\d_]\. ?)?[^\W\d_a-z]\w+|\+\d|\d[\d ./()-]{5,}\d|\b[A-Z]{1,2} ?\d\d ?\d\d|\d{5}"
+    r"|\d[ ,]+(?:bis |rue|bd |place|North|South|East|West|\w+ (?:St|Street|Lane|Road|Close|Court|Ave|Avenue|Blvd|Drive|Way))|(?:straße|str\.|weg|platz|allee|straat|kade|laan|plein) \d|\b(?:rue|avenue|bd|calle|c/|rua|travessa|avenida|plaza|ул\.|Am [A-Z]\w+ \d|Flat|Apt)\b"
 )
 NAMES = {w.casefold() for w in (*GIVEN, *SHORT)}
 
 
-def clean_sentences(texts: list[str], most: int) -> list[str]:
-    """Different sentences of the texts that hold nothing suspect: the labelled table's examples of plain text."""
+def clean_sentences(texts: list[str], most: int, common=frozenset()) -> list[str]:
+    """Different sentences of the texts that hold nothing suspect: the labelled table's examples of plain text.
+
+    ``common`` holds the words that are frequent or mostly small in the whole
+    corpus; neighbours with capitals that are not in it could be a name.
+    """
     out: dict[str, str] = {}
     for t in texts:
         for line in t.split("\n"):
@@ -137,6 +208,9 @@ def clean_sentences(texts: list[str], most: int) -> list[str]:
                     continue
                 if not x.isupper() and any(w.isupper() and len(w) > 3 for w in words):
                     continue
+                rare = [w[0].isupper() and w.casefold() not in common for w in words]
+                if any(a and b for a, b in zip(rare, rare[1:])):
+                    continue
                 out.setdefault(re.sub(r"\d", "0", x), x)
         if len(out) > 6 * most:
             break
@@ -145,22 +219,26 @@ def clean_sentences(texts: list[str], most: int) -> list[str]:
     return xs[:most]
 
 
-NEUTRAL = ["The cold room stands.", "Overall, the plan holds (AB-1234).", "Zur Klarstellung: das Lager ist voll.", "En bref, le plan tient.", "- The depot lease stands.", "About 12 hours remain."]
+NEUTRAL = ["The lift is out of order.", "We painted the kitchen last week and ordered new chairs.", "The plants in the hall need water twice a month.", "Der Aufzug bleibt bis Freitag außer Betrieb.", "Bitte bringen Sie die Unterlagen zum nächsten Termin mit.", "La cuisine a été repeinte la semaine dernière.", "Les plantes du couloir ont besoin d'eau.", "La cocina se pintó la semana pasada.", "Las plantas del pasillo necesitan agua.", "De keuken is vorige week geverfd.", "De planten in de gang hebben water nodig.", "A cozinha foi pintada na semana passada.", "As plantas do corredor precisam de água.", "Кухню покрасили на прошлой неделе.", "Растения в коридоре нужно поливать.", "Overall, the plan holds (AB-1234).", "Zur Erinnerung: das Lager ist voll.", "En bref, le plan tient.", "- The coffee machine works again.", "About 12 hours remain."]
 
 
-def labelled_rows(copies: int = 9, seed: int = 11, plain: list[str] | tuple = ()) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """(text, [(start, end, kind)…]): every frame ``copies`` times, many next to a plain sentence, some shouted; then the plain sentences."""
+def labelled_rows(copies: int = 9, seed: int = 11, plain: list[str] | tuple = (), frames: list[str] | tuple = ()) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """(text, [(start, end, kind)…]): every frame ``copies`` times and twice as many made of announcing words, many next to a plain sentence, some shouted; then the plain sentences. Other ``frames`` may stand in for the table's own."""
     m = _Maker(seed)
     kinds = dict(zip("PETIA", KINDS))
     plain = list(plain) or NEUTRAL
     out = []
     for _ in range(copies):
-        for frame in FRAMES:
+        for frame in frames or (*FRAMES, *CLEAN, *(_announced(m.r, plain) for _ in range(2 * len(FRAMES)))):
             text, spans = "", []
             if m.r.random() < 0.45:
                 text = m.r.choice(plain) + m.r.choice((" ", " ", "\n", ", "))
             if m.r.random() < 0.1 and frame[0] != "[":
-                text = m.r.choice(("[Scope] ", "[Annex B] ", "- ", "# Costs\n", "[Next steps] ")) + text
+                text = m.r.choice(("[Scope] ", "[Part B] ", "- ", "# Costs\n", "[Summary] ", "> ", "1. ")) + text
+            # the values also stand in brackets, dashes or after a comma, whatever the frame's words are
+            if "{" in frame and len(frame) > 12 and m.r.random() < 0.3:
+                slot = re.search(r"\{[PETIA]\}", frame).group()
+                frame = re.sub(r"[{}<>]", "", m.r.choice(plain)).rstrip(".") + m.r.choice((f" ({slot}).", f", {slot}.", f" – {slot}.", f": {slot}", f"; {slot}.", f" [{slot}]", f", cc {slot}."))
             if m.r.random() < 0.45 and frame[-1] in ".}":
                 frame += m.r.choice((" ", " ", "\n")) + re.sub(r"[{}<>]", "", m.r.choice(plain))
             for part in re.split(r"(\{[PETIA]\}|<[CSKNVRDFWHO]>)", frame):
