@@ -23,7 +23,7 @@ GIVEN = (
     "Jean Marie Pierre Nathalie Michel Isabelle Philippe Catherine Jacques Sylvie François Hélène Étienne Chantal Antoine Camille Luc Margaux "
     "Antonio Carmen José María Manuel Isabel Francisco Dolores Javier Pilar Carlos Lucía Fernando Teresa Miguel Gabriela Diego Elena Alejandro Rosa "
     "Jan Anna Pieter Johanna Willem Cornelia Kees Femke Joost Sanne Maarten Lieke Sven Wilma "
-    "João Ana António Joana Rui Catarina Tiago Beatriz Pedro Inês Paulo Sofia Nuno Isabella "
+    "Maria João Ana António Joana Rui Catarina Tiago Beatriz Pedro Inês Paulo Sofia Nuno Isabella "
     "Иван Анна Сергей Елена Дмитрий Ольга Андрей Наталья Алексей Татьяна Михаил Мария Николай Екатерина Владимир Светлана Павел Ирина Olga Sergei Ivan Natalia"
 ).split()
 SHORT = "Alex Ben Bill Bob Chris Dan Dave Ed Fred Jack Jim Joe Kate Ken Liz Maggie Matt Max Meg Mike Nick Pat Pete Phil Rick Rob Sam Steve Sue Ted Tom Tony Vicky Will Uli Uwe Toni Pepe Paco Саша Маша".split()
@@ -64,7 +64,9 @@ ANNOUNCED = {
     "A": "address; home address; lives at; moved to; deliver to; residence; Anschrift; Adresse; wohnt in; zieht nach; adresse; habite; livrer au; dirección; domicilio; vive en; adres; woont op; verhuist naar; morada; mora na; entregar em; адрес; живёт по адресу; доставить на".split("; "),
     "P": "of; by; from; with; for; to; and; chair; minutes; signed; contact; author; responsible; tenant; customer; von; bei; mit; für; und; Leitung; Kontakt; par; de; avec; pour; et; chez; por; con; para; y; van; met; voor; en; bij; com; e; от; с; для; и; у".split("; "),
 }
-PATTERNS = ["{k}: {v}", "{k} {v}", "({k} {v})", "({k}: {v})", "{s}, {k} {v}.", "{s} ({k} {v}).", "{s}, {k}: {v}", "{s} {k} {v} {t}", "{k} {v} {t}", "{s} {k} {v}.", "{k}: {v}. {s}", "{s} {v} {t}", "{v} {t}", "{s} {k} {v}, {t}", "{v} {t}", "{s}. {v} {t}", "{s}. {v} {t}", "{s} {v} {t}"]
+# Words that announce a number that is no personal data.
+CODES = "order no.; order; invoice; invoice no.; part no.; part number; serial no.; batch; ticket; item; case; reference; shipment; tracking no.; page; line; room; row; code; version; Bestellung Nr.; Bestellnummer; Rechnung Nr.; Teilenummer; Vorgang; Seite; Zeile; Raum; Lieferung; commande n°; facture n°; pièce; dossier; page; ligne; salle; pedido n.º; factura n.º; pieza; expediente; página; línea; sala; bestelling nr.; factuurnummer; onderdeel; zaak; pagina; regel; kamer; encomenda n.º; fatura n.º; peça; processo; página; linha; заказ №; счёт №; деталь; дело; страница; строка".split("; ")
+PATTERNS = ["{k}: {v}", "{k} {v}", "({k} {v})", "({k}: {v})", "{s}, {k} {v}.", "{s} ({k} {v}).", "{s}, {k}: {v}", "{s} {k} {v} {t}", "{k} {v} {t}", "{s} {k} {v}.", "{k}: {v}. {s}", "{s} {v} {t}", "{v} {t}", "{s} {k} {v}, {t}", "{v} {t}", "{s}. {v} {t}", "{s}. {v} {t}", "{s} {v} {t}", "/ {v} /", "-- {v}", "| {v} |", "{s} / {v}", "{v}"]
 # Frames without personal data.
 CLEAN = [
     "<C> delivers on Tuesdays.", "The contract with <C> ends in June.", "{P} works for <C>.", "<C> bought <C> last year.", "<S> opens at nine.", "The <S> needs new batteries.", "We tested <S> and <S>.", "The shuttle to <S> is late.", "Team <S> reports to {P}.", "<D>", "<D> is in the shared folder.", "Read <D> first.", "[<D>] The plan is on track.", "<D> > Part <N>", "See <F> for the figures.", "Attached: <F>, <F>", "Ticket <K> is closed.", "<K> has been moved to room <N>.", "Open points: <K>, <K>.", "Order no. <O> was shipped.", "Order <O> and invoice <R> do not match.", "Part no. <R> is out of stock.", "Serial number <R>, batch <R>.", "Version <V> fixes the bug.", "pkg@<V> is required.", "Ping @support-team about release <V>.", "The price is <N> @ 9.90 each.", "Between <N> and <N> units are left.", "Room <N>, floor <N>.", "The window runs 08:30-12:15 daily.", "On 2030-11-05 the server was down.", "Closed on 05/11/2030.", "Page <N> of <N>.", "Checksum <H>.", "Host 10.0.0.<N> does not answer.", "ISBN 978-0-00-<N>-1.", "Invoice 2030-00<N>.", "The commit <H> breaks the build.", "<W> comes after lunch.", "<W> and <W> are the two project names.", "PLEASE CLOSE THE WINDOWS BEFORE YOU LEAVE THE OFFICE.", "ABOUT <N> OF <N> ITEMS ARE LEFT.", "The Annual Meeting of the Works Council is on Monday.", "The Head of Human Resources signs the form.", "Street lights near the gate are broken.", "The address list and the phone list are out of date.", "No names, please.", "| item | <N> | <K> | <N> |", "Usage: tool --level <N> --out <F>",
@@ -118,7 +120,7 @@ class _Maker:
         g = r.choice(GIVEN) if p < 0.62 else r.choice(SHORT) if p < 0.75 else self.word(r.choice((2, 3)))
         middle = r.choice("ABCDEFGHJKLMNPRSTW") + "."
         title = r.choice(("Mr", "Ms", "Mrs", "Dr", "Mr.", "Mrs.", "Dr.", "Prof.", "Frau", "Herr", "Mme", "M.", "Sra.", "Sr.", "Dhr.", "Mevr."))
-        forms = (f"{g} {s}",) * 6 + (f"{s}, {g}", f"{s}, {g}", f"{s.upper()}, {g}", f"{s.upper()} {g}", f"{g} {s.upper()}", f"{g} {middle} {s}", f"{g[0]}. {s}", f"{g[0]}. {s}", f"{s}, {g[0]}.", f"{title} {s}", f"{title} {s}", f"{title} {g} {s}", f"{s} {g}", f"{g} {self.word(2)} {s}", f"{g} van {s}", f"{g} de {s}")
+        forms = (f"{g} {s}",) * 6 + (f"{s}, {g}", f"{s}, {g}", f"{s.upper()}, {g}", f"{s.upper()}, {g}", f"{s.upper()} {g}", f"{s.upper()} {g}", f"{g} {s.upper()}", f"{g} {s.upper()}", f"{g} {middle} {s}", f"{g[0]}. {s}", f"{g[0]}. {s}", f"{s}, {g[0]}.", f"{title} {s}", f"{title} {s}", f"{title} {g} {s}", f"{s} {g}", f"{g} {self.word(2)} {s}", f"{g} van {s}", f"{g} de {s}")
         return r.choice(forms)
 
     def email(self) -> str:
@@ -178,13 +180,25 @@ class _Maker:
 
 def _announced(r: random.Random, plain: list[str]) -> str:
     """A frame put together from an announcing word, a slot and parts of plain sentences."""
-    slot = r.choice("PPPETTIIIAA")
+    slot = r.choice("PPPPETTIIIAA....")
     words = [w for w in re.sub(r"[{}<>]", "", r.choice(plain)).rstrip(".!?").split()]
     at = r.randrange(1, len(words)) if len(words) > 1 else 1
-    got = r.choice(PATTERNS).replace("{k}", r.choice(ANNOUNCED[slot])).replace("{s}", " ".join(words[:at])).replace("{t}", (" ".join(words[at:]) or "still holds").rstrip(",;:") + ".")
+    got = r.choice(PATTERNS).replace("{k}", r.choice(ANNOUNCED[slot] if slot != "." else CODES)).replace("{s}", " ".join(words[:at])).replace("{t}", (" ".join(words[at:]) or "still holds").rstrip(",;:") + ".")
+    if slot == ".":
+        code = r.choice("OORRNNKVH")
+        return got.replace("{v}", r.choice((f"<{code}>", f"<{code}>", f"<{code}>, {r.choice(CODES)} <{code}>")))
     return got.replace("{v}", "{" + slot + "}")
 
 
+def _inserted(r: random.Random, sentence: str) -> str:
+    """A plain sentence with a slot anywhere in it: what stands beside a value must not decide what it is."""
+    words = re.sub(r"[{}<>]", "", sentence).split(" ")
+    at = r.randrange(len(words) + 1)
+    slot = "{" + r.choice("PPPETTIIAA") + "}" if r.random() < 0.6 else "<" + r.choice("CCSSDDKORNWVF") + ">"
+    slot = r.choice((slot, slot, slot, slot + ",", f"({slot})", f"{slot}.", f"{slot}:"))
+    return " ".join([*words[:at], slot, *words[at:]])
+
+
 # What a sentence must not hold to count as free of personal data.
 SUSPECT = re.compile(
     r"@\w|\w@|\bat\b[^.]*\bdot\b|[\[(](?:at|dot)[\])]|\b(?:Mr|Ms|Mrs|Dr|Prof|Frau|Herr|Mme|Sra?|Dhr|Mevr)\b|\b[^\W\d_]\. ?(?:[^\W\d_]\. ?)?[^\W\d_a-z]\w+|\+\d|\d[\d ./()-]{5,}\d|\b[A-Z]{1,2} ?\d\d ?\d\d|\d{5}"
@@ -223,13 +237,14 @@ NEUTRAL = ["The lift is out of order.", "We painted the kitchen last week and or
 
 
 def labelled_rows(copies: int = 9, seed: int = 11, plain: list[str] | tuple = (), frames: list[str] | tuple = ()) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """(text, [(start, end, kind)…]): every frame ``copies`` times and twice as many made of announcing words, many next to a plain sentence, some shouted; then the plain sentences. Other ``frames`` may stand in for the table's own."""
+    """(text, [(start, end, kind)…]): every frame ``copies`` times twice as many made of announcing words and, for each plain sentence, one with a value anywhere in it; many next to a plain sentence, some shouted; then the plain sentences. Other ``frames`` may stand in for the table's own."""
     m = _Maker(seed)
     kinds = dict(zip("PETIA", KINDS))
     plain = list(plain) or NEUTRAL
     out = []
-    for _ in range(copies):
-        for frame in frames or (*FRAMES, *CLEAN, *(_announced(m.r, plain) for _ in range(2 * len(FRAMES)))):
+    for turn in range(copies):
+        made = [_announced(m.r, plain) for _ in range(2 * len(FRAMES))] + [_inserted(m.r, x) for x in (plain if len(plain) < 300 else plain[turn::copies])]
+        for frame in frames or (*FRAMES, *CLEAN, *made):
             text, spans = "", []
             if m.r.random() < 0.45:
                 text = m.r.choice(plain) + m.r.choice((" ", " ", "\n", ", "))

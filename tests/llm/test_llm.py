@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm import pii_frames
 from docmill.llm import grams, lookalikes, names, pii, pii_examples, splitting, titles
 from docmill.llm.components import connected_components
 from docmill.llm.language import LanguageModel, identify, label_code
@@ -147,23 +148,38 @@ def test_splitting_tokenizer(spark):
 
 @pytest.fixture(scope="module")
 def crf():
-    return pii.train(pii_examples.labelled_rows(6), rounds=60)
+    return pii.train(pii_examples.labelled_rows(8))
 
 
 def test_pii_held_out(crf):
-    test = pii_examples.labelled_rows(2, 99)
+    """Frames of their own: none stands in the labelled table. Recall of 0.9 for every kind."""
+    assert not set(pii_frames.FRAMES) & {*pii_examples.FRAMES, *pii_examples.CLEAN}
+    test = pii_examples.labelled_rows(5, 99, frames=pii_frames.FRAMES)
     d, s, e, k = crf.spans([t for t, _ in test])
-    found = [set() for _ in test]
     per = [[] for _ in test]
     for a, b, c, x in zip(d.tolist(), s.tolist(), e.tolist(), k.tolist()):
         per[a].append((b, c, pii.KINDS[x]))
-    tp = fp = fn = 0
+    tp, fp, fn = (collections.Counter() for _ in range(3))
     for (t, want), spans in zip(test, per):
         have = {x[2] for x in pii.checked(t, spans, crf.plain)}
         need = {x[2] for x in want}
-        tp, fp, fn = tp + len(have & need), fp + len(have - need), fn + len(need - have)
-    assert tp / (tp + fp) > 0.93 and tp / (tp + fn) > 0.85, (tp, fp, fn)
-    assert found
+        tp.update(have & need), fp.update(have - need), fn.update(need - have)
+    for x in pii.KINDS:
+        assert tp[x] / (tp[x] + fn[x]) >= 0.9 and tp[x] / (tp[x] + fp[x]) >= 0.93, (x, tp[x], fp[x], fn[x])
+
+
+def test_pii_no_windows(crf):
+    long = "Maria " + " ".join(f"Xo{c}vandrel" for c in "abcdefghij")
+    text = f"Approved by {long}. Write to {'very.' * 30}long@mail.example today."
+    spans = pii.checked(text, [(12, 17, "person"), (text.index("long@"), text.index("long@") + 4, "email")], crf.plain)
+    assert pii.mask(text, spans) == "Approved by [PERSON]. Write to [EMAIL] today."
+
+
+def test_pii_plain_words(spark):
+    df = spark.createDataFrame([(i, f"the quick fox met Vandrel at noon {i}") for i in range(40)] + [(99, None), (100, "")], "id int, text string")
+    lex = pii.Lexicon(frozenset(), pii.plain_words(df, "text"))
+    assert "quick" in lex and "vandrel" in lex and "unseen" not in lex  # a word in every text is too frequent for a name
+    assert len(pii.plain_words(df.where("id = 99"), "text")) == 0
 
 
 def test_pii_pruning_is_exact(crf):
