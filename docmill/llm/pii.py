@@ -259,7 +259,7 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 90,
     fw_s, ff_s = fw[order], ff[order]
     f_start = np.searchsorted(ff_s, np.arange(len(index)))
     w_start = np.concatenate([[0], np.cumsum([len(x) for x in wf])])[:-1]
-    theta, trans = np.zeros((len(index), len(OFFSETS) * NL)), np.zeros((NL, NL))
+    theta, trans = np.zeros((len(index), len(OFFSETS) * NL), np.float32), np.zeros((NL, NL), np.float32)
     n_doc = int(doc.max()) + 1
     length = np.bincount(doc, minlength=n_doc)
     o = np.argsort(-length, kind="stable")  # longest first, so that the texts that go on are the first ones
@@ -286,15 +286,15 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 90,
     np.add.at(g_gold, (y[np.arange(n_doc), length - 1], np.zeros(n_doc, int)), 1)
     for t in range(1, T):
         np.add.at(g_gold, (y[: on[t], t - 1], y[: on[t], t]), 1)
+    x, alpha, beta = (np.empty((T, n_doc, NL), np.float32) for _ in range(3))  # only places within the texts are ever read
+    begins, ends = np.flatnonzero(pos == 0), np.flatnonzero(pos == length[place] - 1)
     for step in range(1, rounds + 1):
         e_word = np.add.reduceat(theta[ff], w_start, axis=0)
-        em = np.zeros((n, NL))
+        em = np.zeros((n, NL), np.float32)
         for i, (o, t) in enumerate(zip(OFFSETS, shifted)):
             em[t] += e_word[word[t + o], i * NL : (i + 1) * NL]
-        x = np.zeros((T, n_doc, NL), np.float32)
         x[pos, place] = np.exp(em - em.max(1, keepdims=True))
         et = np.exp(trans).astype(np.float32)
-        alpha, beta = np.zeros_like(x), np.zeros_like(x)
         for t in range(T):
             m = on[t]
             a = (et[0][None] if t == 0 else alpha[t - 1, :m] @ et) * x[t, :m]
@@ -309,15 +309,15 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 90,
                 beta[t, :more] = b / b.sum(1, keepdims=True)
                 z = np.einsum("ni,ni->n", alpha[t, :more], b)
                 g_tr -= ((alpha[t, :more] / z[:, None]).T @ right) * et
-        p = alpha * beta
-        p /= np.maximum(p.sum(2, keepdims=True), 1e-30)
-        g_em = -p[pos, place].astype(float)
+        p = alpha[pos, place] * beta[pos, place]
+        p /= np.maximum(p.sum(1, keepdims=True), 1e-30)
+        g_em = -p
         g_em[np.arange(n), gold] += 1
-        g_tr[0] -= p[0].sum(0)
-        g_tr[:, 0] -= p[length - 1, np.arange(n_doc)].sum(0)
-        g_word = np.zeros((len(u), len(OFFSETS) * NL))
+        g_tr[0] -= p[begins].sum(0)
+        g_tr[:, 0] -= p[ends].sum(0)
+        g_word = np.zeros((len(u), len(OFFSETS) * NL), np.float32)
         for i, (o, t) in enumerate(zip(OFFSETS, shifted)):
-            g = np.zeros((n, NL))
+            g = np.zeros((n, NL), np.float32)
             g[t + o] = g_em[t]
             g_word[:, i * NL : (i + 1) * NL] = np.add.reduceat(g[by_word], word_start, axis=0)
         g_theta = np.add.reduceat(g_word[fw_s], f_start, axis=0)
