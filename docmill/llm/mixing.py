@@ -5,14 +5,16 @@ every weighted source that has documents reaches its share with at most its
 number of repeats (or a given total, where a source that cannot reach its share
 gives all it may and the others share what is left by their weights).
 
-Each source's documents are dealt into blocks by a hash, anew for every pass
-over the source. The blocks, in the order of a second hash, are the source's
-permuted blocks; the quota takes them from the first on, and the block at the
-quota's end is cut between documents, to the nearest one. A splitting tree deals the blocks to
-output shards: at each node the number of blocks of every source that go left
-is drawn from the multivariate hypergeometric distribution, so every shard is
-a fair draw and the counts add up exactly. Shards are shuffled locally by a
-hash of seed, document and pass.
+Each pass over a source has an order of its own, by a hash of seed, pass and
+id. The quota takes whole passes and, of one more, the documents up to a cut
+that is found by halving the hash range (by 1024 at a time): no task and no
+driver ever holds a source. The order is cut into blocks of about
+``shard_tokens`` / 16 tokens, whose numbers are permuted. A splitting tree deals the blocks
+to output shards: at each node the number of blocks of every source that go
+left is drawn from the multivariate hypergeometric distribution, so every shard
+is a fair draw and the counts add up exactly. The driver draws the top
+``SUBTREES`` nodes, the executors the subtrees below them. Shards are shuffled
+locally by a hash of seed, document and pass.
 
 Null sources, sources without a weight and documents without tokens (null or
 empty texts) are not used; a weighted source without documents gets nothing
@@ -23,11 +25,11 @@ count once. Ties are broken by the id.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,8 +38,8 @@ from docmill.llm import grams
 from docmill.llm.common import once
 from docmill.storage import materialize
 
-#: Blocks of one pass over a source: about this many documents each, and at most this many blocks.
-BLOCK_DOCS, MOST_BLOCKS = 200, 20_000
+#: Blocks of a shard, about; nodes of the splitting tree that the driver draws; bins that a hash range is cut into, and its bits.
+BLOCKS, SUBTREES, BINS, BITS = 16, 1024, 1024, 50
 
 
 def token_sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer: str) -> DataFrame:
@@ -100,29 +102,89 @@ def quotas(weights: list[tuple[str, float, int]], sizes: dict[str, tuple[int, in
     return out
 
 
+def _draw(n: np.ndarray, lo: int, hi: int, seed: int) -> tuple[int, np.ndarray]:
+    """Middle of the shards lo to hi, and the blocks of each source that go to its left; the same whoever draws it."""
+    mid = (lo + hi) // 2
+    total = int(n.sum())
+    take = total * (mid - lo) // (hi - lo)
+    rng = np.random.default_rng([seed, lo, hi])
+    return mid, rng.multivariate_hypergeometric(n, take, method="marginals") if total else n
+
+
+def split_shards(counts: np.ndarray, lo: int, hi: int, seed: int, first: np.ndarray | None = None, leaves: int | None = None) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(lo, hi, first block of each source, blocks of each source) of the nodes below a node: the shards themselves, or about ``leaves`` nodes above them."""
+    nodes = [(lo, hi, np.zeros(len(counts), np.int64) if first is None else first, counts.astype(np.int64))]
+    while any(b - a > 1 for a, b, *_ in nodes) and (leaves is None or len(nodes) < leaves):
+        below = []
+        for a, b, f, n in nodes:
+            if b - a == 1:
+                below.append((a, b, f, n))
+                continue
+            mid, left = _draw(n, a, b, seed)
+            below += [(a, mid, f, left), (mid, b, f + left, n - left)]
+        nodes = below
+    return nodes
+
+
 def splitting_tree(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """(shards x sources) block counts: each node draws its left part's blocks without replacement."""
-    rng = np.random.default_rng(seed)
-    out = np.zeros((shards, len(counts)), np.int64)
-
-    def split(lo: int, hi: int, n: np.ndarray) -> None:
-        if hi - lo == 1:
-            out[lo] = n
-            return
-        mid = (lo + hi) // 2
-        total = int(n.sum())
-        take = total * (mid - lo) // (hi - lo)
-        left = rng.multivariate_hypergeometric(n, take, method="marginals") if total else n
-        split(lo, mid, left)
-        split(mid, hi, n - left)
-
-    split(0, shards, counts.astype(np.int64))
-    return out
+    return np.stack([n for *_, n in split_shards(counts, 0, shards, seed)])
 
 
-def _unit(*cols):
-    """A hash in [0, 1)."""
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 53)) / F.lit(float(1 << 53))
+def _place(seed: int):
+    """A document's place in the order of a pass, from 0 to 2**BITS - 1."""
+    return F.xxhash64(F.lit(seed), "id", "pass").bitwiseAND(F.lit((1 << BITS) - 1))
+
+
+def find_cuts(sized: DataFrame, rests: dict[str, tuple[int, int]], seed: int) -> dict[str, int]:
+    """For {source: (pass, tokens)} the place up to which the pass's documents have that many tokens, to the nearest document. Each round the driver gets at most BINS sums a source."""
+    spark = sized.sparkSession
+    at = {s: (0, 0) for s in rests}  # start of the range, tokens before it
+    cuts: dict[str, int] = {}
+    for bits in range(BITS - 10, -1, -10):
+        if not at:
+            break
+        q = spark.createDataFrame([(s, rests[s][0], lo) for s, (lo, _) in at.items()], "source string, pass int, lo bigint")
+        rows = sized.join(F.broadcast(q), "source").withColumn("h", _place(seed)).where(f"h >= lo and h < lo + {1 << (bits + 10)}")
+        bins = rows.groupBy("source", F.shiftright(F.col("h") - F.col("lo"), bits).alias("bin")).agg(F.sum("n_tokens").alias("t"), F.count("*").alias("c")).collect()
+        by: dict[str, list] = {}
+        for r in bins:
+            by.setdefault(r.source, []).append(r)
+        for s, (lo, run) in list(at.items()):
+            del at[s]
+            cuts[s] = lo + (1 << (bits + 10))
+            for r in sorted(by.get(s, []), key=lambda r: r.bin):
+                start, t = lo + (int(r.bin) << bits), int(r.t)
+                if run + t > rests[s][1]:
+                    if r.c > 1 and bits:
+                        at[s] = (start, run)
+                    else:
+                        cuts[s] = start + (1 << bits if run + t / 2 <= rests[s][1] else 0)
+                    break
+                run += t
+    return cuts
+
+
+def _stride(n: int) -> int:
+    """A number without a common divisor with n, near the golden section of it."""
+    a = max(1, int(n * 0.618))
+    while math.gcd(a, n) != 1:
+        a += 1
+    return a
+
+
+def _ranges(sources: list[str], seed: int):
+    """Subtrees (lo, hi, first, n) -> (source, first, last, shard): the permuted blocks that each shard draws."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                for lo, _, first, n in split_shards(np.array(r.n, np.int64), r.lo, r.hi, seed, np.array(r.first, np.int64)):
+                    out += [(sources[i], int(first[i]), int(first[i] + n[i] - 1), lo) for i in np.flatnonzero(n)]
+            yield pd.DataFrame(out, columns=["source", "first", "last", "shard"])
+
+    return run
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer: str, total_tokens: int | str | None = None, shards: int | None = None, shard_tokens: int = 2_000_000, seed: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -145,42 +207,25 @@ def mix_sources(docs: DataFrame, weights: DataFrame, id_col: str, text_col: str,
     used = [q for q in plan if q.passes or q.rest]
     size = sum(q.passes * q.tokens + q.rest for q in used)
     shards = shards or max(1, math.ceil(size / shard_tokens))
-    table = [(q.source, q.passes, q.rest, min(MOST_BLOCKS, max(1, math.ceil(q.docs / BLOCK_DOCS)))) for q in used]
-    q = spark.createDataFrame(table, "source string, passes int, rest bigint, nb int")
-    rows = sized.join(F.broadcast(q), "source").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - F.when(F.col("rest") > 0, 0).otherwise(1))))
-    rows = rows.withColumn("blk", F.floor(_unit(F.lit(seed), "id", "pass") * F.col("nb")).cast("int"))
-    # permuted blocks of each source: bounded in number, so their sums may be ordered on one task a source
-    blocks = rows.groupBy("source", "pass", "blk").agg(F.sum("n_tokens").alias("t")).join(F.broadcast(q), "source").collect()
-    picked, starts = [], []
-    by: dict[str, list] = {}
-    for b in blocks:
-        by.setdefault(b.source, []).append(b)
-    rng_key = lambda b: (b["pass"], _block_key(seed, b.source, b["pass"], b.blk))
-    counts = np.zeros(len(used), np.int64)
-    for i, s in enumerate(used):
-        run = 0
-        for b in sorted(by.get(s.source, []), key=rng_key):
-            last = b["pass"] == s.passes
-            if last and run >= s.rest:
-                continue
-            picked.append((s.source, b["pass"], b.blk, int(s.rest - run) if last and run + b.t > s.rest else -1))
-            counts[i] += 1
-            run += b.t if last else 0
-    dealt = splitting_tree(counts, shards, seed) if len(used) else np.zeros((1, 0), np.int64)
-    at = {s.source: i for i, s in enumerate(used)}
-    order: dict[str, list[int]] = {s.source: [] for s in used}
-    for k, p in enumerate(picked):
-        order[p[0]].append(k)
-    for s, ks in order.items():
-        # disjoint runs of the permuted blocks, so the passes of a source spread over the shards
-        ks.sort(key=lambda k: _block_key(seed + 1, *picked[k][:3]))
-        bounds = np.cumsum(dealt[:, at[s]])
-        starts += [(*picked[k], int(np.searchsorted(bounds, n, side="right"))) for n, k in enumerate(ks)]
-    chosen = spark.createDataFrame(starts, "source string, pass int, blk int, room bigint, shard int")
-    rows = rows.join(F.broadcast(chosen), ["source", "pass", "blk"]).select("id", "source", "pass", "blk", "n_tokens", "room", "shard")
-    # the block at the quota's end is cut; it holds about BLOCK_DOCS documents or 1/MOST_BLOCKS of its source
-    cut = rows.where("room >= 0").withColumn("run", F.sum("n_tokens").over(Window.partitionBy("source", "pass", "blk").orderBy(F.xxhash64(F.lit(seed), "id"), "id").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("run") - F.col("n_tokens") / 2 <= F.col("room")).drop("run")
-    rows = rows.where("room < 0").unionByName(cut)
+    cuts = find_cuts(sized, {q.source: (q.passes, q.rest) for q in used if q.rest}, seed)
+    each = max(1.0, size / shards / BLOCKS)
+    table, counts = [], []
+    for q in used:  # blocks of a whole pass, of the last one, and of both
+        whole, last = max(1, round(q.tokens / each)), max(1, round(q.rest / each)) if q.rest else 0
+        counts.append(q.passes * whole + last)
+        table.append((q.source, q.passes, cuts.get(q.source, 0), whole, last, counts[-1], _stride(counts[-1])))
+    q = spark.createDataFrame(table, "source string, passes int, cut bigint, whole bigint, last bigint, all bigint, stride bigint")
+    rows = sized.join(F.broadcast(q), "source").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - F.when(F.col("last") > 0, 0).otherwise(1)))).withColumn("h", _place(seed))
+    part = F.col("pass") == F.col("passes")
+    rows = rows.where(~part | (F.col("h") < F.col("cut")))
+    # place / range * blocks, in whole numbers: 50 bits and the blocks fit into a decimal
+    number = lambda range_, n: F.floor(F.col("h").cast("decimal(20,0)") * n.cast("decimal(12,0)") / range_.cast("decimal(20,0)")).cast("bigint")
+    blk = F.col("pass") * F.col("whole") + F.when(part, number(F.greatest("cut", F.lit(1)), F.col("last"))).otherwise(number(F.lit(1 << BITS), F.col("whole")))
+    rows = rows.withColumn("blk", F.pmod(blk * F.col("stride"), F.col("all"))).select("id", "source", "pass", "n_tokens", "blk")
+    nodes = split_shards(np.array(counts), 0, shards, seed, leaves=SUBTREES) if used else []
+    sub = spark.createDataFrame([(lo, hi, f.tolist(), n.tolist()) for lo, hi, f, n in nodes], "lo long, hi long, first array<long>, n array<long>").repartition(max(1, min(len(nodes), SUBTREES // 4)))
+    dealt = sub.mapInPandas(_ranges([s.source for s in used], seed), "source string, first long, last long, shard long").select("source", "shard", F.explode(F.sequence("first", "last")).alias("blk"))
+    rows = rows.join(dealt, ["source", "blk"]).withColumn("shard", F.col("shard").cast("int"))
     mixture = rows.withColumn("position", F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 2), "id", "pass"), "id", "pass"))).select(F.col("id").alias("doc_id"), "source", (F.col("pass") + 1).alias("repeat_no"), "n_tokens", "shard", "position")
     mixture = materialize(mixture, "mixture")
     got = mixture.groupBy("source", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("c")).groupBy("source").agg(F.sum("t").alias("tokens"), F.count("*").alias("docs"), F.sum("c").alias("uses"), F.max("c").alias("most_repeats"))
@@ -188,7 +233,3 @@ def mix_sources(docs: DataFrame, weights: DataFrame, id_col: str, text_col: str,
     reached = mixture.agg(F.sum("n_tokens")).first()[0] or 1
     shares = every.join(got, "source", "left").withColumn("all", F.lit(reached)).select("source", "target_weight", "max_repeats", "available_tokens", "target_tokens", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)).alias("share"), F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))
     return mixture, shares
-
-
-def _block_key(seed: int, source: str, pass_no: int, blk: int) -> bytes:
-    return hashlib.blake2b(f"{seed}/{source}/{pass_no}/{blk}".encode(), digest_size=8).digest()

@@ -13,7 +13,7 @@ from docmill.llm import grams, lookalikes, names, pii, pii_examples, splitting,
 from docmill.llm.components import connected_components
 from docmill.llm.language import LanguageModel, identify, label_code
 from docmill.llm.leaks import find_leaks
-from docmill.llm.mixing import mix_sources, quotas, splitting_tree
+from docmill.llm.mixing import mix_sources, quotas, split_shards, splitting_tree
 from docmill.llm.near_duplicates import fragment_pairs, near_duplicate_groups, near_duplicate_pairs
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -296,3 +296,21 @@ def test_mixing(spark):
     s = {r.source: r for r in shares.collect()}
     assert abs(s["big"].share - 0.5) < 0.05 and s["none"].tokens == 0 and s["small"].most_repeats == 3
     assert sorted((r.doc_id, r.repeat_no) for r in m) == sorted((r.doc_id, r.repeat_no) for r in mix_sources(docs, w, "doc_id", "text", "source", TOKENIZER, shards=3)[0].collect())
+
+
+def test_mixing_many_shards(spark):
+    """Exact shares and a fair draw with far more shards than the driver splits; the cut lies at the nearest document."""
+    rows = [(i, "one two three four five six seven " * (1 + i % 5), ("a", "b", "c")[i % 3]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    w = spark.createDataFrame([("a", 0.6, 2), ("b", 0.3, 1), ("c", 0.1, 1)], "source string, target_weight double, max_repeats int")
+    mix, shares = mix_sources(docs, w, "doc_id", "text", "source", TOKENIZER, shards=40)
+    for r in shares.collect():
+        assert abs(r.tokens - r.target_tokens) <= 40 and r.most_repeats <= (2 if r.source == "a" else 1), r
+        assert abs(r.share - r.target_weight) < 0.001
+    per = [r.t for r in mix.groupBy("shard").agg(F.sum("n_tokens").alias("t")).collect()]
+    assert len(per) == 40 and max(per) < 2 * min(per)
+    n = np.array([500, 40, 3])
+    top = split_shards(n, 0, 64, 5, leaves=8)
+    assert len(top) == 8
+    below = [x for lo, hi, f, m in top for x in split_shards(m, lo, hi, 5, f)]
+    assert [(a, b, f.tolist(), m.tolist()) for a, b, f, m in below] == [(a, b, f.tolist(), m.tolist()) for a, b, f, m in split_shards(n, 0, 64, 5)]
