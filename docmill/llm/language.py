@@ -21,6 +21,7 @@ Whole texts are used whatever their length.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 
@@ -34,7 +35,7 @@ from docmill.llm import grams
 from docmill.llm.near_duplicates import _spread
 
 _U = np.uint64
-#: The codes of the languages.
+#: The codes of this project's languages; others are a parameter of ``label_code`` and ``fit_language_model``.
 LANGUAGES = ("de", "en", "es", "fr", "nl", "pt", "ru")
 ORDER = 4
 DISCOUNT = 0.75
@@ -49,11 +50,11 @@ _WORDS = re.compile(r"[^\W_]+")
 _LABEL = r"^[A-Za-z]{2}([-_][A-Za-z]{2})?$"
 
 
-def label_code(col):
-    """The language that a label names in any letter case and with any region, or null."""
+def label_code(col, languages: tuple[str, ...] = LANGUAGES):
+    """The one of the languages that a label names in any letter case and with any region, or null."""
     s = F.trim(col)
     code = F.lower(F.substring(s, 1, 2))
-    return F.when(s.rlike(_LABEL) & code.isin(*LANGUAGES), code)
+    return F.when(s.rlike(_LABEL) & code.isin(*languages), code)
 
 
 def _gram_hash(cp: np.ndarray, k: int) -> np.ndarray:
@@ -280,7 +281,7 @@ def _words_as_they_are(texts: list[str]):
     hs, ds, ss, es, at = [], [], [], [], 0
     for i, t in enumerate(low):
         for m in _WORDS.finditer(t):
-            hs.append(hash(("w", m.group())) & 0xFFFFFFFFFFFFFFFF)
+            hs.append(int.from_bytes(hashlib.blake2b(m.group().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big"))
             ds.append(i)
             ss.append(at + m.start())
             es.append(at + m.end())
@@ -288,9 +289,9 @@ def _words_as_they_are(texts: list[str]):
     return np.array(hs, np.uint64), np.array(ds, np.int64), np.array(ss, np.int64), np.array(es, np.int64)
 
 
-def fit_language_model(labelled: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int = 150) -> LanguageModel:
+def fit_language_model(labelled: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int = 150, languages: tuple[str, ...] = LANGUAGES) -> LanguageModel:
     """Model from at most ``per_language`` rows of each language (the bound of the sample, chosen by the hash of the id), a third of them for the calibration."""
-    rows = labelled.select(F.col(text_col).alias("text"), label_code(F.col(label_col)).alias("lang"), F.xxhash64(F.col(id_col)).alias("h")).where("lang is not null and text is not null")
+    rows = labelled.select(F.col(text_col).alias("text"), label_code(F.col(label_col), languages).alias("lang"), F.xxhash64(F.col(id_col)).alias("h")).where("lang is not null and text is not null")
     # ranks over hashes alone; only the texts below each language's last hash are moved
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     last = rows.select("lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= per_language).groupBy("lang").agg(F.max("h").alias("last"))

@@ -19,6 +19,7 @@ used.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import numpy as np
@@ -81,6 +82,12 @@ def look_alikes(code_points: set[int]) -> UnionFind:
     return uf
 
 
+@functools.cache
+def longer_members() -> tuple[str, ...]:
+    """All members of classes with more than one code point that come from any code point of the basic plane."""
+    return tuple(sorted({m for ms in look_alikes({cp for cp in range(0x10000) if not 0xD800 <= cp <= 0xDFFF}).classes().values() for m in ms if len(m) > 1}))
+
+
 def count_strings(texts: DataFrame, strings: tuple[str, ...]) -> dict[str, int]:
     """Occurrences of every code point, and of the given longer strings, in decomposed texts. At most one row per code point and string and task is shuffled; the driver gets one row per code point and string."""
 
@@ -139,7 +146,12 @@ class Rewriter:
         return self._auto
 
     def __call__(self, text: str) -> str:
-        for _ in range(8):  # a rewrite can bring new neighbours together (f, zero width, i); it ends when nothing changes
+        # A rewrite can bring new neighbours together (f, zero width, i), so it goes on until nothing changes. Each
+        # replacement leads to its class's representative, which is never replaced itself, so every round that changes
+        # the text leaves fewer strings to replace; a form seen before (two classes whose members overlap) ends it too.
+        seen: set[str] = set()
+        while text not in seen:
+            seen.add(text)
             d = unicodedata.normalize("NFD", text) if not text.isascii() else text
             out, at = [], 0
             for end, (n, rep) in self.automaton.iter_long(d):
@@ -151,14 +163,15 @@ class Rewriter:
             if new == text:
                 break
             text = new
+        else:
+            text = min(seen)
         return text
 
 
 def fit_rewriter(df: DataFrame, text_col: str) -> Rewriter:
     """Look-alike classes and their representatives from all texts of a table."""
     texts = df.select(F.col(text_col).alias("text")).where("text is not null")
-    strings = ("fi", "fl", "ff", "ffi", "ffl", "st", "\r\n")
-    counts = count_strings(texts, strings)
+    counts = count_strings(texts, longer_members())
     return Rewriter.fit(counts, look_alikes({ord(s) for s in counts if len(s) == 1}))
 
 

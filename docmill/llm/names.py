@@ -16,11 +16,14 @@
 Only joins on roots and keys are used: no group is collected in one task.
 Null and blank names are ignored, repeated rows count once per row for the
 frequency only. Spellings that are mostly typed as concept, product or
-location are in no entity.
+location are in no entity. A spelling without a root (a given name or a title
+alone) is an entity of its own. Roots under ``ROOT_LEAST`` letters are taken as
+they are typed: one edit away from a short name there are too many other names.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import permutations
 
@@ -135,17 +138,42 @@ def aligned(a: str, b: str) -> bool:
     if len(x) > len(y):
         x, y = y, x
     free = {"ltd", *_LEGAL}
-    if len(y) > 6:
-        return False
-    best = None
-    for p in permutations(range(len(y)), min(len(x), len(y))):
-        cost = sum(1.0 if (c := token_cost(u, y[i])) >= 1 and u not in free else (0.5 if c >= 1 else c) for u, i in zip(x, p))
-        best = cost if best is None else min(best, cost)
-    if best is not None and best < 1:
+    price = lambda u, c: c if c < 1 else 0.5 if u in free else 1.0
+    if x and assignment([[price(u, token_cost(u, v)) for v in y] for u in x]) < 1:
         return True
     # an initial run together with the family name, or the firm's name with its line of business
     j, k = ("".join(z) for z in (x, y))
-    return j == k or any(w == i + r for w in x for i in {v[0] for v in y} for r in y) or any(edits(j, z, 1) <= 1 for z in ("".join(p) for p in permutations(y[:3])))
+    orders = permutations(y) if len(y) <= 3 else (y, y[::-1])
+    return j == k or any(w == i + r for w in x for i in {v[0] for v in y} for r in y) or any(edits(j, z, 1) <= 1 for z in ("".join(p) for p in orders))
+
+
+def assignment(cost: list[list[float]]) -> float:
+    """Lowest total of one column for each row (rows not more than columns), by shortest augmenting paths over reduced costs."""
+    rows, cols = len(cost), len(cost[0])
+    owner: list[int | None] = [None] * cols
+    u, v = [0.0] * rows, [0.0] * cols
+    for start in range(rows):
+        dist, via, done = [math.inf] * cols, [-1] * cols, [False] * cols
+        row, last, base = start, -1, 0.0
+        while True:  # grow the tree by its nearest column until one is free
+            for c in range(cols):
+                if not done[c] and (d := base + cost[row][c] - u[row] - v[c]) < dist[c]:
+                    dist[c], via[c] = d, last
+            last = min((c for c in range(cols) if not done[c]), key=dist.__getitem__)
+            base, done[last] = dist[last], True
+            if owner[last] is None:
+                break
+            row = owner[last]
+        for c in range(cols):
+            if done[c]:
+                if owner[c] is not None:
+                    u[owner[c]] += base - dist[c]
+                v[c] -= base - dist[c]
+        u[start] += base
+        while last >= 0:
+            owner[last] = owner[via[last]] if via[last] >= 0 else start
+            last = via[last]
+    return sum(cost[r][c] for c, r in enumerate(owner) if r is not None)
 
 
 _ROLES = T.StructType([T.StructField(c, T.StringType()) for c in ("root", "other", "kind", "given", "initial", "business", "legal", "glued")])
@@ -193,19 +221,25 @@ def root_map(roots: DataFrame) -> DataFrame:
     """(root, to): each root that is a misspelling, with the more frequent root that it is near to (itself otherwise)."""
     key = roots.where(F.length("root") >= ROOT_LEAST).select("root", "n", F.explode(deletes_udf("root")).alias("k"))
     a, b = key.select(F.col("root").alias("a"), F.col("n").alias("na"), "k"), key.select(F.col("root").alias("b"), F.col("n").alias("nb"), "k")
-    near = a.join(b, "k").where("a <> b and (nb > na or (nb = na and b < a))").select("a", "na", "b", "nb").distinct().withColumn("d", edits_udf("a", "b"))
+    # two edits with transpositions are at most four without; that bound is compiled code and decides most pairs
+    near = a.join(b, "k").where("a <> b and (nb > na or (nb = na and b < a))").select("a", "na", "b", "nb").distinct().where(F.levenshtein("a", "b", 4) >= 0).withColumn("d", edits_udf("a", "b"))
     ok = near.where((F.col("d") <= 1) | ((F.col("d") <= 2) & (F.least(F.length("a"), F.length("b")) >= LONG)))
-    one = ok.groupBy("a").agg(F.max_by("b", F.struct(-F.col("d"), "nb", "b")).alias("to"))
-    # a misspelling of a misspelling leads to the root behind it
-    two = one.join(one.select(F.col("a").alias("to"), F.col("to").alias("to2")), "to", "left").select(F.col("a").alias("root"), F.coalesce("to2", "to").alias("to"))
-    return roots.select("root").distinct().join(two, "root", "left").select("root", F.coalesce("to", "root").alias("to"))
+    to = materialize(ok.groupBy("a").agg(F.max_by("b", F.struct(-F.col("d"), "nb", "b")).alias("to")), "near")
+    # a misspelling of a misspelling leads to the root behind it; every round halves the way
+    while True:
+        on = to.select(F.col("a").alias("to"), F.col("to").alias("next"))
+        if to.join(on, "to", "left_semi").isEmpty():
+            break
+        to = materialize(to.join(on, "to", "left").select("a", F.coalesce("next", "to").alias("to")), "near")
+    return roots.select("root").distinct().join(to.withColumnRenamed("a", "root"), "root", "left").select("root", F.coalesce("to", "root").alias("to"))
 
 
 def name_entities(columns: list[tuple[DataFrame, str, str | None]]) -> DataFrame:
     """(name, entity): each spelling of a person or organisation with the entity's most frequent spelling."""
     # written first: the filter on the roles would otherwise be pushed below the aggregate and read every row's name
     every = materialize(spellings(columns), "spellings")
-    read = materialize(every.withColumn("r", read_udf("name")).select("name", "n", "r.*").where("root <> ''"), "names")
+    each = materialize(every.withColumn("r", read_udf("name")).select("name", "n", "r.*"), "names")
+    read = each.where("root <> ''")
     whole = read.groupBy("root").agg(F.sum("n").alias("n"), F.max(F.when(F.col("kind") != "", 1).otherwise(0)).alias("sure"))
     # an initial run together with a family name that stands elsewhere
     parts = read.where("glued <> ''").select("name", "root", "glued").join(whole.where("sure = 1").select(F.col("root").alias("glued")), "glued").select("name", F.col("glued").alias("real"), F.substring("root", 1, 1).alias("first"))
@@ -239,4 +273,5 @@ def name_entities(columns: list[tuple[DataFrame, str, str | None]]) -> DataFrame
     # spellings that fit no entity: alike among themselves by root, kind and what else they have
     key = ["root", "kind", "initial", "given", "legal"]
     alone = left.join(left.groupBy(*key).agg(F.min("name").alias("entity")), key).select("name", "entity")
-    return named.unionByName(only).unionByName(alone).groupBy("name").agg(F.min("entity").alias("entity"))
+    bare = each.where("root = ''").select("name", F.col("name").alias("entity"))
+    return named.unionByName(only).unionByName(alone).unionByName(bare).groupBy("name").agg(F.min("entity").alias("entity"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.llm.common import different
 from docmill.llm.language import LanguageModel, fit_language_model, identify, label_code
 from docmill.storage import table
 
@@ -15,7 +16,7 @@ def _model(spark: SparkSession, sf_dir: str) -> LanguageModel:
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = _model(spark, sf_dir)
-    parts = [identify(table(spark, sf_dir, t).withColumn("label", F.col("lang")), k, "text", model, "label").withColumn("tbl", F.lit(t)) for t, k in (("chunks", "chunk_id"), ("parsed_documents", "doc_id"))]
+    parts = [identify(different(table(spark, sf_dir, t), k, "text"), k, "text", model).withColumn("tbl", F.lit(t)) for t, k in (("chunks", "chunk_id"), ("parsed_documents", "doc_id"))]
     return parts[0].unionByName(parts[1])
 
 
@@ -37,7 +38,7 @@ def _cases(segments: DataFrame) -> DataFrame:
 
 def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's segments with language and confidence."""
-    return _segments(spark, sf_dir).select("tbl", F.col("id").alias("rec_id"), "seg", "start_char", "end_char", "lang", "confidence", "is_main").distinct()
+    return _segments(spark, sf_dir).select("tbl", F.col("id").alias("rec_id"), "seg", "start_char", "end_char", "lang", "confidence", "is_main")
 
 
 QUERIES = {"p5_found": p5_found, "p5_segments": p5_segments}

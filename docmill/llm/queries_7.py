@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from docmill.llm.mixing import mix_sources
 from docmill.storage import table
 
-#: A public tokenizer's file; a parameter of the operator, never part of the repository.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: The setting that names a public tokenizer's file, and the file where it is unset; never part of the repository.
+SETTING, TOKENIZER = "spark.docmill.tokenizer", "/opt/tokenizers/byte_bpe_50k.json"
 
 
-def _mix(spark: SparkSession, sf_dir: str, total: int | str | None = None, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
-    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"), "doc_id", "text", "source", tokenizer, total)
+def _mix(spark: SparkSession, sf_dir: str, total: int | str | None = None) -> tuple[DataFrame, DataFrame]:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"), "doc_id", "text", "source", spark.conf.get(SETTING, TOKENIZER), total)
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

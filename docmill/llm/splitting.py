@@ -1,11 +1,12 @@
 """Splitting oversized texts at topic boundaries (lexical cohesion).
 
 From the start of a piece, every natural boundary between the smallest and the
-largest allowed end is a candidate: ends of paragraphs, lines, sentences, then
-clauses, then words. At each candidate of the best kind present, the words of
-a sliding block before it are compared with those of the block after it
-(cosine); a valley's depth is what the similarity falls below the highest
-values on both sides. The deepest valley of the window is the cut, the later
+largest allowed end is a candidate: ends of paragraphs, of lines and sentences,
+and of clauses; words only where the window has none of these. At each
+candidate the words of a sliding block before it are compared with those of
+the block after it (cosine); a valley's depth is what the similarity falls
+below the highest values on both sides. The cut is the deepest valley of the
+window, its depth counted times the weight of its kind (``WEIGHTS``), the later
 one on a tie. The next piece begins ``overlap`` tokens before the cut.
 
 Null texts give no piece, an empty text one empty piece, a text within the
@@ -32,6 +33,8 @@ from docmill.llm.common import once
 LEAST_SHARE = 0.5
 #: Words on each side of a candidate that are compared.
 BLOCK = 45
+#: By how much a valley at the end of a paragraph, a sentence or a clause counts, and the depth that each has at least: a sharp topic change inside a paragraph wins over a shallow one between two.
+WEIGHTS, LEAST_DEPTH = (1.5, 1.0, 0.5), 0.05
 _WORD = re.compile(r"[^\W_]{3,}")
 _BOUNDARIES = (
     re.compile(r"\n\s*\n\s*"),
@@ -134,15 +137,21 @@ def split_text(text: str, limit: int, overlap: int, measure) -> list[tuple[int,
         most = max(most, core + 1)
         least = core + int((most - core) * LEAST_SHARE)
         cut, kind = 0, "character"
-        for name, pattern in zip(("paragraph", "sentence", "clause", "word"), _BOUNDARIES):
-            # the boundary's white space stays with the piece before it
-            ends = [m.end() for m in pattern.finditer(text, max(least - 8, core), min(len(text), most + 8))]
-            ends = [e for e in ends if least < e <= most]
-            if ends:
-                cuts = np.array(ends)
-                depth = _cohesion(text, cuts, max(0, least - 12 * BLOCK), min(len(text), most + 12 * BLOCK)) if len(ends) > 1 else np.zeros(1)
-                cut, kind = int(cuts[len(cuts) - 1 - int(np.argmax(depth[::-1]))]), name
+        lo, hi = max(least - 8, core), min(len(text), most + 8)
+        kinds: dict[int, int] = {}  # the best kind of each candidate; the boundary's white space stays with the piece before it
+        for k, pattern in enumerate(_BOUNDARIES):
+            if k == 3 and kinds:
                 break
+            for m in pattern.finditer(text, lo, hi):
+                if least < m.end() <= most:
+                    kinds.setdefault(m.end(), k)
+        if kinds:
+            cuts = np.array(sorted(kinds))
+            of = np.array([kinds[c] for c in cuts.tolist()])
+            depth = _cohesion(text, cuts, max(0, least - 12 * BLOCK), min(len(text), most + 12 * BLOCK)) if len(cuts) > 1 else np.zeros(1)
+            worth = np.round((depth + LEAST_DEPTH) * np.array([*WEIGHTS, 1.0])[of], 6)
+            best = len(cuts) - 1 - int(np.argmax(worth[::-1]))
+            cut, kind = int(cuts[best]), ("paragraph", "sentence", "clause", "word")[of[best]]
         if not cut:
             cut = _hard(text, most, core)
         while cut > core + 1 and measure.count(text, start, cut) > limit:

@@ -261,6 +261,48 @@ def test_leaks(spark):
     i = spark.createDataFrame([(9, item), (8, "too short"), (7, None)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.kind for r in find_leaks(d, "doc_id", "text", i, "item_id", "text").collect()}
     assert got == {("1", "9"): "exact", ("3", "9"): "reparameterised"}
+    short = spark.createDataFrame([(1, "It was TOO, short in the end"), (2, "too long")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id, r.kind) for r in find_leaks(short, "doc_id", "text", i, "item_id", "text").collect()] == [("1", "8", "short")]
+
+
+def test_leaks_reparameterised_recall(spark):
+    """Planted items with other numbers and names: all with consistent slots are found, none with inconsistent ones."""
+    r = random.Random(3)
+    vocab = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("ler", "mit", "nos", "ra")]
+    name = lambda: "".join(r.choice("XZQ") + r.choice("aeiou") + r.choice("vwk") for _ in range(3)).capitalize()
+    items, docs, want = [], [], set()
+    for i in range(120):
+        ws = [r.choice(vocab) for _ in range(14)]
+        p, q = name(), name()
+        slots = lambda a, b, n, c: " ".join([*ws[:5], a, *ws[5:8], str(n), "km", b, *ws[8:], c])  # noqa: B023, E731
+        items.append((i, slots(p, q, 40 + i, p)))
+        kind = i % 3
+        x, y = name(), name()
+        docs.append((i, " ".join(r.choice(vocab) for _ in range(30)) + " . " + (slots(p, q, 40 + i, p) if kind == 0 else slots(x, y, 7, x) if kind == 1 else slots(x, x, 7, y)) + " . " + " ".join(r.choice(vocab) for _ in range(20))))
+        want |= {(str(i), "exact" if kind == 0 else "reparameterised")} if kind < 2 else set()
+    d, it = spark.createDataFrame(docs, "id int, text string"), spark.createDataFrame(items, "id int, text string")
+    got = {(x.doc_id, x.kind) for x in find_leaks(d, "id", "text", it, "id", "text").collect() if x.doc_id == x.item_id}
+    assert len(want & got) / len(want) >= 0.9
+    whole = {x.doc_id for x in find_leaks(d, "id", "text", it, "id", "text", window=18).collect()}  # both of the names in one window
+    assert not whole & {str(i) for i in range(120) if i % 3 == 2}
+
+
+def test_split_takes_the_deepest_valley():
+    """A change of topic between two sentences wins over a paragraph's end inside one topic."""
+    a, b = "Boats sail over waves and harbour lights shine on boats. ", "Bread needs flour and yeast before the oven bakes bread. "
+    text = a * 12 + "\n\n" + a * 8 + b * 22
+    cut = splitting.split_text(text, 450, 20, splitting.CharMeasure())[0][1]
+    assert text[cut:].startswith("Bread") and text[:cut].endswith("boats. ")
+
+
+def test_assignment_is_optimal():
+    from itertools import permutations
+
+    r = random.Random(1)
+    for _ in range(200):
+        n, m = r.randrange(1, 5), r.randrange(5, 7)
+        c = [[r.choice((0.0, 0.1, 0.2, 0.5, 1.0)) for _ in range(m)] for _ in range(n)]
+        assert abs(names.assignment(c) - min(sum(c[i][j] for i, j in enumerate(p)) for p in permutations(range(m), n))) < 1e-9
 
 
 def test_lookalikes(spark):
