@@ -37,10 +37,17 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/docmill-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
     atexit.register(_remove, spark, path)
     return out
 
 
+def release(written: DataFrame) -> None:
+    """Delete a table of ``materialize`` that nothing reads any more, such as the last but one round of an iteration."""
+    if path := getattr(written, "_written", None):
+        _remove(written.sparkSession, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         if "://" not in path or path.startswith("file:"):
