@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.storage import materialize
+from docmill.storage import materialize, release
 
 
 def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) ->
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    before, last = None, e
     for _ in range(rounds):
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -26,7 +26,9 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) ->
         # small star: a node and its smaller neighbours go to the smallest of them
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         e = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(e, "edges")
+        old, e = last, materialize(e, "edges")
+        last = e
+        release(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
