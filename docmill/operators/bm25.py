@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import re
+import functools
+import itertools
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,13 +16,35 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 COLUMNS = ("text", "keywords", "expanded_keywords", "summary")
 
 
+#: What lies between tokens: everything but letters, numbers and private characters of any script.
+BETWEEN = r"[^\p{L}\p{N}\p{Co}]+"
+
+
+@functools.cache
+def accents() -> tuple[str, str]:
+    """Characters and what they become: small Latin letters with one accent lose it; combining accents come after them and are dropped."""
+    pairs = []
+    for i in range(0x80, 0x2000):
+        d = unicodedata.normalize("NFD", chr(i))
+        if len(d) == 2 and "a" <= d[0] <= "z" and unicodedata.combining(d[1]):
+            pairs.append((chr(i), d[0]))
+    return "".join(a for a, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(b for _, b in pairs)
+
+
+def folded(c: Column) -> Column:
+    """Small letters without accents; null as an empty text."""
+    return F.translate(F.lower(F.coalesce(c, F.lit(""))), *accents())
+
+
 def tokens(c: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^0-9a-z]+"), lambda x: x != "")
+    """Runs of letters and digits, letter case and accents of Latin letters folded."""
+    return F.filter(F.split(folded(c), BETWEEN), lambda x: x != "")
 
 
 def phrase_tokens(query: str) -> list[str]:
-    return [t for t in re.split("[^0-9a-z]+", query.lower()) if t]
+    a, b = accents()
+    low = query.lower().translate({ord(x): b[i] if i < len(b) else None for i, x in enumerate(a)})
+    return ["".join(g) for ok, g in itertools.groupby(low, lambda ch: unicodedata.category(ch)[0] in "LN" or unicodedata.category(ch) == "Co") if ok]
 
 
 def _occurrences(toks: Column, phrase: list[str]) -> Column:
@@ -41,7 +65,7 @@ def _counts(c: Column, phrase: list[str]) -> Column:
     n = len(phrase)
     if any(phrase[k:] == phrase[: n - k] for k in range(1, n)):
         return let(tokens(c), lambda t: F.struct(F.size(t).alias("len"), _occurrences(t, phrase).alias("f")))
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^0-9a-z]+", " "))
+    plain = F.trim(F.regexp_replace(folded(c), BETWEEN, " "))
     spaced = F.when(plain == "", F.lit("")).otherwise(F.concat(F.lit(" "), F.replace(plain, F.lit(" "), F.lit("  ")), F.lit(" ")))
     p = " " + "  ".join(phrase) + " "
 

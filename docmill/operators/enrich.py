@@ -55,8 +55,8 @@ def batch_windows(chunks: DataFrame, n: int = 5) -> DataFrame:
 
 
 def split_batch_reply(c: Column, n: int) -> Column:
-    """Parts of a reply between lines of ---, padded or cut to ``n``."""
-    parts = F.transform(F.split(c, r"\n?---\n?"), lambda x: strip(x))
+    """Parts of a reply that are not blank, divided by every ---, padded or cut to ``n``."""
+    parts = F.filter(F.transform(F.split(c, "---"), strip), lambda x: x != "")
     return F.slice(F.concat(parts, F.array_repeat(F.lit(""), n)), 1, n)
 
 

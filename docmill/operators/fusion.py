@@ -33,7 +33,7 @@ def first_by(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("v")).select(*key, "v.*")
 
 
-def weighted_selection(sources: DataFrame, top_k: int, least: int = 2) -> DataFrame:
+def weighted_selection(sources: DataFrame, top_k: int, least: int = 1) -> DataFrame:
     """Chunks of ranked sources by linearly falling quotas.
 
     ``sources``: (source_rank from 0, chunk_ids array). With n sources the
@@ -48,7 +48,7 @@ def weighted_selection(sources: DataFrame, top_k: int, least: int = 2) -> DataFr
     return _quotas(ranked, top_k, least)
 
 
-def weighted_rows(rows: DataFrame, top_k: int, most: int, least: int = 2) -> DataFrame:
+def weighted_rows(rows: DataFrame, top_k: int, most: int, least: int = 1) -> DataFrame:
     """``weighted_selection`` of different (source_rank, chunk_id) rows, ids ascending within each of at most ``most`` sources.
 
     Frequencies count all rows. The quotas add up to at most the budget plus
@@ -75,7 +75,13 @@ def _quotas(ranked: DataFrame, top_k: int, least: int) -> DataFrame:
     return all_.where(n > 0).select(F.posexplode(taken).alias("rank", "chunk_id"))
 
 
-def budget_prefix(df: DataFrame, cost: str, budget: int, part: list[str], order: list) -> DataFrame:
-    """Items in order until the cost would pass the budget; costs are not negative, so the running sum decides."""
+def budget_prefix(df: DataFrame, cost: str, budget: int, part: list[str], order: list, least: int | None = None) -> DataFrame:
+    """Items in order until the cost would pass the budget; costs are not negative, so the running sum decides.
+
+    Where no item costs less than ``least``, only the first budget / least can
+    fit; without a partition they are then taken by a top-k and no sort of all.
+    """
+    if least and not part:
+        df = df.orderBy(*order).limit(budget // least + 1)
     run = F.sum(cost).over(Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("_run", run).where(F.col("_run") <= budget).drop("_run")

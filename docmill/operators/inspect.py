@@ -34,19 +34,26 @@ def chunk_detail(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select("chunk_id", "doc_id", "sequence_index", "total", (F.col("sequence_index") > 0).alias("has_previous"), (F.col("sequence_index") < F.col("total") - 1).alias("has_next"), F.coalesce(F.size(json_list(F.col("keywords"))), F.lit(0)).alias("n_keywords"), F.coalesce("doc_name", "doc_id").alias("document"))
 
 
-def chunk_context(chunks: DataFrame, chunk_ids: list[str], before: int = 2, after: int = 2) -> DataFrame:
-    """Neighbours of target chunks within a document."""
+def chunk_context(chunks: DataFrame, targets: DataFrame, before: int = 2, after: int = 2) -> DataFrame:
+    """Neighbours of the target chunks (chunk_id, doc_id, sequence_index) within their documents: an equi-join on document and place, so a hot document costs no more than its neighbours."""
     if not (0 <= before <= 20 and 0 <= after <= 20):
         raise ValueError("before and after must be within 0 and 20")
-    t = chunks.where(F.col("chunk_id").isin(chunk_ids)).select(F.col("chunk_id").alias("target"), "doc_id", F.col("sequence_index").alias("at"))
+    t = targets.select(F.col("chunk_id").alias("target"), "doc_id", F.col("sequence_index").alias("at"))
     total = chunks.join(t.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("total"))
-    near = (F.col("sequence_index") >= F.greatest(F.lit(0), F.col("at") - before)) & (F.col("sequence_index") <= F.col("at") + after)
-    out = chunks.select("chunk_id", "doc_id", "sequence_index").join(t, "doc_id").where(near).join(total, "doc_id")
+    places = t.withColumn("sequence_index", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - before), F.col("at") + after)))
+    out = chunks.select("chunk_id", "doc_id", "sequence_index").join(places, ["doc_id", "sequence_index"]).join(total, "doc_id")
     return out.select("target", "chunk_id", "sequence_index", (F.col("chunk_id") == F.col("target")).alias("is_target"), (F.col("at") - before > 0).alias("has_more_before"), (F.col("at") + after < F.col("total") - 1).alias("has_more_after"))
 
 
-def siblings(chunks: DataFrame, chunk_ids: list[str]) -> DataFrame:
-    t = chunks.where(F.col("chunk_id").isin(chunk_ids)).select(F.col("chunk_id").alias("target"), "doc_id")
+def chunk_rows(chunks: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows of the target chunks (chunk_id, doc_id, …) as a retrieval shows them; totals of their documents by a small aggregate."""
+    total = chunks.join(targets.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("total"))
+    return targets.join(total, "doc_id").select("chunk_id", "namespace", "text", F.col("doc_id").alias("source"), "sequence_index", (F.col("sequence_index") < F.col("total") - 1).alias("has_next"), "page", "section")
+
+
+def siblings(chunks: DataFrame, targets: DataFrame) -> DataFrame:
+    """All chunks of the documents of the target chunks (chunk_id, doc_id)."""
+    t = targets.select(F.col("chunk_id").alias("target"), "doc_id")
     return chunks.select("chunk_id", "doc_id", "sequence_index").join(t, "doc_id").select("target", "chunk_id", "sequence_index")
 
 

@@ -28,6 +28,7 @@ class Index:
     entity_vectors: DataFrame
     relation_vectors: DataFrame
     communities: DataFrame | None = None
+    rrf_k: int = fusion.RRF_K
 
 
 @dataclass
@@ -45,7 +46,8 @@ def _ranked(df: DataFrame, order: list) -> DataFrame:
 def _known(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """Ids that are live chunks, first occurrence, ranks renewed."""
     one = ranked.groupBy("chunk_id").agg(F.min("rank").alias("rank"))
-    return _ranked(chunks.select("chunk_id").distinct().join(F.broadcast(one), "chunk_id"), ["rank"])
+    # at most k ids meet the table; the different ones are told apart after that
+    return _ranked(chunks.select("chunk_id").join(F.broadcast(one), "chunk_id").distinct(), ["rank"])
 
 
 def _lists(*ls: DataFrame) -> DataFrame:
@@ -56,8 +58,8 @@ def _lists(*ls: DataFrame) -> DataFrame:
     return u
 
 
-def _fuse(*ls: DataFrame) -> DataFrame:
-    f = fusion.rrf(_lists(*ls))
+def _fuse(k: int, *ls: DataFrame) -> DataFrame:
+    f = fusion.rrf(_lists(*ls), k)
     return _ranked(f, [F.col("score").desc(), F.col("first.list_id"), F.col("first.rank"), "chunk_id"]).select("rank", "chunk_id", F.round("score", 9).alias("score"))
 
 
@@ -81,7 +83,7 @@ def local(ix: Index, low_vec: list[float], query: str, k: int) -> Result:
     hits = F.broadcast(_ranked(top, [F.col("score").desc(), "_id"]).select(F.element_at(F.split("_id", "\x1f"), 1).alias("namespace"), F.element_at(F.split("_id", "\x1f"), 2).alias("entity"), "rank", "score"))
     kg = _select(hits, ix.entity_chunks, ["namespace", "entity"], ix, k)
     ents = ix.nodes.join(hits, ["namespace", "entity"]).select("namespace", "entity", "entity_type", "description", "rank")
-    return Result(_fuse(kg, _bm25(ix, query, k)), ents, incident_edges(hits.select("namespace", "entity", "rank"), ix.edges))
+    return Result(_fuse(ix.rrf_k, kg, _bm25(ix, query, k)), ents, incident_edges(hits.select("namespace", "entity", "rank"), ix.edges))
 
 
 def global_(ix: Index, high_vec: list[float], k: int) -> Result:
@@ -103,12 +105,12 @@ def hybrid(ix: Index, low_vec: list[float], high_vec: list[float], query: str, k
     tag = lambda d, i: d.withColumn("side", F.lit(i))
     ents = fusion.first_by(tag(a.entities, 0).unionByName(tag(b.entities, 1)), ["entity"], ["side", "rank", "namespace"])
     rels = tag(a.relations, 0).unionByName(tag(b.relations, 1)).withColumn("lo", F.least("source", "target")).withColumn("hi", F.greatest("source", "target"))
-    return Result(_fuse(a.chunks, b.chunks), ents, fusion.first_by(rels, ["lo", "hi"], ["side", "rank", "namespace"]))
+    return Result(_fuse(ix.rrf_k, a.chunks, b.chunks), ents, fusion.first_by(rels, ["lo", "hi"], ["side", "rank", "namespace"]))
 
 
 def mix(ix: Index, query_vec: list[float], low_vec: list[float], high_vec: list[float], query: str, k: int) -> Result:
     h = hybrid(ix, low_vec, high_vec, query, k)
-    return Result(_fuse(h.chunks, naive(ix, query_vec, k).chunks), h.entities, h.relations)
+    return Result(_fuse(ix.rrf_k, h.chunks, naive(ix, query_vec, k).chunks), h.entities, h.relations)
 
 
 def search(ix: Index, mode: str, query: str, vectors: tuple[list[float], list[float], list[float]], k: int) -> Result:
@@ -131,17 +133,17 @@ def search(ix: Index, mode: str, query: str, vectors: tuple[list[float], list[fl
 
 def of_namespace(ix: Index, namespace: str) -> Index:
     """The tables of one of the namespaces."""
-    kept = {f.name: t.where(F.col("namespace") == namespace) for f in fields(ix) if (t := getattr(ix, f.name)) is not None}
+    kept = {f.name: t.where(F.col("namespace") == namespace) for f in fields(ix) if isinstance(t := getattr(ix, f.name), DataFrame)}
     return replace(ix, **kept)
 
 
-def fuse_namespaces(results: dict[str, DataFrame]) -> DataFrame:
+def fuse_namespaces(results: dict[str, DataFrame], k: int = fusion.RRF_K) -> DataFrame:
     """(rank, chunk_id, score, namespace): each namespace's chunk list is one list of the fusion; the first namespace wins for equal ids."""
     u = None
     for i, (n, x) in enumerate(results.items()):
         one = x.select(F.lit(i).alias("list_id"), F.col("rank").cast("int").alias("rank"), "chunk_id", F.lit(n).alias("namespace"))
         u = one if u is None else u.unionByName(one)
-    f = fusion.rrf(u, keep=["namespace"])
+    f = fusion.rrf(u, k, keep=["namespace"])
     return _ranked(f, [F.col("score").desc(), F.col("first.list_id"), F.col("first.rank"), "chunk_id"]).select("rank", "chunk_id", F.round("score", 9).alias("score"), "namespace")
 
 
@@ -159,4 +161,4 @@ def search_namespaces(indexes: dict[str, Index], mode: str, query: str, vectors:
             rels = one if rels is None else rels.unionByName(one)
     ents = ents if ents is None else fusion.first_by(ents, ["entity"], ["rank", "namespace"])
     rels = rels if rels is None else fusion.first_by(rels, ["lo", "hi"], ["rank", "namespace"]).drop("lo", "hi")
-    return Result(fuse_namespaces({n: r.chunks for n, r in rs.items()}), ents, rels)
+    return Result(fuse_namespaces({n: r.chunks for n, r in rs.items()}, next(iter(indexes.values())).rrf_k), ents, rels)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from docmill.functions import text as T
 from docmill.operators import bm25, chunking, context, enrich, fusion, graph, inspect, maintenance, retrieval, vector
-from docmill.plans.views import _STRIP, VEC, Views, sql
+from docmill.sources import files
+from docmill.plans.views import _key, _STRIP, VEC, Views, sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -67,11 +68,10 @@ def _(v):
     return chunking.heading_paths(chunking.markdown_sections(v.raw("documents").select("doc_id", "text")))
 
 
-@query("op_s11_mime_dispatch", "SELECT doc_id, CASE lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'md' THEN 'text' WHEN 'txt' THEN 'text' ELSE 'unsupported' END AS parser FROM (SELECT DISTINCT doc_id, coalesce(name, '') AS name FROM drive_documents)")
+@query("op_s11_mime_dispatch", "SELECT doc_id, CASE lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'md' THEN 'text' WHEN 'txt' THEN 'text' WHEN 'markdown' THEN 'text' WHEN '' THEN 'text' ELSE 'unsupported' END AS parser FROM (SELECT DISTINCT doc_id, coalesce(name, '') AS name FROM drive_documents)")
 def _(v):
-    ext = F.lower(F.regexp_extract("name", r"\.([A-Za-z0-9]+)$", 1))
     d = v.raw("drive_documents").select("doc_id", F.coalesce("name", F.lit("")).alias("name")).distinct()
-    return d.select("doc_id", F.when(ext == "pdf", "pdf").when(ext == "docx", "docx").when(ext.isin("md", "txt"), "text").otherwise("unsupported").alias("parser"))
+    return d.select("doc_id", files.parser_of(F.col("name")).alias("parser"))
 
 
 # --- lookups and navigation
@@ -79,8 +79,8 @@ def _(v):
 
 @query("op_p1_document", sql("SELECT doc_id, name, status, content_hash FROM docs WHERE doc_id = (SELECT min(doc_id) FROM drive_documents)", "docs"))
 def _(v):
-    one = v.raw("drive_documents").agg(F.min("doc_id").alias("doc_id"))
-    return v.docs.join(F.broadcast(one), "doc_id").select("doc_id", "name", "status", "content_hash")
+    one = F.broadcast(v.raw("drive_documents").agg(F.min("doc_id").alias("doc_id")))
+    return v.docs_among(one).select("doc_id", "name", "status", "content_hash")
 
 
 @query("op_p2_documents", sql("SELECT d.namespace, d.doc_id, d.name, d.status, coalesce(c.n, 0) AS n_chunks FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS n FROM ch GROUP BY 1) c USING (doc_id)", "docs", "ch"))
@@ -90,14 +90,15 @@ def _(v):
 
 @query("op_p3_chunk", sql("SELECT chunk_id, doc_id, text, page FROM ch WHERE chunk_id = (SELECT min(chunk_id) FROM chunks)", "ch"))
 def _(v):
-    one = v.raw("chunks").agg(F.min("chunk_id").alias("chunk_id"))
-    return v.chunks.join(F.broadcast(one), "chunk_id").select("chunk_id", "doc_id", "text", "page")
+    one = F.broadcast(v.raw("chunks").agg(F.min("chunk_id").alias("chunk_id")))
+    return v.chunks_among(one).select("chunk_id", "doc_id", "text", "page")
 
 
 @query("op_p4_chunks_by_doc", sql("SELECT chunk_id, sequence_index, text FROM ch WHERE doc_id = (SELECT min(doc_id) FROM chunks)", "ch"))
 def _(v):
-    one = v.raw("chunks").agg(F.min("doc_id").alias("doc_id"))
-    return v.chunks.join(F.broadcast(one), "doc_id").select("chunk_id", "sequence_index", "text").orderBy("sequence_index", "chunk_id")
+    one = F.broadcast(v.raw("chunks").agg(F.min("doc_id").alias("doc_id")))
+    # an id that any row gives to the document; whether its latest row does is seen after that
+    return v.chunks_among(v.raw("chunks").join(one, "doc_id")).join(one, "doc_id").select("chunk_id", "sequence_index", "text").orderBy("sequence_index", "chunk_id")
 
 
 @query("op_p5_chunk_detail", sql("SELECT c.chunk_id, c.doc_id, c.sequence_index, t.total, c.sequence_index > 0 AS has_previous, c.sequence_index < t.total - 1 AS has_next, coalesce(json_array_length(CASE WHEN json_valid(c.keywords) THEN c.keywords END), 0)::INT AS n_keywords, coalesce(d.name, c.doc_id) AS document FROM ch c JOIN (SELECT doc_id, count(*) AS total FROM ch GROUP BY 1) t USING (doc_id) LEFT JOIN docs d ON d.doc_id = c.doc_id", "ch", "docs"))
@@ -138,21 +139,18 @@ def _(v):
 # --- joins
 
 
-_SEEDS = "(SELECT chunk_id, doc_id, sequence_index FROM ch WHERE chunk_id IN (SELECT DISTINCT chunk_id FROM chunks ORDER BY chunk_id LIMIT 20))"
-
-
-def _some_chunks(v: Views, n: int = 20) -> list[str]:
-    return [r.chunk_id for r in v.raw("chunks").select("chunk_id").distinct().orderBy("chunk_id").limit(n).collect()]
+#: The query set of the navigation operators: every fiftieth chunk of each document, against all chunks.
+_SEEDS = "(SELECT chunk_id, doc_id, sequence_index FROM ch WHERE sequence_index % 50 = 0)"
 
 
 @query("op_j11_chunk_context", sql(f"SELECT t.chunk_id AS target, c.chunk_id, c.sequence_index, c.chunk_id = t.chunk_id AS is_target, t.sequence_index - 2 > 0 AS has_more_before, t.sequence_index + 2 < n.total - 1 AS has_more_after FROM {_SEEDS} t JOIN ch c ON c.doc_id = t.doc_id AND c.sequence_index BETWEEN greatest(0, t.sequence_index - 2) AND t.sequence_index + 2 JOIN (SELECT doc_id, count(*) AS total FROM ch GROUP BY 1) n ON n.doc_id = t.doc_id", "ch"))
 def _(v):
-    return inspect.chunk_context(v.chunks, _some_chunks(v))
+    return inspect.chunk_context(v.chunks, v.chunks.where("sequence_index % 50 = 0"))
 
 
 @query("op_j12_siblings", sql(f"SELECT t.chunk_id AS target, c.chunk_id, c.sequence_index FROM {_SEEDS} t JOIN ch c USING (doc_id)", "ch"))
 def _(v):
-    return inspect.siblings(v.chunks, _some_chunks(v))
+    return inspect.siblings(v.chunks, v.chunks.where("sequence_index % 50 = 0"))
 
 
 _HITS = "(SELECT namespace, entity, row_number() OVER (ORDER BY mentions DESC, namespace, entity) - 1 AS rank FROM nodes ORDER BY rank LIMIT 10)"
@@ -198,12 +196,9 @@ def _(v):
     return m.groupBy("namespace", "src", "tgt").agg(F.array_join(F.array_sort(F.collect_list("chunk_id")), ",").alias("chunk_ids"))
 
 
-@query("op_j7_chunk_rows", sql(f"SELECT c.chunk_id, c.namespace, c.text, c.doc_id AS source, c.sequence_index, c.sequence_index < n.total - 1 AS has_next, c.page, c.section FROM {_SEEDS} t JOIN ch c USING (chunk_id) JOIN (SELECT doc_id, count(*) AS total FROM ch GROUP BY 1) n ON n.doc_id = c.doc_id", "ch"))
+@query("op_j7_chunk_rows", sql(f"SELECT c.chunk_id, c.namespace, c.text, c.doc_id AS source, c.sequence_index, c.sequence_index < n.total - 1 AS has_next, c.page, c.section FROM ch c JOIN (SELECT doc_id, count(*) AS total FROM ch GROUP BY 1) n ON n.doc_id = c.doc_id", "ch"))
 def _(v):
-    ids = v.spark.createDataFrame([(x,) for x in _some_chunks(v)], "chunk_id string")
-    c = v.chunks.join(F.broadcast(ids), "chunk_id")
-    total = v.chunks.join(F.broadcast(c.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("total"))
-    return c.join(total, "doc_id").select("chunk_id", "namespace", "text", F.col("doc_id").alias("source"), "sequence_index", (F.col("sequence_index") < F.col("total") - 1).alias("has_next"), "page", "section")
+    return inspect.chunk_rows(v.chunks, v.chunks)
 
 
 @query("op_j8_communities_of_seeds", sql(f"SELECT m.namespace, m.community_id, m.entity FROM members m WHERE EXISTS (SELECT 1 FROM members x JOIN {_HITS} h USING (namespace, entity) WHERE x.namespace = m.namespace AND x.community_id = m.community_id) AND NOT EXISTS (SELECT 1 FROM {_HITS} h WHERE h.namespace = m.namespace AND h.entity = m.entity)", "nodes", "members"))
@@ -296,14 +291,14 @@ def _(v):
 # --- ranking, windows, search
 
 
-_LISTS = "(SELECT 0 AS list_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS rank, doc_id::VARCHAR AS chunk_id FROM documents WHERE n_chars IS NOT NULL QUALIFY rank < 300 UNION ALL SELECT 1, row_number() OVER (ORDER BY added_at, doc_id) - 1 AS rank, doc_id::VARCHAR FROM documents QUALIFY rank < 300)"
+_LISTS = "(SELECT 0 AS list_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS rank, doc_id::VARCHAR AS chunk_id FROM documents WHERE n_chars IS NOT NULL UNION ALL SELECT 1, row_number() OVER (ORDER BY added_at, doc_id) - 1 AS rank, doc_id::VARCHAR FROM documents)"
 
 
 def _two_lists(v: Views) -> DataFrame:
     d = v.raw("documents").select("doc_id", "n_chars", "added_at")
     out = None
     for i, (rows, order) in enumerate(((d.where("n_chars is not null"), [F.col("n_chars").desc(), "doc_id"]), (d, ["added_at", "doc_id"]))):
-        top = retrieval._ranked(rows.orderBy(*order).limit(300), order)
+        top = retrieval._ranked(rows, order)
         one = top.select(F.lit(i).alias("list_id"), F.col("rank").cast("int").alias("rank"), F.col("doc_id").cast("string").alias("chunk_id"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -341,7 +336,7 @@ def _(v):
     return enrich.batch_windows(v.chunks).groupBy("doc_id", "batch").agg(F.count("*").alias("n"))
 
 
-@query("op_w7_page_map")
+@query("op_w7_page_map", f"SELECT doc_id, head, max(page)::INT AS page FROM (SELECT doc_id, substr({_STRIP.format('p.text')}, 1, 80) AS head, p.page_number AS page FROM (SELECT doc_id, unnest(pages) AS p FROM parsed_documents)) WHERE head <> '' GROUP BY 1, 2")
 def _(v):
     return chunking.page_map(v.raw("parsed_documents"))
 
@@ -366,10 +361,21 @@ def _(v):
     return vector.vector_topk(v.raw("embeddings"), v.probe(3), 50, "vec_id", threshold=0.2)
 
 
-_TOK = "list_filter(string_split_regex(lower(coalesce({}, '')), '[^0-9a-z]+'), lambda x: x <> '')"
-_OCC = "len(list_filter(range(1, len({0}) + 0), lambda i: {0}[i] = 'the' AND {0}[i + 1] = 'cold'))"
+_TOK = "list_filter(string_split_regex(translate(lower(coalesce({}, '')), '" + bm25.accents()[0] + "', '" + bm25.accents()[1] + "'), '[^\\p{{L}}\\p{{N}}\\p{{Co}}]+'), lambda x: x <> '')"
+_OCC = "len(list_filter(range(1, len({0}) + 1), lambda i: {0}[i] = 'the' AND {0}[i + 1] = 'cold'))"
 _BM = f"""SELECT namespace, chunk_id, round(-(CASE WHEN ln((N - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((N - n + 0.5) / (n + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avg)), 6) AS score FROM (SELECT *, count(*) OVER w AS N, count(*) FILTER (WHERE f > 0) OVER w AS n, avg(len) OVER w AS avg FROM (SELECT namespace, chunk_id, len(a) + len(b) + len(c) + len(d) AS len, {_OCC.format('a')} + {_OCC.format('b')} + {_OCC.format('c')} + {_OCC.format('d')} AS f FROM (SELECT namespace, chunk_id, {_TOK.format('text')} AS a, {_TOK.format('keywords')} AS b, {_TOK.format('expanded_keywords')} AS c, {_TOK.format('summary')} AS d FROM ch)) WINDOW w AS (PARTITION BY namespace)) WHERE f > 0"""
 _BM = _BM.replace(" AS N,", " AS total_n,").replace("(N - n", "(total_n - n")
+_BM3 = _BM.replace("[i + 1] = 'cold'", "[i + 1] = 'cold' AND {0}[i + 2] = 'room'")
+for _c in "abcd":  # the phrase of the composed modes: "the cold room"
+    _BM3 = _BM3.replace(f"{_c}[i + 1] = 'cold' AND {{0}}", f"{_c}[i + 1] = 'cold' AND {_c}")
+
+
+def _w6(src: str, k: int) -> str:
+    """(rank, chunk_id) of the weighted selection over different (source_rank, chunk_id) rows: the fold over the sources as a list reduction."""
+    ranked = f"SELECT source_rank, list(chunk_id ORDER BY f DESC, chunk_id) AS ids FROM ({src}) JOIN (SELECT chunk_id, count(*) AS f FROM ({src}) GROUP BY 1) USING (chunk_id) GROUP BY 1"
+    quota = f"SELECT i, ids, greatest(1, floor((n - i) / (n * (n + 1) / 2.0) * greatest({k}, n)))::BIGINT AS q FROM (SELECT *, row_number() OVER (ORDER BY source_rank) - 1 AS i, count(*) OVER () AS n FROM ({ranked}))"
+    fold = f"SELECT list_reduce(list_prepend({{'ids': []::VARCHAR[], 'q': 0::BIGINT}}, list({{'ids': ids, 'q': q}} ORDER BY i)), lambda a, x: {{'ids': list_concat(a.ids, list_filter(x.ids, lambda c: NOT list_contains(a.ids, c))[1:x.q]), 'q': 0::BIGINT}}).ids AS ids FROM ({quota})"
+    return f"SELECT unnest(range(0, len(ids))) AS rank, unnest(ids) AS chunk_id FROM ({fold})"
 
 
 @query("op_t2_bm25_phrase", sql(_BM, "ch"))
@@ -383,10 +389,10 @@ def _(v):
     return p.groupBy("namespace", "term").agg(F.count("*").alias("n_postings"), F.sum(F.size("positions")).alias("n_positions"))
 
 
-@query("op_w6_weighted_selection")
+@query("op_w6_weighted_selection", sql(_w6(f"SELECT DISTINCT rank AS source_rank, chunk_id FROM ec JOIN {_HITS} USING (namespace, entity)", 30), "nodes", "ec"))
 def _(v):
     m = graph.entity_chunks(v.ents).join(F.broadcast(_hits(v)), ["namespace", "entity"])
-    return fusion.weighted_rows(m.select(F.col("rank").alias("source_rank"), "chunk_id"), 30, 10)
+    return fusion.weighted_rows(m.select(F.col("rank").alias("source_rank"), "chunk_id").distinct(), 30, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 # --- retrieval modes
@@ -404,34 +410,64 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
     return QUERIES["op_r5_naive"](spark, sf_dir)
 
 
-@query("op_r1_local")
+def _near(keys: str, cols: list[str], probe: int) -> str:
+    """(cols, rank) of the ten keys nearest to a probe vector."""
+    joined, ident = (f"concat_ws('{c}', {', '.join(cols)})" for c in ("|", "\x1f"))
+    score = f"round(list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {probe})), 6)"
+    return f"(SELECT {', '.join(cols)}, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM (SELECT * FROM (SELECT k.*, {ident} AS id, {score} AS score FROM (SELECT *, {VEC.format(joined)} AS vec_id FROM (SELECT DISTINCT {', '.join(cols)} FROM {keys})) k JOIN embeddings e USING (vec_id)) ORDER BY score DESC, id LIMIT {TOP_K}) WHERE score >= 0)"
+
+
+def _chunks_of(hits: str, mapped: str, cols: list[str]) -> str:
+    return _w6(f"SELECT DISTINCT rank AS source_rank, chunk_id FROM {hits} JOIN {mapped} USING ({', '.join(cols)})", TOP_K)
+
+
+def _rrf(*lists: str) -> str:
+    """(rank, chunk_id, score) of the fusion of (rank, chunk_id) lists."""
+    u = " UNION ALL ".join(f"SELECT {i} AS list_id, rank, chunk_id FROM ({x})" for i, x in enumerate(lists))
+    return f"SELECT row_number() OVER (ORDER BY s DESC, f, chunk_id) - 1 AS rank, chunk_id, round(s, 9) AS score FROM (SELECT chunk_id, sum(1.0::DOUBLE / (61 + rank)) AS s, min((list_id, rank)) AS f FROM ({u}) GROUP BY 1)"
+
+
+_ENT, _REL = ["namespace", "entity"], ["namespace", "src", "tgt"]
+_PHRASE = f"SELECT row_number() OVER (ORDER BY score, chunk_id) - 1 AS rank, chunk_id FROM ({_BM3} ORDER BY score, chunk_id LIMIT {TOP_K})"
+_LOCAL = _rrf(_chunks_of(_near("ec", _ENT, 1), "ec", _ENT), _PHRASE)
+_GLOBAL = _chunks_of(_near("rc", _REL, 2), "rc", _REL)
+_NAIVE = f"SELECT row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS rank, chunk_id FROM {_CV} WHERE score >= 0"
+_SEEDED = f"(SELECT namespace, entity, min(rank) AS rank FROM (SELECT namespace, rank, unnest([src, tgt]) AS entity FROM {_near('rc', _REL, 2)}) GROUP BY ALL)"
+_EXPANDED = f"SELECT n.namespace, n.entity, n.entity_type, n.description, x.rank FROM nodes n JOIN (SELECT * FROM {_SEEDED} UNION ALL SELECT DISTINCT m.namespace, m.entity, 1073741824 AS rank FROM members m WHERE (m.namespace, m.community_id) IN (SELECT (namespace, community_id) FROM members JOIN {_SEEDED} USING (namespace, entity)) AND (m.namespace, m.entity) NOT IN (SELECT (namespace, entity) FROM {_SEEDED})) x USING (namespace, entity)"
+
+
+def _long(df: DataFrame) -> DataFrame:
+    return df.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("op_r1_local", sql(_LOCAL, "ch", "ec"))
 def _(v):
-    return retrieval.local(v.index(), v.probe(1), "the cold room", TOP_K).chunks
+    return _long(retrieval.local(v.index(), v.probe(1), "the cold room", TOP_K).chunks)
 
 
-@query("op_r2_global")
+@query("op_r2_global", sql(_GLOBAL, "rc"))
 def _(v):
-    return retrieval.global_(v.index(), v.probe(2), TOP_K).chunks
+    return _long(retrieval.global_(v.index(), v.probe(2), TOP_K).chunks.select("rank", "chunk_id"))
 
 
-@query("op_r2_global_entities")
+@query("op_r2_global_entities", sql(_EXPANDED, "rc", "nodes", "members"))
 def _(v):
-    return retrieval.global_(v.index(), v.probe(2), TOP_K).entities
+    return _long(retrieval.global_(v.index(), v.probe(2), TOP_K).entities)
 
 
-@query("op_r3_hybrid")
+@query("op_r3_hybrid", sql(_rrf(_LOCAL, _GLOBAL), "ch", "ec", "rc"))
 def _(v):
-    return retrieval.hybrid(v.index(), v.probe(1), v.probe(2), "the cold room", TOP_K).chunks
+    return _long(retrieval.hybrid(v.index(), v.probe(1), v.probe(2), "the cold room", TOP_K).chunks)
 
 
-@query("op_r4_mix")
+@query("op_r4_mix", sql(_rrf(_rrf(_LOCAL, _GLOBAL), _NAIVE), "ch", "ec", "rc"))
 def _(v):
-    return retrieval.mix(v.index(), v.probe(0), v.probe(1), v.probe(2), "the cold room", TOP_K).chunks
+    return _long(retrieval.mix(v.index(), v.probe(0), v.probe(1), v.probe(2), "the cold room", TOP_K).chunks)
 
 
-@query("op_r6_bypass_retrieve")
+@query("op_r6_bypass_retrieve", sql(_LOCAL, "ch", "ec"))
 def _(v):
-    return retrieval.search(v.index(), "bypass", "the cold room", (v.probe(0), v.probe(1), v.probe(2)), TOP_K).chunks
+    return _long(retrieval.search(v.index(), "bypass", "the cold room", (v.probe(0), v.probe(1), v.probe(2)), TOP_K).chunks)
 
 
 _NS = "(SELECT c.namespace, k.chunk_id, round(list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM ch c JOIN (SELECT DISTINCT chunk_id, " + VEC.format("chunk_id") + " AS vec_id FROM chunks) k USING (chunk_id) JOIN embeddings e USING (vec_id))"
@@ -446,10 +482,10 @@ def _(v):
     return retrieval.fuse_namespaces(lists).select("chunk_id", "score")
 
 
-@query("op_r10_context_items", sql("SELECT namespace, entity, cost FROM (SELECT namespace, entity, cost, sum(cost) OVER (ORDER BY mentions DESC, namespace, entity ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT namespace, entity, mentions, ((length(entity) + length(entity_type) + 40) // 4)::BIGINT AS cost FROM nodes ORDER BY mentions DESC, namespace, entity LIMIT 500)) WHERE run <= 4000", "nodes"))
+@query("op_r10_context_items", sql("SELECT namespace, entity, cost FROM (SELECT namespace, entity, cost, sum(cost) OVER (ORDER BY mentions DESC, namespace, entity ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT namespace, entity, mentions, ((length(entity) + length(entity_type) + 40) // 4)::BIGINT AS cost FROM nodes)) WHERE run <= 4000", "nodes"))
 def _(v):
-    n = v.nodes.select("namespace", "entity", "mentions", F.floor((F.length("entity") + F.length("entity_type") + 40) / 4).cast("long").alias("cost")).orderBy(F.col("mentions").desc(), "namespace", "entity").limit(500)
-    return fusion.budget_prefix(n, "cost", 4000, [], [F.col("mentions").desc(), "namespace", "entity"]).select("namespace", "entity", "cost")
+    n = v.nodes.select("namespace", "entity", "mentions", F.floor((F.length("entity") + F.length("entity_type") + 40) / 4).cast("long").alias("cost"))
+    return fusion.budget_prefix(n, "cost", 4000, [], [F.col("mentions").desc(), "namespace", "entity"], least=10).select("namespace", "entity", "cost")
 
 
 _ANS = "(SELECT doc_id, text || ' [1] and [2][11], again [1].' AS answer FROM documents WHERE text IS NOT NULL)"
@@ -464,7 +500,7 @@ def _(v):
 @query("op_r11_strip_citations", f"SELECT doc_id, regexp_replace(answer, '\\s*\\[\\d+\\]', '', 'g') AS answer FROM {_ANS}")
 def _(v):
     a = v.raw("documents").where("text is not null").select("doc_id", F.concat("text", F.lit(" [1] and [2][11], again [1].")).alias("answer"))
-    return a.select("doc_id", F.regexp_replace("answer", r"[\t\n\f\r ]*\[\d+\]", "").alias("answer"))
+    return a.select("doc_id", T.without_citations(F.col("answer")).alias("answer"))
 
 
 @query("op_j13_cited_documents", sql("SELECT a.id, coalesce(d.name, '') AS name, coalesce(d.url, '') AS url FROM api_calls a LEFT JOIN ch c USING (chunk_id) LEFT JOIN docs d ON d.doc_id = c.doc_id", "ch", "docs"))
@@ -550,12 +586,12 @@ def _(v):
     return v.chunks.select("chunk_id", enrich.embedding_text(F.col("text"), T.json_list(F.col("keywords"))).alias("embedded"))
 
 
-@query("op_a9_keyword_merge")
+@query("op_a9_keyword_merge", sql("SELECT chunk_id, array_to_string(list_reduce(list_prepend(CASE WHEN json_valid(keywords) THEN from_json(keywords, '[\"VARCHAR\"]') ELSE [] END, list_transform(string_split(category, '_'), lambda k: [k])), lambda a, k: CASE WHEN trim(k[1]) = '' OR list_contains(list_transform(a, lambda y: lower(trim(y))), lower(trim(k[1]))) THEN a ELSE list_append(a, trim(k[1])) END), ',') AS keywords FROM ch", "ch"))
 def _(v):
     return v.chunks.select("chunk_id", F.array_join(enrich.merge_keywords(T.json_list(F.col("keywords")), F.split("category", "_")), ",").alias("keywords"))
 
 
-@query("op_a8_gleaning")
+@query("op_a8_gleaning", f"SELECT chunk_id, k, arg_min(name, (turn, ordinal, name)) AS name, arg_min(turn, (turn, ordinal, name))::INT AS turn FROM (SELECT DISTINCT chunk_id, {_key('name')} AS k, name, ordinal % 2 AS turn, ordinal FROM entity_extractions WHERE name IS NOT NULL) GROUP BY 1, 2")
 def _(v):
     e = v.raw("entity_extractions").where("name is not null").distinct()
     return enrich.glean_entities(e.where("ordinal % 2 = 0").select("chunk_id", "ordinal", "name"), e.where("ordinal % 2 = 1").select("chunk_id", "ordinal", "name"))

@@ -11,6 +11,11 @@ from docmill.operators.retrieval import Index
 from docmill.storage import table
 
 
+#: What tells which of several rows of one document or chunk is the latest.
+DOC_ORDER = ["synced_at", "drive_modified_time", "content_hash", "status", "name", "file_size", "url", "namespace"]
+CHUNK_ORDER = ["ingested_at", "sequence_index", "doc_id", "token_count", "page", "section", "summary", "keywords", "category", "lang", "namespace"]
+
+
 class Views:
     """Lazy views over one folder of tables."""
 
@@ -22,11 +27,18 @@ class Views:
 
     @property
     def docs(self) -> DataFrame:
-        return last_per_key(self.raw("drive_documents"), ["doc_id"], ["synced_at", "drive_modified_time", "content_hash", "status", "name", "file_size", "url", "namespace"])
+        return last_per_key(self.raw("drive_documents"), ["doc_id"], DOC_ORDER)
 
     @property
     def chunks(self) -> DataFrame:
-        return last_per_key(self.raw("chunks"), ["chunk_id"], ["ingested_at", "sequence_index", "doc_id", "token_count", "page", "section", "summary", "keywords", "category", "lang", "namespace"])
+        return last_per_key(self.raw("chunks"), ["chunk_id"], CHUNK_ORDER)
+
+    def chunks_among(self, ids: DataFrame) -> DataFrame:
+        """The latest rows of some chunk ids; the other rows never reach the aggregate."""
+        return last_per_key(self.raw("chunks").join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi"), ["chunk_id"], CHUNK_ORDER)
+
+    def docs_among(self, ids: DataFrame) -> DataFrame:
+        return last_per_key(self.raw("drive_documents").join(ids.select("doc_id").distinct(), "doc_id", "left_semi"), ["doc_id"], DOC_ORDER)
 
     @property
     def ents(self) -> DataFrame:
@@ -46,7 +58,7 @@ class Views:
 
     def vectors(self, df: DataFrame, *key: str) -> DataFrame:
         """A synthetic pairing: the vector whose number is a hash of the key."""
-        h = F.conv(F.substring(F.md5(F.concat_ws("|", *key)), 1, 6), 16, 10).cast("long") % 500
+        h = F.conv(F.substring(F.md5(F.concat_ws("|", *key)), 1, 6), 16, 10).cast("long") % self.raw("embeddings").count()
         return df.select(*key).distinct().withColumn("vec_id", h).join(self.raw("embeddings").select("vec_id", "embedding"), "vec_id").drop("vec_id")
 
     def probe(self, vec_id: int) -> list[float]:
@@ -68,8 +80,8 @@ _key = lambda c: "lower(" + _STRIP.format(c) + ")"
 _DESC = """SELECT {k}, CASE WHEN count(*) > 3 THEN string_agg(description, ' | ' ORDER BY r) FILTER (WHERE r <= 3) || ' (+' || (count(*) - 3) || ' more)' ELSE string_agg(description, ' | ' ORDER BY r) END AS description
   FROM (SELECT {k}, description, row_number() OVER (PARTITION BY {k} ORDER BY p, description) AS r FROM (SELECT {k}, description, min(pos) AS p FROM {t} WHERE description <> '' GROUP BY ALL)) GROUP BY {k}"""
 CTE = {
-    "docs": (_last("drive_documents", "doc_id", ["synced_at", "drive_modified_time", "content_hash", "status", "name", "file_size", "url", "namespace"]), []),
-    "ch": (_last("chunks", "chunk_id", ["ingested_at", "sequence_index", "doc_id", "token_count", "page", "section", "summary", "keywords", "category", "lang", "namespace"]), []),
+    "docs": (_last("drive_documents", "doc_id", DOC_ORDER), []),
+    "ch": (_last("chunks", "chunk_id", CHUNK_ORDER), []),
     "ents": (f"SELECT DISTINCT extraction_id AS pos, namespace, chunk_id, {_key('name')} AS entity, coalesce(nullif({_key('type')}, ''), 'other') AS type, coalesce(description, '') AS description FROM entity_extractions WHERE {_key('name')} <> ''", []),
     "rels": (f"SELECT DISTINCT relation_id AS pos, namespace, chunk_id, least(a, b) AS src, greatest(a, b) AS tgt, keywords, description FROM (SELECT *, {_key('source')} AS a, {_key('target')} AS b, coalesce(keywords, '') AS kw, coalesce(description, '') AS de FROM relation_extractions) WHERE a <> '' AND b <> '' AND a <> b".replace("keywords, description FROM (", "kw AS keywords, de AS description FROM ("), []),
     "edesc": (_DESC.format(k="namespace, entity", t="ents"), ["ents"]),
@@ -80,7 +92,7 @@ CTE = {
     "rc": ("SELECT DISTINCT namespace, src, tgt, chunk_id FROM rels", ["rels"]),
     "members": ("SELECT DISTINCT namespace, substr(md5(entity), 1, 2) AS community_id, entity FROM ec", ["ec"]),
 }
-VEC = "CAST('0x' || substr(md5({}), 1, 6) AS BIGINT) % 500"
+VEC = "CAST('0x' || substr(md5({}), 1, 6) AS BIGINT) % (SELECT count(*) FROM embeddings)"
 
 
 def sql(body: str, *names: str) -> str:

@@ -4,21 +4,27 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-# Stages and the percent that is done when they begin, and their widths.
-STAGES = {"queued": (0, 0), "downloading": (0, 5), "parsing": (5, 5), "chunking": (10, 5), "enriching": (15, 60), "embedding": (75, 10), "merging": (85, 10), "saving": (95, 5), "done": (100, 0)}
+# The stages in order with their share of a document's work in percent.
+STAGES = {"parsing": 5, "chunking": 5, "enriching": 45, "embedding": 20, "saving": 5, "merging_entities": 10, "merging_relationships": 10}
 
 
 @dataclass
 class DocumentProgress:
     name: str
-    stage: str = "queued"
+    stage: str = ""
     done: int = 0
     total: int = 0
 
     @property
     def percent(self) -> int:
-        start, width = STAGES[self.stage]
-        return int(start + width * (self.done / self.total if self.total > 0 else 0))
+        """What the stages before and the done part of this one come to; an unknown stage is nothing yet."""
+        if self.stage == "done":
+            return 100
+        names = list(STAGES)
+        if self.stage not in names:
+            return 0
+        part = self.done / self.total if self.total > 0 else 0
+        return min(100, int(sum(STAGES[n] for n in names[: names.index(self.stage)]) + STAGES[self.stage] * part))
 
 
 @dataclass

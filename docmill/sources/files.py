@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 PARSED = "filename string, text string, pages array<struct<page_number:int,text:string>>, sections array<struct<heading:string,text:string,level:int>>, error string"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -40,6 +42,21 @@ def _markdown(text: str) -> list[dict]:
     return [s for s in out if s["text"]]
 
 
+def _plain(text: str) -> list[dict]:
+    """Sections of a text without marks: lines that look like headings begin one; fewer than two are none."""
+    lines = text.split("\n")
+    t = [x.strip() for x in lines]
+    at = []
+    for i, x in enumerate(t):
+        before, after, n = t[i - 1] if i else "", t[i + 1] if i + 1 < len(t) else "", len(x.split())
+        if x and len(x) <= 120 and x[-1] not in ".!?;,:'\"" and n <= 15 and (not before and not after or n <= 10 and len(after) > 1.5 * len(x)):
+            at.append(i)
+    if len(at) < 2:
+        return []
+    out = [{"heading": t[i], "text": "\n".join(lines[i + 1 : j]).strip(), "level": 1} for i, j in zip(at, [*at[1:], len(t)])]
+    return [s for s in out if s["text"]]
+
+
 def parse_docx(content: bytes) -> tuple[str, list[dict]]:
     """Text and sections of a word-processor file; only the standard library is needed."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -97,6 +114,16 @@ def _pdf_lines(doc) -> list[tuple[float, str]]:
     return out
 
 
+#: Parsers by the ending of a file's name.
+PARSERS = {"pdf": "pdf", "docx": "docx", "md": "text", "markdown": "text", "txt": "text", "": "text"}
+
+
+def parser_of(name: Column) -> Column:
+    """pdf, docx, text or unsupported, by the name's ending; a name without one is text."""
+    ext = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PARSERS.items() for x in kv]), ext), F.lit("unsupported"))
+
+
 def parse_bytes(filename: str, content: bytes) -> dict:
     ext = filename.rsplit(".", 1)[-1].lower() if "." in filename else ""
     pages: list[dict] = []
@@ -111,9 +138,9 @@ def parse_bytes(filename: str, content: bytes) -> dict:
         pages = [{"page_number": i + 1, "text": p.get_text()} for i, p in enumerate(doc)]
         text = "\n\n".join(p["text"] for p in pages)
         sections = pdf_sections(_pdf_lines(doc), text)
-    elif ext in ("txt", "md", "markdown", ""):
+    elif PARSERS.get(ext) == "text":
         text = content.decode("utf-8", "replace")
-        sections = _markdown(text)
+        sections = _markdown(text) or _plain(text)
     else:
         raise UnsupportedFileType(filename)
     return {"filename": filename, "text": text, "pages": pages, "sections": sections, "error": None}
@@ -152,9 +179,21 @@ class TableStore:
         return fs.exists(p)
 
     def read(self, name: str, namespace: str | None = None) -> DataFrame:
-        df = self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/{name}")
+        p, fs = self._fs(f"{self.root}/_{name}.schema")
+        r = self.spark.read.option("mergeSchema", True)
+        if fs.exists(p):  # a table without rows has no files that tell its columns
+            f = fs.open(p)
+            r = r.schema(StructType.fromJson(json.loads(bytes(f.readAllBytes()).decode())))
+            f.close()
+        df = r.parquet(f"{self.root}/{name}")
         return df if namespace is None else df.where(F.col("namespace") == namespace)
 
+    def _keep_schema(self, name: str, df: DataFrame) -> None:
+        p, fs = self._fs(f"{self.root}/_{name}.schema")
+        f = fs.create(p, True)
+        f.write(bytearray(df.schema.json().encode()))
+        f.close()
+
     def replace(self, name: str, df: DataFrame) -> None:
         new, fs = self._fs(f"{self.root}/_{name}.new")
         fs.delete(new, True)
@@ -167,8 +206,21 @@ class TableStore:
             fs.rename(old, gone)
         fs.rename(new, old)
         fs.delete(gone, True)
+        self._keep_schema(name, df)
+
+    def replace_namespaces(self, name: str, df: DataFrame, namespaces: list[str]) -> None:
+        """The rows of some namespaces anew; the folders of the others are not touched. ``df`` must not read the same table."""
+        if not self.exists(name):
+            self.replace(name, df)
+            return
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace").parquet(f"{self.root}/{name}")
+        left = {r.namespace for r in df.select("namespace").distinct().collect()}
+        for n in set(namespaces) - left:
+            self.drop_namespace(n, [name])
 
     def append(self, name: str, df: DataFrame) -> None:
+        if not self.exists(name):
+            self._keep_schema(name, df)
         w = df.write.mode("append")
         (w.partitionBy("namespace") if "namespace" in df.columns else w).parquet(f"{self.root}/{name}")
 
