@@ -12,13 +12,15 @@ from docmill.config import Settings
 from docmill.functions.text import citation_refs, strip, without_citations
 from docmill.operators import chunking, context, enrich, graph, maintenance, retrieval
 from docmill.operators.latest import upsert
-from docmill.providers import Completer, Embedder, complete, embed
+from docmill.providers import Completer, Embedder, call_records, complete, embed
 from docmill.sources.files import TableStore
+from docmill.storage import materialize
 
 TABLES = ["documents", "chunks", "enrichments", "chunk_vectors", "entity_vectors", "relation_vectors"]
 EXTRACT = "Read the passage and reply with JSON: entities (name, type, description), relationships (source, target, keywords, description), keywords, summary.\n\n"
 GLEAN = "The first extraction may have missed something. Read the text again and reply with JSON of the further entities and relationships only.\n\n"
 CONTEXT = "For each of these consecutive chunks list contextual keywords that are not in it but help to understand it: one line of keywords with commas between them for each chunk, and a line of --- between the lines.\n\n"
+SUMMARY = "Write one short description from these descriptions of one thing.\n\n"
 KEYWORDS = 'Reply with JSON {"high_level": [...], "low_level": [...]} for the question: '
 ANSWER = "Answer from the context only and cite chunks as [n].\n\n"
 
@@ -54,7 +56,9 @@ class Engine:
         c = self.settings.chunking
         keep = [x for x in ("doc_id", "namespace", "name", "text", "sections", "pages") if x in docs.columns]
         new = chunking.chunk_documents(docs.select(*keep), c.max_chunk_tokens, c.overlap_tokens).dropDuplicates(["namespace", "chunk_id"])
-        rows = self._enriched(new)
+        # written once: the model is asked once for a chunk, and all tables come from the same replies
+        rows = materialize(self._enriched(new), "replies")
+        touched = materialize(docs.select("namespace").distinct(), "touched")  # before the index that decides on it is replaced
         cols = ["namespace", "doc_id", "chunk_id", "sequence_index", "text", "section", "page", "token_count"]
         chunks = rows.select(*cols, F.to_json(enrich.merge_keywords(F.col("r.keywords"), F.col("extra"))).alias("keywords"), F.lit("[]").alias("expanded_keywords"), F.col("r.summary").alias("summary"), enrich.embedding_text(F.col("text"), F.col("extra")).alias("embedded"))
         enriched = rows.select("namespace", "doc_id", "chunk_id", "r.entities", "r.relationships")
@@ -63,7 +67,8 @@ class Engine:
             self.store.replace(name, maintenance.purge(self.store.read(name), docs).unionByName(df) if self.store.exists(name) else df)
         meta = docs.select("doc_id", "namespace", "name", "content_hash", F.lit("indexed").alias("status"))
         self.store.replace("documents", upsert(self.store.read("documents"), meta, ["doc_id"]) if self.store.exists("documents") else meta)
-        self._vectors()
+        self.store.append("api_calls", call_records(rows, "llm", self.settings.model, "extract", "text", "reply").unionByName(call_records(rows, "embedding", self.settings.embedding_model, "embed_chunks", "text")))
+        self._vectors(touched)
 
     def _contextual(self, new: DataFrame) -> DataFrame:
         """Chunks with their contextual keywords as ``extra``; one prompt for each batch of a document's chunks."""
@@ -82,20 +87,22 @@ class Engine:
         """Chunks with ``extra`` and the parsed reply ``r``, gleaned once more where that is set."""
         rows = self._contextual(new)
         rows = complete(rows.withColumn("prompt", F.concat(F.lit(EXTRACT), enrich.embedding_text(F.col("text"), F.col("extra")))), "prompt", self.completer)
-        rows = rows.withColumn("r", enrich.parse_reply(F.col("reply"))).drop("prompt", "reply")
+        rows = rows.withColumn("r", enrich.parse_reply(F.col("reply"))).drop("prompt")
         if not self.settings.ingestion.enable_gleaning:
             return rows
         found = F.concat(F.lit("Found before: "), F.size("r.entities").cast("string"), F.lit(" entities, "), F.size("r.relationships").cast("string"), F.lit(" relationships."))
-        again = complete(rows.withColumn("prompt", F.concat(F.lit(GLEAN), F.col("text"), F.lit("\n\n"), found)), "prompt", self.completer)
-        return again.withColumn("r", enrich.glean_reply(F.col("r"), enrich.parse_reply(F.col("reply")))).drop("prompt", "reply")
+        again = complete(rows.drop("reply").withColumn("prompt", F.concat(F.lit(GLEAN), F.col("text"), F.lit("\n\n"), found)), "prompt", self.completer)
+        return again.withColumn("r", enrich.glean_reply(F.col("r"), enrich.parse_reply(F.col("reply")))).drop("prompt")
 
-    def _vectors(self) -> None:
-        ix = self._graph()
-        nodes, edges = ix
+    def _vectors(self, namespaces: DataFrame) -> None:
+        """Vectors of the graph anew, of the touched namespaces only."""
+        touched = F.broadcast(namespaces)
+        nodes, edges = (x.join(touched, "namespace", "left_semi") for x in self._graph())
         ev = embed(nodes.select("namespace", "entity", F.concat_ws("\n", "entity", "description").alias("t")), "t", self.embedder).drop("t")
         rv = embed(edges.select("namespace", "src", "tgt", F.concat_ws("\t", "keywords", "src", "tgt", "description").alias("t")), "t", self.embedder).drop("t")
-        self.store.replace("entity_vectors", ev)
-        self.store.replace("relation_vectors", rv)
+        names = [r.namespace for r in touched.collect()]
+        self.store.replace_namespaces("entity_vectors", ev, names)
+        self.store.replace_namespaces("relation_vectors", rv, names)
 
     def _occurrences(self) -> tuple[DataFrame, DataFrame]:
         e = self.store.read("enrichments")
@@ -105,7 +112,19 @@ class Engine:
 
     def _graph(self) -> tuple[DataFrame, DataFrame]:
         ents, rels = self._occurrences()
-        return graph.merge_entities(ents), graph.merge_relations(rels)
+        return self._merged(ents, rels)
+
+    def _merged(self, ents: DataFrame, rels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges; those with many descriptions get the model's summary of them where that is set."""
+        nodes, edges = graph.merge_entities(ents), graph.merge_relations(rels)
+        if not self.settings.ingestion.enable_llm_summary:
+            return nodes, edges
+        out = []
+        for merged, occ, key in ((nodes, ents, ["namespace", "entity"]), (edges, rels, ["namespace", "src", "tgt"])):
+            many = graph.many_descriptions(occ, key, self.settings.ingestion.min_descriptions)
+            prompt = F.concat(F.lit(SUMMARY), F.concat_ws(" - ", *key[1:]), F.lit("\n"), F.array_join("descriptions", "\n"))
+            out.append(graph.with_summaries(merged, materialize(complete(many.withColumn("prompt", prompt), "prompt", self.completer), "summaries"), key))
+        return out[0], out[1]
 
     def index(self, namespaces: list[str] | None = None) -> retrieval.Index:
         known = {r.namespace for r in self.store.read("documents").select("namespace").distinct().collect()}
@@ -113,9 +132,9 @@ class Engine:
             raise NamespaceNotFound(sorted(bad)[0])
         keep = lambda d: d if not namespaces else d.where(F.col("namespace").isin(*namespaces))
         ents, rels = (keep(x) for x in self._occurrences())
-        edges = graph.merge_relations(rels)
+        nodes, edges = self._merged(ents, rels)
         comm = graph.communities(edges) if self.settings.retrieval.enable_community_search else None
-        return retrieval.Index(keep(self.store.read("chunks")), graph.merge_entities(ents), edges, graph.entity_chunks(ents), graph.relation_chunks(rels), keep(self.store.read("chunk_vectors")), keep(self.store.read("entity_vectors")), keep(self.store.read("relation_vectors")), comm)
+        return retrieval.Index(keep(self.store.read("chunks")), nodes, edges, graph.entity_chunks(ents), graph.relation_chunks(rels), keep(self.store.read("chunk_vectors")), keep(self.store.read("entity_vectors")), keep(self.store.read("relation_vectors")), comm, self.settings.retrieval.rrf_k)
 
     def retrieve(self, question: str, mode: str | None = None, top_k: int | None = None, namespaces: list[str] | None = None) -> retrieval.Result:
         high, low = parse_keywords(self.completer.complete(KEYWORDS + question), question)
@@ -144,9 +163,10 @@ class Engine:
 
     def delete_document(self, doc_id: str) -> None:
         ids = self.spark.createDataFrame([(doc_id,)], "doc_id string")
+        touched = materialize(self.store.read("documents").join(F.broadcast(ids), "doc_id", "left_semi").select("namespace").distinct(), "touched")
         for n in ("chunks", "enrichments", "chunk_vectors", "documents"):
             self.store.replace(n, maintenance.purge(self.store.read(n), ids))
-        self._vectors()
+        self._vectors(touched)
 
     def drop_namespace(self, namespace: str) -> None:
         self.store.drop_namespace(namespace, TABLES)

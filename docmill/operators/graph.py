@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.text import entity_key, strip
@@ -44,6 +44,21 @@ def _first_descriptions(occ: DataFrame, key: list[str]) -> DataFrame:
     return out.select(*key, F.when(F.col("n") > 3, F.concat(head, F.lit(" (+"), (F.col("n") - 3).cast("string"), F.lit(" more)"))).otherwise(head).alias("description"))
 
 
+def many_descriptions(occ: DataFrame, key: list[str], least: int, most: int = 40) -> DataFrame:
+    """(key…, n, descriptions) of the keys with at least ``least`` different descriptions: the first ``most`` in order, for a summary, and how many there are."""
+    first = occ.where("description <> ''").groupBy(*key, "description").agg(F.min("pos").alias("p"))
+    n = first.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    some = first.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("p", "description"))).where(F.col("r") <= most)
+    g = some.join(n, key).groupBy(*key, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "description"))), lambda x: x["description"]).alias("descriptions"))
+    return g.select(*key, "n", "descriptions")
+
+
+def with_summaries(merged: DataFrame, summaries: DataFrame, key: list[str]) -> DataFrame:
+    """Nodes or edges whose description is the summary (key…, reply) where there is one that is not blank."""
+    s = summaries.select(*key, F.nullif(strip(F.col("reply")), F.lit("")).alias("_s"))
+    return merged.join(s, key, "left").withColumn("description", F.coalesce("_s", "description")).drop("_s").select(*merged.columns)
+
+
 def merge_entities(occ: DataFrame) -> DataFrame:
     """Nodes (namespace, entity, entity_type, description, mentions): the most common type, the first seen on a tie."""
     key = ["namespace", "entity"]

@@ -66,6 +66,21 @@ def embed(df: DataFrame, text_col: str, embedder: Embedder, batch: int = 64, mos
     return df.withColumn("embedding", run(F.col(text_col)))
 
 
+CALLS = "id string, call_type string, model string, document_name string, chunk_id string, operation string, input_tokens bigint, output_tokens bigint, created_at timestamp, namespace string"
+
+
+def call_records(rows: DataFrame, call_type: str, model: str, operation: str, sent: str, reply: str | None = None) -> DataFrame:
+    """One row of the call log for each row of (namespace, name, chunk_id, sent…); tokens are estimated as characters over 4.
+
+    The id is a hash of the call and of the time of writing, so a retried task logs no second call.
+    """
+    col = lambda c: F.coalesce(F.col(c), F.lit("")) if c in rows.columns else F.lit("")
+    now = F.current_timestamp()
+    size = lambda c: F.floor(F.length(c) / 4).cast("bigint")
+    ident = F.substring(F.md5(F.concat_ws("\x1f", F.lit(operation), now.cast("string"), col("namespace"), col("chunk_id"), col(sent))), 1, 12)
+    return rows.select(ident.alias("id"), F.lit(call_type).alias("call_type"), F.lit(model).alias("model"), col("name").alias("document_name"), col("chunk_id").alias("chunk_id"), F.lit(operation).alias("operation"), size(col(sent)).alias("input_tokens"), (size(F.col(reply)) if reply else F.lit(None).cast("bigint")).alias("output_tokens"), now.alias("created_at"), col("namespace").alias("namespace"))
+
+
 def complete(df: DataFrame, prompt_col: str, completer: Completer, cache: DataFrame | None = None) -> DataFrame:
     """``reply`` beside every row. With a cache (key, reply) only prompts that it lacks are sent, so a retried task repeats no call that was saved."""
     key = F.md5(F.coalesce(F.col(prompt_col), F.lit("")))

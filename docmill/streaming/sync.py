@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docmill.operators.maintenance import detect_changes
+from docmill.providers import ExternalAPIError
+from docmill.storage import materialize
 
 LISTING = "drive_file_id string, modified string, namespace string"
 
@@ -31,6 +35,57 @@ def poll_listings(spark: SparkSession, folder: str, index: Callable[[], DataFram
     return w.start()
 
 
+@dataclass
+class SyncResult:
+    """What a synchronisation did; aborted if a folder could not be listed (then nothing was done) or a provider failed."""
+
+    namespace: str
+    added: int = 0
+    updated: int = 0
+    deleted: int = 0
+    aborted: bool = False
+
+
+_RUNNING: dict[str, threading.Lock] = {}
+
+
+def sync_namespace(namespace: str, folders: list[str], listing: Callable[[str], DataFrame], index: Callable[[], DataFrame], delete: Callable[[DataFrame], None], ingest: Callable[[DataFrame, bool], None]) -> SyncResult:
+    """One synchronisation of a namespace's folders with its index: deletions, then changed files, then new ones.
+
+    A folder that cannot be listed aborts it before anything is deleted, since
+    its files would look deleted. ``ingest(changes, force)`` that fails with a
+    provider's error ends it; what was done stays. A second call for the same
+    namespace waits for the first.
+    """
+    with _RUNNING.setdefault(namespace, threading.Lock()):
+        out, every = SyncResult(namespace), None
+        try:
+            for f in folders:
+                one = materialize(listing(f).select("drive_file_id", "modified"), "listing")
+                every = one if every is None else every.unionByName(one)
+        except Exception:
+            out.aborted = True
+            return out
+        if every is None:
+            return out
+        change = materialize(detect_changes(every, index()), "changes")
+        n = {r.change: r["count"] for r in change.groupBy("change").count().collect()}
+        part = lambda c: change.where(F.col("change") == c)
+        if n.get("deleted"):
+            delete(part("deleted"))
+            out.deleted = n["deleted"]
+        try:
+            if n.get("modified"):
+                ingest(part("modified"), True)
+                out.updated = n["modified"]
+            if n.get("added"):
+                ingest(part("added"), False)
+                out.added = n["added"]
+        except ExternalAPIError:
+            out.aborted = True
+        return out
+
+
 def call_log(calls: DataFrame, late: str = "1 hour", width: str = "10 minutes") -> DataFrame:
     """Tokens and calls of each model in windows of event time; rows later than ``late`` are dropped by the watermark."""
     # files without a zone hold UTC

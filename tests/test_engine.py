@@ -4,9 +4,9 @@ import json
 
 from docmill.config import load
 from docmill.engine import Engine, NamespaceNotFound, parse_keywords
-from docmill.providers import CannedCompleter, HashEmbedder
+from docmill.providers import CannedCompleter, ExternalAPIError, HashEmbedder
 from docmill.sources.files import pdf_sections
-from docmill.streaming.sync import call_log, poll_listings
+from docmill.streaming.sync import SyncResult, call_log, poll_listings, sync_namespace
 
 
 def _engine(spark, path):
@@ -85,3 +85,45 @@ def test_call_log(spark, tmp_path):
     q = call_log(s, "1000 days").writeStream.format("memory").queryName("log").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("SELECT sum(calls) FROM log").first()[0] == calls.count()
+
+
+def test_summary_calls_and_one_reply(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    class Counting(CannedCompleter):
+        def complete(self, prompt, system=None):
+            if "Read the passage" in prompt:
+                asked.add(1)
+            return super().complete(prompt, system)
+
+    reply = lambda i: json.dumps({"entities": [{"name": "Ada", "type": "person", "description": f"does {i}"}], "keywords": [], "summary": ""})
+    e = Engine(spark, str(tmp_path / "store"), load({"ingestion": {"enable_llm_summary": True, "min_descriptions": 3, "enable_contextual": False}, "model": "m"}), HashEmbedder(8), Counting({"Write one short": "Ada does much", **{f"text {i}": reply(i) for i in range(4)}}))
+    e.ingest(spark.createDataFrame([(f"d{i}", "a" if i < 3 else "b", f"{i}.txt", "h", f"text {i}") for i in range(4)], "doc_id string, namespace string, name string, content_hash string, text string"))
+    assert asked.value == 4
+    assert {(r.namespace, r.description) for r in e.index().nodes.collect()} == {("a", "Ada does much"), ("b", "does 3")}
+    calls = e.store.read("api_calls")
+    assert {(r.call_type, r.operation): r["count"] for r in calls.groupBy("call_type", "operation").count().collect()} == {("llm", "extract"): 4, ("embedding", "embed_chunks"): 4}
+    assert calls.select("id").distinct().count() == 8
+    e.delete_document("d3")
+    assert {r.namespace for r in e.store.read("entity_vectors").collect()} == {"a"}
+
+
+def test_sync_order_and_abort(spark):
+    index = lambda: spark.createDataFrame([("a", "1", "indexed", "gdrive-a"), ("b", "1", "indexed", "gdrive-b")], "drive_file_id string, modified string, status string, doc_id string")
+    files = {"x": [("a", "2")], "y": [("c", "1")]}
+    seen = []
+
+    def listing(f):
+        if f == "broken":
+            raise OSError
+        return spark.createDataFrame(files[f], "drive_file_id string, modified string")
+
+    take = lambda c, *a: seen.extend((r.drive_file_id, r.change, *a) for r in c.collect())
+    assert sync_namespace("n", ["x", "broken"], listing, index, take, take).aborted and not seen
+    got = sync_namespace("n", ["x", "y"], listing, index, take, take)
+    assert seen == [("b", "deleted"), ("a", "modified", True), ("c", "added", False)] and (got.added, got.updated, got.deleted) == (1, 1, 1)
+
+    def fail(c, force):
+        raise ExternalAPIError
+
+    assert sync_namespace("n", ["x", "y"], listing, index, take, fail) == SyncResult("n", 0, 0, 1, True)
