@@ -240,7 +240,7 @@ def _encode(rows: list[tuple[str, list[tuple[int, int, str]]]]):
 LEAST_SEEN = 6
 
 
-def train(rows: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 90, penalty: float = 0.04, rate: float = 0.3) -> Crf:
+def train(rows: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 75, penalty: float = 0.04, rate: float = 0.3) -> Crf:
     """Maximum penalised likelihood by full-batch steps with per-weight rates (Adam)."""
     rows = sorted(rows, key=lambda r: -len(r[0].split()))
     cp, s, e, doc, gold = _encode(rows)
@@ -260,66 +260,69 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 90,
     f_start = np.searchsorted(ff_s, np.arange(len(index)))
     w_start = np.concatenate([[0], np.cumsum([len(x) for x in wf])])[:-1]
     theta, trans = np.zeros((len(index), len(OFFSETS) * NL), np.float32), np.zeros((NL, NL), np.float32)
-    n_doc = int(doc.max()) + 1
+    n_doc, n, n_words = int(doc.max()) + 1, len(doc), len(u)
     length = np.bincount(doc, minlength=n_doc)
-    o = np.argsort(-length, kind="stable")  # longest first, so that the texts that go on are the first ones
     rank = np.empty(n_doc, np.int64)
-    rank[o] = np.arange(n_doc)
-    length = length[o]
-    T = int(length.max())
-    on = [int(np.searchsorted(-length, -t, side="left")) for t in range(T + 1)]  # texts longer than t
-    pos = np.arange(len(doc)) - np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n_doc))])[doc]
-    place = rank[doc]
-    moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (theta, trans)]
-    by_word = np.argsort(word, kind="stable")
-    word_start = np.searchsorted(word[by_word], np.arange(len(u)))
-    n = len(doc)
-    shifted = []
-    for o in OFFSETS:
-        a, b = max(0, -o), min(n, n - o)
-        t = np.arange(a, b)
-        shifted.append(t[doc[a:b] == doc[a + o : b + o]])
-    y = np.zeros((n_doc, T), np.int64)
-    y[place, pos] = gold
+    rank[np.argsort(-length, kind="stable")] = np.arange(n_doc)  # longest first, so that the texts that go on are the first ones
+    pos = np.arange(n) - np.concatenate([[0], np.cumsum(length)])[doc]
+    # tokens by their place in the text, then by text: a step of the recursions is one slice
+    o = np.lexsort((rank[doc], pos))
+    size = np.bincount(pos)
+    at = np.concatenate([[0], np.cumsum(size)])
+    back = np.empty(n, np.int64)
+    back[o] = np.arange(n)
+    final = back[np.cumsum(length) - 1]  # last tokens
+    y = gold[o]
+    # word beside each token, n_words where there is none; and its tokens in order, for the sums
+    beside, order, first_of, has = [], [], [], []
+    for k in OFFSETS:
+        to = np.arange(n) + k
+        ok = (to >= 0) & (to < n)
+        ok[ok] = doc[to[ok]] == doc[ok]
+        w = np.full(n, n_words)
+        w[ok] = word[to[ok]]
+        w = w[o]
+        beside.append(w)
+        order.append(np.argsort(w, kind="stable")[: int(ok.sum())])
+        start = np.searchsorted(w[order[-1]], np.arange(n_words))
+        full = np.flatnonzero(np.bincount(w, minlength=n_words + 1)[:n_words])
+        has.append(full)
+        first_of.append(start[full])
     g_gold = np.zeros((NL, NL))
-    np.add.at(g_gold, (np.zeros(n_doc, int), y[:, 0]), 1)
-    np.add.at(g_gold, (y[np.arange(n_doc), length - 1], np.zeros(n_doc, int)), 1)
-    for t in range(1, T):
-        np.add.at(g_gold, (y[: on[t], t - 1], y[: on[t], t]), 1)
-    x, alpha, beta = (np.empty((T, n_doc, NL), np.float32) for _ in range(3))  # only places within the texts are ever read
-    begins, ends = np.flatnonzero(pos == 0), np.flatnonzero(pos == length[place] - 1)
+    np.add.at(g_gold, (np.zeros(n_doc, int), y[: size[0]]), 1)
+    np.add.at(g_gold, (y[final], np.zeros(n_doc, int)), 1)
+    for t in range(1, len(size)):
+        np.add.at(g_gold, (y[at[t - 1] : at[t - 1] + size[t]], y[at[t] : at[t + 1]]), 1)
+    moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (theta, trans)]
+    e_word = np.zeros((n_words + 1, len(OFFSETS) * NL), np.float32)
+    g_word = np.zeros((n_words, len(OFFSETS) * NL), np.float32)
+    alpha, beta = np.empty((n, NL), np.float32), np.empty((n, NL), np.float32)
     for step in range(1, rounds + 1):
-        e_word = np.add.reduceat(theta[ff], w_start, axis=0)
-        em = np.zeros((n, NL), np.float32)
-        for i, (o, t) in enumerate(zip(OFFSETS, shifted)):
-            em[t] += e_word[word[t + o], i * NL : (i + 1) * NL]
-        x[pos, place] = np.exp(em - em.max(1, keepdims=True))
+        e_word[:-1] = np.add.reduceat(theta[ff], w_start, axis=0)
+        em = sum(np.take(e_word[:, i * NL : (i + 1) * NL], w, axis=0) for i, w in enumerate(beside))
+        x = np.exp(em - em.max(1, keepdims=True))
         et = np.exp(trans).astype(np.float32)
-        for t in range(T):
-            m = on[t]
-            a = (et[0][None] if t == 0 else alpha[t - 1, :m] @ et) * x[t, :m]
-            alpha[t, :m] = a / a.sum(1, keepdims=True)
+        for t, m in enumerate(size):
+            a = (et[0][None] if t == 0 else alpha[at[t - 1] : at[t - 1] + m] @ et) * x[at[t] : at[t + 1]]
+            alpha[at[t] : at[t + 1]] = a / a.sum(1, keepdims=True)
         g_tr = g_gold.copy()
-        for t in range(T - 1, -1, -1):
-            m, more = on[t], on[t + 1]
-            beta[t, more:m] = et[:, 0]
+        for t in range(len(size) - 1, -1, -1):
+            m, more = size[t], size[t + 1] if t + 1 < len(size) else 0
+            beta[at[t] + more : at[t + 1]] = et[:, 0]
             if more:
-                right = x[t + 1, :more] * beta[t + 1, :more]
+                right = x[at[t + 1] : at[t + 2]] * beta[at[t + 1] : at[t + 2]]
                 b = right @ et.T
-                beta[t, :more] = b / b.sum(1, keepdims=True)
-                z = np.einsum("ni,ni->n", alpha[t, :more], b)
-                g_tr -= ((alpha[t, :more] / z[:, None]).T @ right) * et
-        p = alpha[pos, place] * beta[pos, place]
+                beta[at[t] : at[t] + more] = b / b.sum(1, keepdims=True)
+                left = alpha[at[t] : at[t] + more]
+                g_tr -= ((left / (left * b).sum(1, keepdims=True)).T @ right) * et
+        p = alpha * beta
         p /= np.maximum(p.sum(1, keepdims=True), 1e-30)
+        g_tr[0] -= p[: size[0]].sum(0)
+        g_tr[:, 0] -= p[final].sum(0)
         g_em = -p
-        g_em[np.arange(n), gold] += 1
-        g_tr[0] -= p[begins].sum(0)
-        g_tr[:, 0] -= p[ends].sum(0)
-        g_word = np.zeros((len(u), len(OFFSETS) * NL), np.float32)
-        for i, (o, t) in enumerate(zip(OFFSETS, shifted)):
-            g = np.zeros((n, NL), np.float32)
-            g[t + o] = g_em[t]
-            g_word[:, i * NL : (i + 1) * NL] = np.add.reduceat(g[by_word], word_start, axis=0)
+        g_em[np.arange(n), y] += 1
+        for i in range(len(OFFSETS)):
+            g_word[has[i], i * NL : (i + 1) * NL] = np.add.reduceat(np.take(g_em, order[i], axis=0), first_of[i], axis=0)
         g_theta = np.add.reduceat(g_word[fw_s], f_start, axis=0)
         for k, (w, g) in enumerate(((theta, g_theta - penalty * theta), (trans, g_tr - penalty * trans))):
             m1, m2 = moments[k]

@@ -236,7 +236,7 @@ def clean_sentences(texts: list[str], most: int, common=frozenset()) -> list[str
 NEUTRAL = ["The lift is out of order.", "We painted the kitchen last week and ordered new chairs.", "The plants in the hall need water twice a month.", "Der Aufzug bleibt bis Freitag außer Betrieb.", "Bitte bringen Sie die Unterlagen zum nächsten Termin mit.", "La cuisine a été repeinte la semaine dernière.", "Les plantes du couloir ont besoin d'eau.", "La cocina se pintó la semana pasada.", "Las plantas del pasillo necesitan agua.", "De keuken is vorige week geverfd.", "De planten in de gang hebben water nodig.", "A cozinha foi pintada na semana passada.", "As plantas do corredor precisam de água.", "Кухню покрасили на прошлой неделе.", "Растения в коридоре нужно поливать.", "Overall, the plan holds (AB-1234).", "Zur Erinnerung: das Lager ist voll.", "En bref, le plan tient.", "- The coffee machine works again.", "About 12 hours remain."]
 
 
-def labelled_rows(copies: int = 9, seed: int = 11, plain: list[str] | tuple = (), frames: list[str] | tuple = ()) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled_rows(copies: int = 7, seed: int = 11, plain: list[str] | tuple = (), frames: list[str] | tuple = ()) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """(text, [(start, end, kind)…]): every frame ``copies`` times twice as many made of announcing words and, for each plain sentence, one with a value anywhere in it; many next to a plain sentence, some shouted; then the plain sentences. Other ``frames`` may stand in for the table's own."""
     m = _Maker(seed)
     kinds = dict(zip("PETIA", KINDS))
