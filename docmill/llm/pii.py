@@ -106,7 +106,7 @@ def features(w: str) -> list[str]:
 
 
 #: Nats that label O pays for each token: a miss costs more than a false alarm, which the exact check of the forms can still stop.
-O_COST = 7.0
+O_COST = 13.0
 
 
 class Crf:
@@ -557,7 +557,7 @@ def checked(text: str, spans: list[tuple[int, int, str]], plain) -> list[tuple[i
                 continue
             if _digits(s) < (7 if kind == "phone" else 6) or _CODE.match(s) or re.search(r"[^\W\d]{4,}", s):
                 continue
-        elif not (_digits(s) and re.search(r"[^\W\d_]{4,}", s) and any(c.isupper() for c in s)) or len(s) < 10 or "_" in s or _THING.search(s) or all(w.casefold() in plain for w in re.findall(r"[^\W\d_]{4,}", s)):
+        elif not (_digits(s) and re.search(r"[^\W\d_]{4,}", s) and any(c.isupper() for c in s)) or len(s) < 10 or "_" in s or _THING.search(s) or _in_heading(text, a) or all(w.casefold() in plain for w in re.findall(r"[^\W\d_]{4,}", s)):
             got = _name_span(text, a, b, plain)  # a family name before a comma can look like a town
             if got is None or not any(w.casefold() in _GIVEN for w in re.findall(_NAME, text[got[0] : got[1]])):
                 continue
