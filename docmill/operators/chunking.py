@@ -114,12 +114,12 @@ def plaintext_sections(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def heading_paths(sections: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, section, path): headings joined by " > "; the stack is popped by its depth."""
+    """(id, section, path): headings joined by " > "; the stack is popped by its depth, and a heading of level 0 pops nothing."""
     ordered = F.array_sort(F.collect_list(F.struct("section", "level", "heading")))
     zero = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<struct<section:bigint,path:string>>").alias("out"))
 
     def push(a: Column, x: Column) -> Column:
-        kept = F.slice(a["stack"], F.lit(1), F.least(F.size(a["stack"]), F.greatest(F.lit(0), x["level"] - 1)))
+        kept = F.when(x["level"] > 0, F.slice(a["stack"], F.lit(1), F.least(F.size(a["stack"]), F.greatest(F.lit(0), x["level"] - 1)))).otherwise(a["stack"])
         stack = F.concat(kept, F.array(x["heading"]))
         return F.struct(stack.alias("stack"), F.concat(a["out"], F.array(F.struct(x["section"].cast("bigint").alias("section"), F.array_join(stack, " > ").alias("path")))).alias("out"))
 

@@ -53,17 +53,29 @@ def _(v):
     return lines.where(F.col("s").rlike(r"^#{1,6}\s+.+$")).groupBy("doc_id").agg(F.count("*").alias("n_headings"))
 
 
-@query("op_s9_markdown_sections")
+_OUTER = r"regexp_replace({}, '^[\s\p{{Z}}\x{{85}}]+|[\s\p{{Z}}\x{{85}}]+$', '', 'g')"
+_LINES = "(SELECT doc_id, unnest(range(0, len(x))) AS line, len(x) AS n, unnest(x) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL))"
+_HEAD = r"'^(#{1,6})\s+(.+)$'"
+_SECTIONS = f"""SELECT doc_id, sec AS section, level, {_OUTER.format('heading')} AS heading, body FROM (SELECT doc_id, sec, max(level)::INT AS level, max(heading) AS heading, {_OUTER.format("coalesce(string_agg(CASE WHEN level = 0 THEN s END, chr(10) ORDER BY line), '')")} AS body
+    FROM (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line)::BIGINT AS sec FROM (SELECT *, length(regexp_extract(s, {_HEAD}, 1)) AS level, CASE WHEN regexp_matches(s, {_HEAD}) THEN regexp_extract(s, {_HEAD}, 2) END AS heading FROM {_LINES})) WHERE sec > 0 GROUP BY doc_id, sec) WHERE body <> ''"""
+_PLAIN = f"""WITH t AS (SELECT *, coalesce(lag(t) OVER w, '') AS prev, coalesce(lead(t) OVER w, '') AS next, len(list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '')) AS k FROM (SELECT doc_id, line, {_OUTER.format('s')} AS t FROM {_LINES}) WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+    h AS (SELECT doc_id, line::INT AS line, t AS heading FROM t WHERE t <> '' AND length(t) <= 120 AND NOT regexp_matches(t, '[.!?;,:''"]$') AND k <= 15 AND (prev = '' AND next = '' OR k <= 10 AND length(next) > 1.5 * length(t)))
+    SELECT * FROM h WHERE doc_id IN (SELECT doc_id FROM h GROUP BY 1 HAVING count(*) >= 2)"""
+_PATHS = f"""SELECT doc_id, unnest(out).section AS section, unnest(out).path AS path FROM (SELECT doc_id, list_reduce(list_prepend({{'stack': []::VARCHAR[], 'out': []::STRUCT(section BIGINT, path VARCHAR)[], 'level': 0, 'heading': '', 'section': 0::BIGINT}}, list({{'stack': []::VARCHAR[], 'out': []::STRUCT(section BIGINT, path VARCHAR)[], 'level': level, 'heading': heading, 'section': section}} ORDER BY section)),
+    lambda a, x: {{'stack': list_append(a.stack[1:x.level - 1], x.heading), 'out': list_append(a.out, {{'section': x.section, 'path': array_to_string(list_append(a.stack[1:x.level - 1], x.heading), ' > ')}}), 'level': 0, 'heading': '', 'section': 0::BIGINT}}).out AS out FROM ({_SECTIONS}) GROUP BY doc_id)"""
+
+
+@query("op_s9_markdown_sections", _SECTIONS)
 def _(v):
     return chunking.markdown_sections(v.raw("documents").select("doc_id", "text"))
 
 
-@query("op_s10_plaintext_sections")
+@query("op_s10_plaintext_sections", _PLAIN)
 def _(v):
     return chunking.plaintext_sections(v.raw("documents").select("doc_id", "text"))
 
 
-@query("op_w5_heading_paths")
+@query("op_w5_heading_paths", _PATHS)
 def _(v):
     return chunking.heading_paths(chunking.markdown_sections(v.raw("documents").select("doc_id", "text")))
 
