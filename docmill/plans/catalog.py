@@ -353,7 +353,15 @@ def _(v):
     return chunking.page_map(v.raw("parsed_documents"))
 
 
-@query("op_m14_chunk_flat")
+_PARAS = "SELECT doc_id, i, p, list_filter(string_split_regex(p, '\\s+'), lambda x: x <> '') AS w FROM (SELECT doc_id, unnest(range(0, len(x))) AS i, unnest(x) AS p FROM (SELECT doc_id, string_split_regex(text, '\\n\\s*\\n') AS x FROM documents WHERE text IS NOT NULL))"
+_CUT = "list_transform(range(0, greatest(0, ceil((len(w) - 128) / 112.0)::BIGINT) + 1), lambda j: array_to_string(w[j * 112 + 1 : j * 112 + 128], ' '))"
+_PACKED = f"""SELECT doc_id, CASE WHEN r.n > 0 THEN list_append(r.done, r.cur) ELSE r.done END AS done FROM (SELECT doc_id, list_reduce(list_prepend({{'done': []::VARCHAR[], 'cur': '', 'n': 0::BIGINT}}, list({{'done': {_CUT}, 'cur': p, 'n': len(w)}} ORDER BY i)), lambda a, x: {{
+    'done': CASE WHEN x.n > 128 THEN list_concat(CASE WHEN a.n > 0 THEN list_append(a.done, a.cur) ELSE a.done END, x.done) WHEN a.n + x.n <= 128 THEN a.done WHEN a.n > 0 THEN list_append(a.done, a.cur) ELSE a.done END,
+    'cur': CASE WHEN x.n > 128 THEN '' WHEN a.n + x.n <= 128 AND a.n > 0 THEN a.cur || chr(10) || chr(10) || x.cur ELSE x.cur END,
+    'n': CASE WHEN x.n > 128 THEN 0 WHEN a.n + x.n <= 128 THEN a.n + x.n ELSE x.n END}}) AS r FROM ({_PARAS}) WHERE len(w) > 0 GROUP BY doc_id)"""
+
+
+@query("op_m14_chunk_flat", f"SELECT doc_id, sequence_index::INT AS sequence_index, 'chunk-' || substr(md5(doc_id::VARCHAR || ':' || text), 1, 12) AS chunk_id, text, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))::INT AS n_words FROM (SELECT doc_id, unnest(range(0, len(done))) AS sequence_index, unnest(done) AS text FROM ({_PACKED}))")
 def _(v):
     return chunking.chunk_flat(v.raw("documents").select("doc_id", "text"), 128, 16)
 
