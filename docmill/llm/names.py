@@ -7,11 +7,17 @@
 3. Roots with small edit distances are found by a symmetric-delete index: all
    strings left after up to two deletions are join keys; a true distance check
    follows, and a rarer root is taken for a misspelling of the more frequent.
+   One edit decides first. Two edits lead only from a root without a neighbour
+   at one edit to another such root, never to a misspelling, and only if both
+   have a given name or line of business in common or one of them has none: the
+   more names there are, the more of them lie two edits from the misspelling of
+   another.
 4. Spellings of one root with a full name form entities by given name, or by
    line of business and legal form. Shorter spellings (initial or title and
    family name, firm without its line of business) join an entity only if
-   exactly one of that root can be aligned with them: the tokens are assigned
-   to each other at the lowest cost, initials and abbreviations permitted.
+   exactly one of that root has a full spelling that can be aligned with them:
+   the tokens are assigned to each other at the lowest cost, initials and
+   abbreviations permitted.
 
 Only joins on roots and keys are used: no group is collected in one task.
 Null and blank names are ignored, repeated rows count once per row for the
@@ -194,15 +200,20 @@ def deletes_udf(s: pd.Series) -> pd.Series:
     return s.map(deletes)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def one_delete_udf(s: pd.Series) -> pd.Series:
+    return s.map(lambda w: deletes(w, 1))
+
+
 @F.pandas_udf(T.IntegerType())
 def edits_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edits(x, y, 2) for x, y in zip(a, b)], dtype="int32")
 
 
-def deletes(w: str) -> list[str]:
-    """What is left of a token after up to one deletion, or two from LONG letters on."""
+def deletes(w: str, most: int = 2) -> list[str]:
+    """What is left of a token after up to one deletion, or two (``most``) from LONG letters on."""
     out = {w}
-    for _ in range(1 if len(w) < LONG else 2):
+    for _ in range(1 if len(w) < LONG else most):
         out |= {v[:i] + v[i + 1 :] for v in out for i in range(len(v))}
     return sorted(out)
 
@@ -217,14 +228,22 @@ def spellings(columns: list[tuple[DataFrame, str, str | None]]) -> DataFrame:
     return out.groupBy("name").agg(F.count("*").alias("n"), F.coalesce(F.sum("off"), F.lit(0)).alias("off"), F.coalesce(F.sum("on"), F.lit(0)).alias("on")).where("off <= on").select("name", "n")
 
 
-def root_map(roots: DataFrame) -> DataFrame:
-    """(root, to): each root that is a misspelling, with the more frequent root that it is near to (itself otherwise)."""
-    key = roots.where(F.length("root") >= ROOT_LEAST).select("root", "n", F.explode(deletes_udf("root")).alias("k"))
-    a, b = key.select(F.col("root").alias("a"), F.col("n").alias("na"), "k"), key.select(F.col("root").alias("b"), F.col("n").alias("nb"), "k")
-    # two edits with transpositions are at most four without; that bound is compiled code and decides most pairs
-    near = a.join(b, "k").where("a <> b and (nb > na or (nb = na and b < a))").select("a", "na", "b", "nb").distinct().where(F.levenshtein("a", "b", 4) >= 0).withColumn("d", edits_udf("a", "b"))
-    ok = near.where((F.col("d") <= 1) | ((F.col("d") <= 2) & (F.least(F.length("a"), F.length("b")) >= LONG)))
-    to = materialize(ok.groupBy("a").agg(F.max_by("b", F.struct(-F.col("d"), "nb", "b")).alias("to")), "near")
+def root_map(roots: DataFrame, signs: DataFrame) -> DataFrame:
+    """(root, to): each root that is a misspelling, with the more frequent root that it is near to (itself otherwise). ``signs`` (root, sign) has the given names and lines of business that stand with a root."""
+    more, side = "a <> b and (nb > na or (nb = na and b < a))", lambda k, x: k.select(F.col("root").alias(x), F.col("n").alias("n" + x), "k")
+    key = roots.where(F.length("root") >= ROOT_LEAST).select("root", "n", F.explode(one_delete_udf("root")).alias("k"))
+    # an edit with transpositions is at most two without; that bound is compiled code and decides most pairs
+    one = side(key, "a").join(side(key, "b"), "k").where(more).select("a", "na", "b", "nb").distinct().where(F.levenshtein("a", "b", 2) >= 0).withColumn("d", edits_udf("a", "b")).where("d <= 1")
+    same = one.select("a", "b").join(signs.toDF("a", "s"), "a").join(signs.toDF("b", "s"), ["b", "s"], "left_semi").select("a", "b").distinct().withColumn("same", F.lit(1))
+    one = one.join(same, ["a", "b"], "left").groupBy("a").agg(F.max_by("b", F.struct(F.coalesce("same", F.lit(0)), "nb", "b")).alias("to"))
+    one = materialize(one, "near")
+    # two edits: keys are what is left together with a sign; a root without signs meets all
+    ends = roots.where(F.length("root") >= LONG).join(one.select(F.col("a").alias("root")), "root", "left_anti").join(signs.groupBy("root").agg(F.collect_set("sign").alias("signs")), "root", "left")
+    ends = ends.select("root", "n", "signs", F.explode(deletes_udf("root")).alias("k"))
+    signed = lambda known, none: ends.withColumn("s", F.explode(F.when(F.col("signs").isNotNull(), F.array_append("signs", known)).otherwise(none))).withColumn("k", F.xxhash64("k", "s"))
+    a, b = signed("-", F.array(F.lit("+"))), signed("+", F.array(F.lit("-"), F.lit("+")))
+    two = side(a, "a").join(side(b, "b"), "k").where(more).select("a", "na", "b", "nb").distinct().where(F.levenshtein("a", "b", 4) >= 0).withColumn("d", edits_udf("a", "b")).where("d <= 2")
+    to = materialize(one.unionByName(two.groupBy("a").agg(F.max_by("b", F.struct("nb", "b")).alias("to"))), "near")
     # a misspelling of a misspelling leads to the root behind it; every round halves the way
     while True:
         on = to.select(F.col("a").alias("to"), F.col("to").alias("next"))
@@ -244,7 +263,8 @@ def name_entities(columns: list[tuple[DataFrame, str, str | None]]) -> DataFrame
     # an initial run together with a family name that stands elsewhere
     parts = read.where("glued <> ''").select("name", "root", "glued").join(whole.where("sure = 1").select(F.col("root").alias("glued")), "glued").select("name", F.col("glued").alias("real"), F.substring("root", 1, 1).alias("first"))
     read = read.join(parts, "name", "left").select("name", "n", F.coalesce("real", "root").alias("root"), "other", F.when(F.col("real").isNotNull(), "person").otherwise(F.col("kind")).alias("kind"), "given", F.coalesce("first", "initial").alias("initial"), "business", "legal")
-    roots = materialize(root_map(read.groupBy("root").agg(F.sum("n").alias("n"))), "roots")
+    signs = materialize(read.select("root", F.explode(F.expr("case when kind = 'person' and given <> '' then split(given, '[|]') when kind = 'org' and business <> '' then array(business) end")).alias("sign")).distinct(), "signs")
+    roots = materialize(root_map(read.groupBy("root").agg(F.sum("n").alias("n")), signs), "roots")
     rows = materialize(read.join(roots, "root").drop("root").withColumnRenamed("to", "root"), "rooted")
     # entities: full spellings; a short form of two given names goes to the one that the root has
     person = rows.where("kind = 'person' and given <> ''").withColumn("g", F.explode(F.split("given", r"\|")))
@@ -262,11 +282,14 @@ def name_entities(columns: list[tuple[DataFrame, str, str | None]]) -> DataFrame
     named = full.join(entity, ["kind", "root", "key"]).select("name", "entity")
     short = rows.join(named, "name", "left_anti").select("name", "root", "kind", "initial", "legal", "given")
     e = entity.select("root", F.col("kind").alias("ek"), "key", "entity")
-    fits = short.join(e, "root").where(
+    able = short.join(e, "root").where(
         "(kind = '' or kind = ek)"
         " and (initial = '' or ek = 'org' or exists(split(key, '[|]'), x -> startswith(x, initial)))"
         " and (legal = '' or ek = 'person' or element_at(split(key, '/'), -1) = legal or element_at(split(key, '/'), -1) not in ('limited','incorporated','corporation','company','sa','gmbh','ag','bv','plc','llc'))"
-    ).where(aligned_udf("name", "entity") | (F.col("kind") == ""))
+    )
+    # with any full spelling of the entity: the most frequent may hold a short form, which an initial cannot be aligned with
+    fulls = full.select("root", F.col("kind").alias("ek"), "key", F.col("name").alias("full")).distinct()
+    fits = able.where("kind = ''").select("name", "entity").unionByName(able.where("kind <> ''").join(fulls, ["root", "ek", "key"]).where(aligned_udf("name", "full")).select("name", "entity").distinct())
     # a spelling that fits several entities stays alone
     only = fits.groupBy("name").agg(F.count("*").alias("c"), F.min("entity").alias("entity")).select("name", F.when(F.col("c") == 1, F.col("entity")).otherwise(F.col("name")).alias("entity"))
     left = short.join(fits.select("name").distinct(), "name", "left_anti")

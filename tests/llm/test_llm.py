@@ -212,6 +212,31 @@ def test_names(spark):
     assert "visitor badge" not in e
 
 
+def _groups(spark, rows):
+    df = spark.createDataFrame([(n, t) for n, t, c in rows for _ in range(c)], "name string, type string")
+    g = collections.defaultdict(set)
+    for r in names.name_entities([(df, "name", "type")]).collect():
+        g[r.entity].add(r.name)
+    return {frozenset(x) for x in g.values()}
+
+
+def test_names_near_the_misspelling_of_another(spark):
+    """zofofuhir, a misspelling of zofafuhir, lies two edits from zofofuhys; the two names themselves lie three apart."""
+    near = [("Katharine Zofafuhir", "person", 9), ("Katharine Zofofuhir", "person", 5), ("Ms Zofafuhir", "person", 1)]
+    theirs = frozenset({"katharine zofafuhir", "katharine zofofuhir", "ms zofafuhir"})
+    for given in ("Oliver", "Katharine"):
+        rows = near + [(f"{given} Zofofuhys", "person", 2), ("Zofofuhys, " + given, "person", 1), ("Dr Zofofuhys", "person", 1)]
+        assert _groups(spark, rows) == {theirs, frozenset({f"{given.lower()} zofofuhys", f"zofofuhys, {given.lower()}", "dr zofofuhys"})}
+    # two edits of one's own still lead to the name, by the given name or where there is none
+    assert len(_groups(spark, [("Victoria Tylebigos", "person", 5), ("Vicky Tylabigus", "person", 1), ("Ms Tulebygos", "person", 1)])) == 1
+    assert len(_groups(spark, [("Victoria Tylebigos", "person", 5), ("Oliver Tylabigus", "person", 2), ("Mr Tylabigus", "person", 1)])) == 2
+
+
+def test_names_initial_beside_a_short_form(spark):
+    """The initial fits the given name, not the short form in the most frequent spelling."""
+    assert _groups(spark, [("Roholekil, Trish", "person", 4), ("Patricia Roholekil", "person", 2), ("Roholekil, P.", "person", 1)]) == {frozenset({"roholekil, trish", "patricia roholekil", "roholekil, p."})}
+
+
 def test_alignment_and_deletes():
     assert names.aligned("k. zofofuhys", "katharine zofofuhys") and names.aligned("zofofuhys, kate", "katharine zofofuhys") and not names.aligned("oliver zofofuhys", "katharine zofofuhys")
     for a, b in (("zofofuhys", "zofofuyhs"), ("kehywonul", "kehywonnul"), ("abcdef", "abxdef")):
